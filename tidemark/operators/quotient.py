@@ -203,6 +203,20 @@ class QuotientStore:
         except FileNotFoundError:
             return []
 
+    def parts(self) -> list[str]:
+        """Names of the state files that count."""
+        return self._list()
+
+    def restore(self, parts: list[str]) -> None:
+        """Goes back to an earlier state, for callers that publish it together with their own output."""
+        self._publish(parts)
+
+    def _publish(self, parts: list[str]) -> None:
+        tmp = os.path.join(self.path, f".{uuid.uuid4().hex}")
+        with open(tmp, "w") as f:
+            json.dump({"parts": parts}, f)
+        os.replace(tmp, os.path.join(self.path, "_STATE.json"))
+
     def seen(self) -> DataFrame:
         schema = "_a bigint, _b bigint, _e string, _v bigint, _group int"
         parts = [os.path.join(self.path, p) for p in self._list()]
@@ -217,8 +231,5 @@ class QuotientStore:
         part = f"part-{uuid.uuid4().hex}"
         ids.join(old, same, "left_anti").write.partitionBy("_group").parquet(os.path.join(self.path, part))
         fresh = self.spark.read.schema("_a bigint, _b bigint, _e string, _v bigint, _group int").parquet(os.path.join(self.path, part))
-        tmp = os.path.join(self.path, f".{uuid.uuid4().hex}")
-        with open(tmp, "w") as f:
-            json.dump({"parts": [*self._list(), part]}, f)
-        os.replace(tmp, os.path.join(self.path, "_STATE.json"))
+        self._publish([*self._list(), part])
         return batch.join(fresh.select(F.col("_v").alias("_keep")), F.col(value) == F.col("_keep"), "left_semi")
