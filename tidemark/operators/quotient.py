@@ -218,9 +218,13 @@ class QuotientStore:
         os.replace(tmp, os.path.join(self.path, "_STATE.json"))
 
     def seen(self) -> DataFrame:
-        schema = "_a bigint, _b bigint, _e string, _v bigint, _group int"
-        parts = [os.path.join(self.path, p) for p in self._list()]
-        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+        return self._read(self._list())
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        schema = "_a bigint, _b bigint, _e string, _v bigint, part string, _group int"
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[os.path.join(self.path, p) for p in parts])
 
     def insert(self, batch: DataFrame, value: str = "delivery_no") -> DataFrame:
         group = F.shiftrightunsigned("_b", 64 - SHARD_BITS) % self.groups
@@ -228,8 +232,8 @@ class QuotientStore:
         # stored remainders of the same group are matched by equality of all words
         old = self.seen().select("_group", "_a", "_b", "_e")
         same = (ids["_group"] == old["_group"]) & (ids["_a"] == old["_a"]) & (ids["_b"] == old["_b"]) & ids["_e"].eqNullSafe(old["_e"])
-        part = f"part-{uuid.uuid4().hex}"
+        part = f"part={uuid.uuid4().hex}"
         ids.join(old, same, "left_anti").write.partitionBy("_group").parquet(os.path.join(self.path, part))
-        fresh = self.spark.read.schema("_a bigint, _b bigint, _e string, _v bigint, _group int").parquet(os.path.join(self.path, part))
+        fresh = self._read([part])
         self._publish([*self._list(), part])
         return batch.join(fresh.select(F.col("_v").alias("_keep")), F.col(value) == F.col("_keep"), "left_semi")
