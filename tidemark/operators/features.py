@@ -170,11 +170,11 @@ def translate(table: DataFrame, old: FeatureSchema, new: FeatureSchema) -> DataF
     cols = []
     for f in new.fields:
         if f.name in old.names:
-            cols.append(F.col(f.name).cast(f.spark_type).alias(f.name))
+            cols.append(F.col(f.name).cast(f.cast_type).alias(f.name))
         elif f.shape:
             cols.append(F.array_repeat(F.lit(0).cast(f.dtype.spark_type), f.n_elements).alias(f.name))
         else:
-            cols.append(F.lit(0).cast(f.spark_type).alias(f.name))
+            cols.append(F.lit(0).cast(f.cast_type).alias(f.name))
     lead = [c for c in ("entity_id", "event_time_ns") if c in table.columns]
     tail = [c for c in IDS if c in table.columns]
     return table.select(*lead, *cols, *tail)

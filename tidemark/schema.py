@@ -74,11 +74,20 @@ class FeatureField:
 
     @property
     def spark_type(self) -> T.DataType:
+        """Type of the stored column: no nulls inside arrays."""
+        return self._type(False)
+
+    @property
+    def cast_type(self) -> T.DataType:
+        """Type to cast to: Spark does not cast arrays to arrays without nulls."""
+        return self._type(True)
+
+    def _type(self, nulls: bool) -> T.DataType:
         if len(self.shape) > 2:
             raise ValueError(f"{self.name}: shapes of rank {len(self.shape)} have no column type")
         out = self.dtype.spark_type
         for _ in self.shape:
-            out = T.ArrayType(out, False)
+            out = T.ArrayType(out, nulls)
         return out
 
     def to_json(self) -> dict:

@@ -75,7 +75,7 @@ class FeatureLog:
             if mixed["without"] and mixed["with"]:
                 raise ValueError("mixed files: some have message ids, some have none")
         ids = features.IDS if "msg_id_ms" in df.columns else ()
-        casts = [F.col(f.name).cast(f.spark_type).alias(f.name) for f in schema.fields]
+        casts = [F.col(f.name).cast(f.cast_type).alias(f.name) for f in schema.fields]
         return df.select("entity_id", "event_time_ns", *casts, *ids, "event_date"), ids
 
     def scan(self, schema: FeatureSchema, lo_ns: int | None = None, hi_ns: int | None = None) -> DataFrame:
