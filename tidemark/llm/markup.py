@@ -13,7 +13,14 @@ _CODE = re.compile(
     | <!--.*?(?:-->|\Z)""",
     re.S | re.X,
 )
-_QUOTED = re.compile(r"``.*?(?:''|\Z)|“[^”]*”|„[^“”]*[“”]|«[^»]*»|(?<![{:,\[\w])(?<![{:,\[]\s)\"[^\"\n]{0,400}\"(?!\s*:)", re.S)
+# quotations by their opening mark; a text without the mark is not searched
+_QUOTED = {
+    "``": re.compile(r"``.*?(?:''|\Z)", re.S),
+    "“": re.compile(r"“[^”]*”"),
+    "„": re.compile(r"„[^“”]*[“”]"),
+    "«": re.compile(r"«[^»]*»"),
+    '"': re.compile(r'(?<![{:,\[\w])(?<![{:,\[]\s)"[^"\n]{0,400}"(?!\s*:)'),
+}
 _SHOWN = re.compile(r"\\(?:texttt|lstinline|mintinline|path|url|footnote|detokenize)\s*\{")
 _DEFINITION = re.compile(r"\\(?:re)?newcommand\*?|\\providecommand\*?|\\DeclareMathOperator\*?|\\DeclareRobustCommand\*?|\\[gex]?def(?![A-Za-z])|\\let(?![A-Za-z])|\\(?:re)?newenvironment\*?")
 _PREAMBLE = re.compile(r"\\(?:documentclass|usepackage|RequirePackage|bibliographystyle|bibliography|input|include|subfile|includegraphics|label|magnification)(?:\s*\[[^\]]*\])?(?:\s*\{[^}]*\})?(?:=\d+)?")
@@ -86,16 +93,21 @@ def visible(text: str) -> tuple[str, dict[str, str]]:
     s = _BIBLIOGRAPHY.sub("\n", s)
     s = _PREAMBLE.sub(" ", s)
     s = _without_groups(s, _SHOWN, " Q ")
-    s = _QUOTED.sub(" Q ", s)
+    for mark, quoted in _QUOTED.items():
+        if mark in s:
+            s = quoted.sub(" Q ", s)
     s = _TAG.sub("\n", s)
     used = {n: b for n, b in bodies.items() if n.startswith("\\") and re.search(re.escape(n) + r"(?![A-Za-z])", s)}
     return s, used
 
 
-_SPLIT = re.compile(r"\n+|(?<=[.!?])\s+|\\(?:section|subsection|paragraph|chapter|beginsection|medskip|noindent|item|begin\{[a-z*]+\}|end\{[a-z*]+\})\*?|\\\\")
+_BREAK = re.compile(r"\\(?:section|subsection|paragraph|chapter|beginsection|medskip|noindent|item|begin\{[a-z*]+\}|end\{[a-z*]+\}|\\)\*?")
 
 
 def segments(text: str) -> list[str]:
     """Sentences, headings and lines of what is set, and the bodies of macros that are used."""
     s, used = visible(text)
-    return [x for x in (p.strip() for p in _SPLIT.split("\n".join([s, *used.values()]))) if x]
+    s = _BREAK.sub("\n", "\n".join([s, *used.values()])).replace("\t", " ")
+    for end in ".!?":
+        s = s.replace(f"{end} ", f"{end}\n")
+    return [x for x in map(str.strip, s.split("\n")) if x]

@@ -21,7 +21,7 @@ from tidemark.llm.tokens import text_batches
 
 BITS = 18
 #: Expected number of documents of the training sample; bounds the one task that trains.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2000
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 #: Log odds: from LIKELY on a segment is looked at exactly, from CLEAR on its score alone decides.
 LIKELY, CLEAR = -4.0, 5.0
@@ -37,13 +37,15 @@ PLACEHOLDER = re.compile(
     | \\?\$[A-Z][A-Z0-9_]{{2,30}}_HERE\\?\$ | \\?%\\?%\s*{_NAME}\s*\\?%\\?% | (?<![A-Za-z\\])[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*_HERE\b""",
     re.X | re.I,
 )
+#: What any of these marks contains; most segments do not.
+_MAYBE = re.compile(r"\[\[|\[\s*(?i:insert|your|enter|add|put|type)\s|\{\{\s*[A-Za-z][A-Za-z0-9_. -]|\$\{\s*[A-Za-z][A-Za-z0-9_. -]|<[A-Za-z<]|[@_:]{2}\s*[A-Za-z]|%\\?%|\?[A-Za-z]|#\{|\\textless|\\(?:text)?langle\s*\\mathit|_[Hh][Ee][Rr][Ee]")
 # fixed values: commands that typeset filler
 FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blinddocument|Blinddocument|blindmathpaper|blinditemize|blindlist|blindenumerate|blinddescription|Blindlist|textblind|filltext)(?![A-Za-z])")
 # fixed values: phrases of the weak labels, in several languages
 PHRASES = re.compile(
     r"""\b(?:your|the|a|an)?\s*[\w-]+(?:\s[\w-]+)?\s(?:goes|comes|go|come)\s(?:here|in\sthis\splace)\b
     | \b(?:insert|add|enter|put|type|write|place|paste|provide)\s(?:your|the|any|some|an?)\s[\w\s-]{2,40}\shere\b
-    | \b(?:section|paragraph|chapter|abstract)\stext\s(?:is\s)?(?:pending|missing|needed|required|to\sfollow)\b | ^\W*(?:TBD|TBA|TODO|FIXME|XXX|N/A|tbc)\b(?:\W*$|\s(?:by|later|soon|before|until|when|:))
+    | \b(?:section|paragraph|chapter|abstract)\stext\s(?:is\s)?(?:pending|missing|needed|required|to\sfollow)\b | ^\W*(?:TBD|TBA|TODO|FIXME|XXX|tbc)\b(?:\W*$|\s(?:by|later|soon|before|until|when|:))
     | \bto\sbe\s(?:supplied|written|filled\sin|completed|added|announced|determined|provided|inserted)\b(?:\sby\s\w+\s\w+|\slater)?\.?$
     | \b(?:overwrite|replace|delete|fill\sin)\sthis\s(?:paragraph|text|section|sentence|abstract|note|line)\b
     | \b(?:please|authors\s(?:should|must|may))\s(?:\w+\s)?(?:state|describe|summari[sz]e|explain|list|give|provide|outline|report|insert|add|write|mention|discuss)\b[^.]*\b(?:here|in\sthis\ssection|in\sthis\splace|before\ssubmission|delete\sthis\snote)\b
@@ -61,7 +63,7 @@ PHRASES = re.compile(
     | \b(?:was|were|is|be)\snot\sfound\son\sthis\sserver\b | \bcould\snot\sfind\sth(?:at|is)\s(?:paper|page|article|item|document)\b | \bupstream\sserver\b | \bdid\snot\sanswer\sin\stime\b
     | \b(?:page|item|article|resource|document|content|record)\s(?:is\s(?:not|currently\snot|no\slonger)\savailable|has\sbeen\sremoved|does\snot\sexist|no\slonger\sexists|cannot\sbe\s(?:displayed|shown|found)) | \btemporarily\sunavailable\b | ^\W*(?:bad\sgateway|not\savailable|page\snot\sfound|problem\sloading\spage|not\sfound|forbidden|service\sunavailable|access\sdenied|internal\sserver\serror|gateway\stime-?out)\b
     | \byou\sdo\snot\shave\s(?:permission|access)\b | \baccess\s(?:to\sth\w+\s\w+\s)?(?:is|was)?\s?denied\b\W*(?:$|-) | \b(?:login|subscription|sign-?in|registration|authentication)\s(?:is\s)?(?:required|needed)\b | \b(?:sign|log)\sin\sto\s(?:download|read|view|access|continue)\b | \binstitution\sdoes\snot\ssubscribe\b | \btoo\smany\s(?:downloads|requests)\b | ^\W*your\ssession\shas\s(?:expired|timed) | \bsession\shas\sexpired\b\W*$ | \bsomething\swent\swrong\b | \bwe\sare\ssorry,\sbut\b | \bcontact\sthe\shelp\s?desk\b | \breturn\sto\sthe\ssearch\spage\b
-    | \bconversion\s(?:to\s\w+\s)?(?:failed|stopped|aborted|error)\b | \bfull\stext\scould\snot\sbe\s | \b(?:document|file|request)\sprocessing\s(?:error|failed)\b | \bno\ssource\sfiles\sin\sthe\spackage\b | \barchive\sis\sdamaged\b | \bunhandled\sexception\b | \btraceback\s(?:in|while|\(most)\b | \b(?:key|timeout|value|type|runtime|memory|unicode\w+)error\b | \blatex\serror\b | \bundefined\scontrol\ssequence\b | \bfatal\serror\soccurred\b | \bemergency\sstop\b | \brunaway\sargument\b | \bno\s(?:pages\sof\soutput|output\spdf)\b | \bmissing\s\\?\$\sinserted\b
+    | \bconversion\s(?:to\s\w+\s)?(?:failed|stopped|aborted|error)\b | \bfull\stext\scould\snot\sbe\s | \b(?:document|file|request)\sprocessing\s(?:error|failed)\b | \bno\ssource\sfiles\sin\sthe\spackage\b | \barchive\sis\sdamaged\b | \bunhandled\sexception\b | \btraceback\s(?:in|while|\(most)\b | \b(?:key|timeout|value|type|runtime|memory|unicodedecode|unicodeencode)error\b | \blatex\serror\b | \bundefined\scontrol\ssequence\b | \bfatal\serror\soccurred\b | \bemergency\sstop\b | \brunaway\sargument\b | \bno\s(?:pages\sof\soutput|output\spdf)\b | \bmissing\s\\?\$\sinserted\b
     | \b(?:document|article|page|texte)\s(?:est\sintrouvable|n.existe\splus|n.est\s(?:pas|plus)\sdisponible) | \bréessayez\splus\stard\b | \baccès\s(?:refusé|interdit) | \berreur\s(?:interne|du\sserveur)\b | \bsession\sa\sexpiré\b | \b(?:documento|artículo|página)\s(?:no\s(?:existe|está\sdisponible|se\sencuentra)|ya\sno\sexiste)\b | \bno\sse\s(?:encontró|ha\sencontrado|pudo)\s\w+ | \bvuelva\sa\sintentarlo\b | \bacceso\sdenegado\b | \b(?:seite|dokument|artikel)\s(?:wurde\snicht\sgefunden|ist\snicht\s(?:mehr\s)?(?:verfügbar|vorhanden)|existiert\snicht) | \bversuchen\ssie\ses\sspäter\b | \bzugriff\sverweigert\b
 
     | \b(?:enable|allow|turn\son|activate|switch\s(?:\w+\s)?on|permit)\b[^.]{0,30}\b(?:javascript|scripts?|scripting|js|cookies)\b | \b(?:javascript|scripts?|scripting|js|cookies)\s(?:and\s\w+\s)?(?:is|are|must\sbe|has\sto\sbe|to\sbe)\s(?:currently\s)?(?:disabled|blocked|turned\soff|required|needed|enabled|off|permitted|not\s\w+)\b | \bswitch\sscripts\son\b
@@ -84,7 +86,22 @@ LATIN = frozenset(
     mauris fringilla integer vitae turpis eget porta egestas nibh felis arcu cras semper justo lectus blandit ornare sodales rutrum litora torquent
     congue ultrices urna sapien auctor tempus placerat quisque venenatis aliquam nullam phasellus""".split()
 )
-_WORD = re.compile(r"\\[A-Za-z]+|[^\W\d_]{2,}|\d+|\.\.\.")
+TRIGGERS = frozenset(
+    # fixed values: words of which each phrase holds one
+    """
+    acceso access accès added allowed angeben announced answer aqui aquí authentication author authors available backend blind blindtext browser cannot code come comes
+    completar completed completer compléter consecteter consectetuer consectetur conversion cookies could damaged delete denied determined diesen disponible dolor
+    downloads dummy einfügen eingeben einsetzen eintragen emergency encontrado encontró encuentra ergänzen erreur error escribir exist existe existiert exists fatal fault
+    fehler fehlt fill filled filler find fixme folgt forbidden found fournir fülltext gateway gefunden go goes gone happens help helpdesk here http human ici inserted
+    institution introuvable javascript js keyerror latex line loading login lorem many memoryerror noch nothing output overwrite package pages paragraph passage payment
+    permission placeholder platzhalter platzhaltertext please problem processing provided pudo quota redactar reemplace registration rellenar reload removed remplacer
+    remplacez rendering replace request requests return runaway runtimeerror rédiger réessayez schreiben script scripting scripts sentence server service session sign
+    skripte sobrescriba sorry status subscription supplied sustituya tba tbc tbd text texte texto timeout timeouterror title todo traceback typeerror unauthorized
+    unavailable undefined unhandled unicodedecodeerror unicodeencodeerror upstream valueerror venir verfügbar versuchen vorhanden vuelva window word written wrong xxx
+    zugriff écrire
+    """.split()
+)
+_WORD = re.compile(r"\\[a-z]+|[a-zß-öø-ÿœ]{2,}|[0-9]+|\.\.\.")
 _FIELD = re.compile(r"\\(title|author|affiliation|section|subsection|centerline|beginsection)\b|\\bf\b")
 
 
@@ -105,25 +122,31 @@ def latin(words: list[str]) -> bool:
 
 def words_of(segment: str) -> list[str]:
     """Words of two letters or more, numbers as ``0``, and commands that set filler; formulas leave next to nothing."""
-    return [w if not w[0].isdigit() else "0" for w in _WORD.findall(segment.lower()) if w[0] != "\\" or FILLER_COMMAND.fullmatch(w)]
+    return ["0" if w < ":" and w != "..." else w for w in _WORD.findall(segment.lower()) if w[0] != "\\" or FILLER_COMMAND.fullmatch(w)]
+
+
+def marked(segment: str) -> bool:
+    """Whether a segment holds an unfilled mark."""
+    return _MAYBE.search(segment) is not None and PLACEHOLDER.search(segment) is not None
 
 
 def weak_label(segment: str) -> bool:
     """What phrases, marks and response statuses say about a segment."""
-    if PLACEHOLDER.search(segment) or FILLER_COMMAND.search(segment):
-        return True
-    if DISCUSSED.search(segment):
-        return False
-    if PHRASES.search(segment):
+    if marked(segment) or FILLER_COMMAND.search(segment):
         return True
     w = words_of(segment)
-    return repeated(w) or latin(w)
+    if not TRIGGERS.isdisjoint(w) and PHRASES.search(segment):
+        return not DISCUSSED.search(segment)
+    return (repeated(w) or latin(w)) and not DISCUSSED.search(segment)
 
 
 _BASE = 1 << BITS
 _index: dict[str, int] = {}
 
 
+_EDGE = zlib.crc32(b"^")
+
+
 def _hash(w: str) -> int:
     h = _index.get(w)
     if h is None:
@@ -134,55 +157,47 @@ def _hash(w: str) -> int:
 
 
 def _document(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all segments of a document, and where each segment's features begin."""
+    """Hashed features of all segments of a document, and the number of the segment that each belongs to."""
     uni: list[int] = []
-    starts: list[int] = []
-    extra: list[list[int]] = []
+    sizes: list[int] = []
+    extra: list[int] = []
+    length = f"#doc{min(len(segs), 24) // 3}"
+    marks_here = _MAYBE.search("\n".join(segs)) is not None
     for s in segs:
         w = words_of(s)
-        starts.append(len(uni))
-        uni += [_hash("^"), *map(_hash, w), _hash("$")]
+        n, kinds = len(w), set(w)
         m = _FIELD.search(s)
-        n, kinds = len(w), len(set(w))
-        marks = [f"#len{min(n, 60) // 4}", f"#kinds{int(4 * kinds / max(n, 1))}", f"#head{m.group() if m else ''}", f"#latin{sum(x in LATIN for x in w) * 4 // max(n, 1)}", f"#doc{min(len(segs), 24) // 3}"]
-        if PLACEHOLDER.search(s):
-            marks.append("#mark")
-        extra.append([_hash(x) for x in marks])
+        marks = (f"#len{min(n, 60) // 4}", f"#kinds{4 * len(kinds) // max(n, 1)}", f"#head{m.group() if m else ''}", f"#latin{4 * len(kinds & LATIN) // max(len(kinds), 1)}", length, "#mark" if marks_here and marked(s) else "#plain")
+        extra += map(_hash, marks)
+        uni.append(_EDGE)
+        uni += map(_hash, w)
+        sizes.append(n + 1)
     a = np.array(uni, np.int64)
-    bi = np.empty(len(a), np.int64)
-    bi[:-1], bi[-1] = a[:-1] * 1_000_003 + a[1:], 0
-    order, begins, at = [], [], 0
-    ends = [*starts[1:], len(a)]
-    for b, e, x in zip(starts, ends, extra, strict=True):
-        begins.append(at)
-        part = np.concatenate([a[b:e], bi[b : e - 1] ^ 0x5BD1E995, np.array(x, np.int64)])
-        order.append(part)
-        at += len(part)
-    return np.concatenate(order) % _BASE, np.array(begins, np.int64)
+    bi = a * 1_000_003 + np.append(a[1:], _EDGE) ^ 0x5BD1E995
+    seg = np.repeat(np.arange(len(segs)), sizes)
+    return np.concatenate([a, bi, np.array(extra, np.int64)]) % _BASE, np.concatenate([seg, seg, np.repeat(np.arange(len(segs)), len(extra) // len(segs))])
 
 
 def train(texts: list[str | None]) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression on the weak labels of the texts' segments."""
-    idx, begins, y, at = [], [], [], 0
+    idx, row, y = [], [], []
     for t in texts:
         segs = segments(t) if t else []
         if not segs:
             continue
-        f, b = _document(segs)
+        f, seg = _document(segs)
         idx.append(f)
-        begins.append(b + at)
-        at += len(f)
+        row.append(seg + len(y))
         y += [weak_label(s) for s in segs]
     w, bias = np.zeros(_BASE), -4.0
     label = np.array(y, np.float64)
-    if not at or not label.any() or label.all():
+    if not label.any() or label.all():
         return w.astype(np.float32), bias
-    f, b = np.concatenate(idx), np.concatenate(begins)
-    rows = np.repeat(np.arange(len(b)), np.diff(np.append(b, len(f))))
+    f, rows = np.concatenate(idx), np.concatenate(row)
     weight = np.where(label > 0, min(20.0, (len(label) - label.sum()) / label.sum()), 1.0) / len(label)
     g2, gb2 = np.full(_BASE, 1e-12), 1e-12
     for _ in range(EPOCHS):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[f], b) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[f], len(label)) + bias, -30, 30)))
         r = (p - label) * weight
         g = np.bincount(f, r[rows], _BASE) + DECAY * w
         g2 += g * g
@@ -197,8 +212,8 @@ def judge(text: str | None, w: np.ndarray, bias: float) -> tuple[float, int, boo
     segs = segments(text) if text else []
     if not segs:
         return -30.0, 0, False
-    f, b = _document(segs)
-    score = np.add.reduceat(w[f], b) + bias
+    f, seg = _document(segs)
+    score = np.bincount(seg, w[f], len(segs)) + bias
     hits = 0
     for i in np.flatnonzero(score >= LIKELY):
         hits += bool(weak_label(segs[i]) or (score[i] >= CLEAR and not DISCUSSED.search(segs[i])))
@@ -227,7 +242,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, float]:
         w, bias = train([t for _, t in sorted(rows, key=lambda r: r[0])])
         yield pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
 
-    got = sample.where(F.col("doc_id").isNotNull()).coalesce(1).mapInPandas(run, "w binary, bias double").first()
+    got = sample.where(F.col("doc_id").isNotNull()).repartition(1).mapInPandas(run, "w binary, bias double").first()
     return (bytes(got["w"]), float(got["bias"])) if got else (np.zeros(_BASE, np.float32).tobytes(), -4.0)
 
 
