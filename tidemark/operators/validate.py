@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.schema import DType, FeatureField, FeatureSchema
 
@@ -11,41 +12,52 @@ MAX_ID_BYTES = 256
 _RANGE = {DType.INT32: (-(1 << 31), (1 << 31) - 1), DType.INT64: (-(1 << 63), (1 << 63) - 1), DType.UINT8: (0, 255)}
 
 
-def _whole(v: Column, dtype: DType) -> Column:
+def _whole(v: Column, dtype: DType, kind: T.DataType) -> Column:
     """An integer of a lax value: a number or numeric text without fraction, in range; else null."""
-    text = v.cast("string")
-    i = F.coalesce(text.try_cast("bigint"), F.when(text.try_cast("double") == F.floor(text.try_cast("double")), text.try_cast("decimal(38,10)").try_cast("bigint")))
     lo, hi = _RANGE[dtype]
-    return F.when(i.between(lo, hi), i).try_cast(dtype.spark_type)
+    if isinstance(kind, T.IntegralType):
+        return F.when(v.between(lo, hi), v).cast(dtype.spark_type)
+    d = v.try_cast("decimal(38,10)")
+    return F.when((d == F.floor(d)) & d.between(lo, hi), d).cast(dtype.spark_type)
 
 
-def _scalar(v: Column, dtype: DType) -> Column:
+def _scalar(v: Column, dtype: DType, kind: T.DataType) -> Column:
+    """The value cast to its dtype, null when it does not fit; ``kind`` is the type that it comes as."""
     if dtype in _RANGE:
-        return _whole(v, dtype)
-    return v.cast("string").try_cast("double").try_cast(dtype.spark_type)
+        return _whole(v, dtype, kind)
+    return v.try_cast("double").cast(dtype.spark_type)
 
 
-def _field(f: FeatureField, c: Column) -> tuple[Column, Column]:
-    """The typed value, and the reason why there is none (null when there is)."""
+def _typed(f: FeatureField, kind: T.DataType) -> Column:
+    """The field's typed value; elements that do not fit are null."""
+    c = F.col(f.name)
+    for _ in f.shape:
+        kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if not f.shape:
+        return _scalar(c, f.dtype, kind)
+    if len(f.shape) == 1:
+        return F.transform(c, lambda x: _scalar(x, f.dtype, kind))
+    return F.transform(c, lambda r: F.transform(r, lambda x: _scalar(x, f.dtype, kind)))
+
+
+def _reason(f: FeatureField, c: Column, v: Column) -> Column:
+    """Why the value ``v`` of ``c`` is none; null when it is one."""
     missing = F.when(c.isNull(), F.lit(f"missing:{f.name}"))
     bad = F.lit(f"type:{f.name}")
     if not f.shape:
-        v = _scalar(c, f.dtype)
         reason = F.when(v.isNull(), bad)
         if f.dtype is DType.FLOAT32:
             # a finite number that single precision cannot hold is refused; NaN and infinity are values
-            wide = c.cast("string").try_cast("double")
-            reason = F.coalesce(reason, F.when(F.abs(v.cast("double")).eqNullSafe(F.lit(float("inf"))) & (F.abs(wide) < float("inf")), F.lit(f"overflow:{f.name}")))
-        return v, F.coalesce(missing, reason)
+            over = (F.abs(v) == F.lit(float("inf"))) & (F.abs(c.try_cast("double")) < float("inf"))
+            reason = F.coalesce(reason, F.when(over, F.lit(f"overflow:{f.name}")))
+        return F.coalesce(missing, reason)
     size = F.size(c) != f.shape[0]
     if len(f.shape) == 1:
-        v = F.transform(c, lambda x: _scalar(x, f.dtype))
         nulls = F.exists(v, lambda x: x.isNull())
     else:
         size = size | F.exists(c, lambda r: r.isNull() | (F.size(r) != f.shape[1]))
-        v = F.transform(c, lambda r: F.transform(r, lambda x: _scalar(x, f.dtype)))
         nulls = F.exists(v, lambda r: F.exists(r, lambda x: x.isNull()))
-    return v, F.coalesce(missing, F.when(size, F.lit(f"length:{f.name}")), F.when(nulls, bad))
+    return F.coalesce(missing, F.when(size, F.lit(f"length:{f.name}")), F.when(nulls, bad))
 
 
 def checked(df: DataFrame, schema: FeatureSchema, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -59,7 +71,9 @@ def checked(df: DataFrame, schema: FeatureSchema, carried: tuple[str, ...] = ())
     extra = [c for c in df.columns if c not in schema.names and c not in ("entity_id", "event_time_ns", "msg_id_ms", "msg_id_seq", "event_date", "_unknown", *carried)]
     if gone or extra:
         raise ValueError(f"missing fields: {gone}; unknown columns: {extra}")
-    typed = {f.name: _field(f, F.col(f.name)) for f in schema.fields}
+    # values first, reasons over them in a second projection, so that no cast is repeated
+    kinds = {x.name: x.dataType for x in df.schema.fields}
+    df = df.withColumns({f"_v_{f.name}": _typed(f, kinds[f.name]) for f in schema.fields})
     e = F.col("entity_id")
     reason = F.coalesce(
         F.when(e.isNull(), F.lit("entity:null")),
@@ -67,10 +81,10 @@ def checked(df: DataFrame, schema: FeatureSchema, carried: tuple[str, ...] = ())
         F.when(F.octet_length(e) > MAX_ID_BYTES, F.lit("entity:too_long")),
         F.when(F.col("event_time_ns").isNull(), F.lit("time:null")),
         F.when(F.size("_unknown") > 0, F.concat(F.lit("unknown:"), F.array_join("_unknown", ","))) if "_unknown" in df.columns else F.lit(None).cast("string"),
-        *[r for _, r in typed.values()],
+        *[_reason(f, F.col(f.name), F.col(f"_v_{f.name}")) for f in schema.fields],
     )
-    rest = [c for c in df.columns if c not in schema.names and c not in ("entity_id", "event_time_ns")]
-    return df.select("entity_id", "event_time_ns", *[v.alias(n) for n, (v, _) in typed.items()], *rest, reason.alias("_reason"))
+    rest = [c for c in kinds if c not in schema.names and c not in ("entity_id", "event_time_ns")]
+    return df.select("entity_id", "event_time_ns", *[F.col(f"_v_{n}").alias(n) for n in schema.names], *rest, reason.alias("_reason"))
 
 
 def split_valid(df: DataFrame, schema: FeatureSchema) -> tuple[DataFrame, DataFrame]:
