@@ -27,9 +27,13 @@ def points(updates: DataFrame, state: tuple[str, ...] = STATE) -> DataFrame:
     return g.select("entity_id", "valid_from_ns", *[F.col(f"_s.{c}").alias(c) for c in ("msg_id_ms", "msg_id_seq", *state)])
 
 
-def intervals(pts: DataFrame, fields: tuple[str, ...], hot_rows: int) -> DataFrame:
+def hot_entities(updates: DataFrame, hot_rows: int) -> DataFrame:
+    """Hot entities with the cuts of their time lines, from the updates as they are."""
+    return hot_keys(updates.select("entity_id", F.col("event_time_ns").alias("valid_from_ns")), "entity_id", "valid_from_ns", hot_rows)
+
+
+def intervals(pts: DataFrame, fields: tuple[str, ...], hot: DataFrame) -> DataFrame:
     """Each point with the time of the entity's next point, -1 for the last; ``_prev`` is the point before."""
-    hot = hot_keys(pts, "entity_id", "valid_from_ns", hot_rows)
     n = neighbours(with_blocks(pts, "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", ["valid_from_ns", *fields])
     return n.withColumn("valid_to_ns", F.coalesce(F.col("_next.valid_from_ns"), F.lit(-1).cast("bigint"))).drop("_next")
 
@@ -42,13 +46,14 @@ def apply_updates(ledger: DataFrame | None, updates: DataFrame, recorded_at: int
     """
     cols = ["entity_id", "valid_from_ns", "valid_to_ns", *state, "msg_id_ms", "msg_id_seq"]
     if ledger is None:
-        swept = intervals(points(updates, state), state, hot_rows)
+        swept = intervals(points(updates, state), state, hot_entities(updates, hot_rows))
         return swept.select(*cols, F.lit(recorded_at).cast("bigint").alias("recorded_from"), F.lit(-1).cast("bigint").alias("recorded_to"))
     touched = updates.select("entity_id").distinct()
     same = ledger["entity_id"].eqNullSafe(touched["entity_id"])
     current = ledger.where(F.col("recorded_to") == -1).join(touched, same, "left_semi")
     known = current.select("entity_id", F.col("valid_from_ns").alias("event_time_ns"), *state, "msg_id_ms", "msg_id_seq")
-    swept = intervals(points(known.unionByName(updates.select(*known.columns)), state), state, hot_rows).select(*cols)
+    both = known.unionByName(updates.select(*known.columns))
+    swept = intervals(points(both, state), state, hot_entities(both, hot_rows)).select(*cols)
     # old and new rows of an interval meet by all their columns: what is on both sides stays as it is
     old = ledger.select(*cols, "recorded_from", "recorded_to", F.lit(1).alias("_old"), F.lit(0).alias("_new"))
     closed, live = old.where(F.col("recorded_to") != -1), old.where(F.col("recorded_to") == -1)
@@ -66,12 +71,12 @@ def as_recorded(ledger: DataFrame, at: int) -> DataFrame:
     return ledger.where((F.col("recorded_from") <= at) & ((F.col("recorded_to") == -1) | (F.col("recorded_to") > at)))
 
 
-def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = 100_000, hot: DataFrame | None = None) -> DataFrame:
     """Current intervals with adjacent equal states joined: entity_id, valid_from_ns, valid_to_ns and the state.
 
-    NaN equals NaN and null equals null.
+    NaN equals NaN and null equals null. ``hot``: hot entities, if they are known already.
     """
-    hot = hot_keys(current, "entity_id", "valid_from_ns", hot_rows)
+    hot = hot_keys(current, "entity_id", "valid_from_ns", hot_rows) if hot is None else hot
     n = neighbours(with_blocks(current.select("entity_id", "valid_from_ns", *state), "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", [*state])
     changed = F.col("_prev").isNull()
     for c in state:
@@ -84,4 +89,4 @@ def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int =
 def item_versions(updates: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
     """Versions of each entity from all its updates and snapshots, late ones in their place."""
     ledger = apply_updates(None, updates, 0, state, hot_rows)
-    return versions(ledger.where(F.col("recorded_to") == -1), state, hot_rows)
+    return versions(ledger.where(F.col("recorded_to") == -1), state, hot_rows, hot_entities(updates, hot_rows))
