@@ -104,6 +104,37 @@ def test_mix_reaches_shares_and_respects_repeats(spark):
     assert mixing.select(df.limit(0), t).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.tuples(st.sampled_from(["journal_dump", "errata_feed", "thesis_repo", "stray"]), st.sampled_from(["en", "de", "other"])), st.integers(1, 10_000), min_size=1), st.lists(st.integers(0, 3), min_size=5, max_size=5))
+def test_default_total_is_the_largest_that_the_sources_allow(tokens, repeats):
+    names = ["journal_dump", "errata_feed", "referee_reports", "thesis_repo", "stray"]  # the third is always empty
+    targets = list(zip(names, [0.4, 0.1, 0.2, 0.2, 0.1], repeats, strict=True))
+
+    def reached(total):
+        root = mixing.build_tree(targets, tokens)
+        root.allocate(total)
+        return {s: sum(leaf.budget for path, leaf in root.leaves() if path[-1] == s) for s in names}
+
+    usable = {s for (s, _) in tokens if dict(zip(names, repeats, strict=True))[s]}
+    best = mixing.feasible_total(targets, tokens)
+    if not usable:
+        assert best == 0
+        return
+    share = reached(1.0)
+    assert sum(share.values()) == pytest.approx(1)
+    assert all(n == pytest.approx(share[s] * best) for s, n in reached(best).items())
+    assert any(n < share[s] * best * 1.01 * (1 - 1e-6) for s, n in reached(best * 1.01).items())
+
+
+def test_empty_source_next_to_a_tiny_language_leaf():
+    targets = [("journal_dump", 0.6, 1), ("errata_feed", 0.3, 1), ("referee_reports", 0.1, 1)]
+    tokens = {("journal_dump", "en"): 1000, ("journal_dump", "other"): 10, ("errata_feed", "en"): 504, ("errata_feed", "other"): 1}
+    assert mixing.feasible_total(targets, tokens) == pytest.approx(1515)
+    root = mixing.build_tree(targets, tokens)
+    root.allocate(1515)
+    assert {path[1:]: leaf.budget for path, leaf in root.leaves() if leaf.capacity} == pytest.approx({(lang, s): n for (s, lang), n in tokens.items()})
+
+
 # --- residue ---
 ARTICLE = r"""\documentclass{article}
 \usepackage{lipsum}

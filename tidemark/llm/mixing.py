@@ -78,7 +78,7 @@ class Node:
 
 
 def build_tree(targets: list[tuple[str, float, int]], tokens: dict[tuple[str, str], int]) -> Node:
-    """Tree of the target sources. ``tokens``: tokens by (source, language). A source's weight is spread over its languages as its tokens are; a source without documents stands once, with no capacity."""
+    """Tree of the target sources. ``tokens``: tokens by (source, language). A source's weight is spread over its languages as its tokens are; that of a source without usable documents, with no capacity, over the languages of its domain as their weights are, so that it leaves its share to its siblings evenly."""
     root = Node("all")
     nodes: dict[tuple[str, ...], Node] = {(): root}
 
@@ -88,26 +88,39 @@ def build_tree(targets: list[tuple[str, float, int]], tokens: dict[tuple[str, st
             at(path[:-1]).children.append(nodes[path])
         return nodes[path]
 
+    spread: dict[str, dict[str, float]] = {}
+    own: dict[str, dict[str, int]] = {}
     for source, share, repeats in sorted(targets):
-        own = {lang: n for (s, lang), n in sorted(tokens.items()) if s == source and n > 0}
-        total = sum(own.values())
-        for lang, n in own.items() or [("other", 0)]:
+        own[source] = {lang: n for (s, lang), n in sorted(tokens.items()) if s == source and n > 0 and repeats > 0}
+        total = sum(own[source].values())
+        for lang, n in own[source].items():
+            here = spread.setdefault(domain(source), {})
+            here[lang] = here.get(lang, 0.0) + share * n / total
+    for source, share, repeats in sorted(targets):
+        parts = own[source] or spread.get(domain(source)) or {"other": 1.0}
+        total = sum(parts.values())
+        for lang, n in parts.items():
             leaf = at((domain(source), lang, source))
-            leaf.weight, leaf.capacity = share * (n / total if total else 1.0), float(n * max(0, repeats))
+            leaf.weight, leaf.capacity = share * (n / total), float(n * repeats) if own[source] else 0.0
     return root.settle()
 
 
 def feasible_total(targets: list[tuple[str, float, int]], tokens: dict[tuple[str, str], int]) -> float:
     """The largest total at which no source that has documents is short.
 
-    Shares of sources without documents are redistributed by the tree first.
+    Shares of sources without documents are redistributed by the tree first. They scale a domain evenly, so the leaves of
+    a source are full at the same total, and its capacity over all languages decides.
     """
     root = build_tree(targets, tokens)
-    real = {path: leaf.capacity for path, leaf in root.leaves()}
-    for _, leaf in root.leaves():
+    real: dict[str, float] = {}
+    for path, leaf in root.leaves():
+        real[path[-1]] = real.get(path[-1], 0.0) + leaf.capacity
         leaf.capacity = float("1e30") if leaf.capacity > 0 else 0.0
     root.settle().allocate(1.0)
-    return min((real[path] / leaf.budget for path, leaf in root.leaves() if leaf.budget > 0), default=0.0)
+    share = dict.fromkeys(real, 0.0)
+    for path, leaf in root.leaves():
+        share[path[-1]] += leaf.budget
+    return min((real[s] / b for s, b in share.items() if b > 0), default=0.0)
 
 
 def select(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 11) -> DataFrame:
