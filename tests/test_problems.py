@@ -1,5 +1,8 @@
 """Problems 1 to 7 on small tables with the awkward cases: nulls, ties, repeats, empty tables, extra columns, hot keys."""
 
+import json
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark.functions import DAY_NS
 from tidemark.operators import compaction, drift, history, incremental, late, quotient, versions
+from tidemark.plans import problems
 from tidemark.schema import DType, FeatureField, FeatureSchema
 
 LOG = "delivery_no bigint, shard int, batch_no int, file_no bigint, event_date string, entity_id string, event_time_ns bigint, age int, clicks bigint, ltv double, score float, msg_id_ms bigint, msg_id_seq int"
@@ -244,6 +248,71 @@ def test_unified_table(spark):
     assert got == {1: ({"a": "1"}, '{"b":"2"}'), 2: ({}, '{"a":"1.5"}'), 3: ({}, None)}
 
 
+RECORDS = "record_id bigint, schema_name string, file_seq int, entity_id string, event_time_ns bigint, payload string"
+
+
+def test_values_under_earlier_names_reach_the_typed_field(spark):
+    f = [
+        ("S", 1, 1, 0, "a", "i32", ""), ("S", 1, 1, 1, "v", "f32", "[2]"), ("S", 1, 1, 2, "gone", "u8", ""),
+        ("S", 2, 4, 0, "b", "3", None), ("S", 2, 4, 1, "v", "f32", "[2]"), ("S", 2, 4, 3, "a", "f64", ""),  # a was renamed, another a came
+        ("S", 3, 9, 0, "c", "i64", ""), ("S", 3, 9, 1, "w", "f32", "(2)"), ("S", 3, 9, 2, "gone", "u8", ""), ("S", 3, 9, 3, "a", "f64", ""),
+        ("S", 2, 6, 0, "b", "i64", None), ("S", 2, 6, 1, "v", "f32", "[2]"), ("S", 2, 6, 3, "a", "f64", ""),
+    ]
+    recs = [
+        (1, "S", 1, "e", 1, '{"a": 7, "v": [1, 2], "gone": 3, "odd": 4}'), (2, "S", 4, "e", 2, '{"b": 8, "a": 0.5}'), (3, "S", 9, "e", 3, '{"c": 9, "w": [3, 4], "b": 1}'),
+        (4, "S", 1, "e", 4, '{"a": 7, "c": 6}'), (5, "S", 1, "e", 5, '{"a": 1.5, "c": 6}'), (6, "T", 1, "e", 6, '{"a": 1}'), (7, "S", 1, None, None, None), (8, "S", None, "e", 8, '{"a": 2}'),
+    ]
+    fields = spark.createDataFrame(f, FIELDS)
+    t = drift.unified(spark.createDataFrame(recs, RECORDS), drift.latest_target(fields), drift.final_names(fields))
+    got = {r["record_id"]: (r["features"], r["_rescued"]) for r in t.collect()}
+    assert got == {
+        1: ({"c": "7", "w": "[1,2]", "gone": "3"}, '{"odd":"4"}'), 2: ({"c": "8", "a": "0.5"}, None), 3: ({"c": "9", "w": "[3,4]"}, '{"b":"1"}'),
+        4: ({"c": "7"}, '{"c":"6"}'), 5: ({"c": "6"}, '{"a":"1.5"}'), 6: ({}, '{"a":"1"}'), 7: ({}, None), 8: ({"a": "2"}, None),
+    }
+    long = rows(drift.table_long(t).select("record_id", "field_name", "value", "rescued"))
+    assert [x for x in long if x[0] in (4, 7)] == [(4, "c", "6", True), (4, "c", "7", False), (7, None, None, None)]
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def test_table_against_brute_force(spark):
+    read = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
+    files, report = {}, {}
+    for r in drift.declared_fields(read("schema_fields")).collect():
+        files.setdefault(r["schema_name"], {}).setdefault(r["file_seq"], {})[r["field_name"]] = (r["pos"], r["dtype"], tuple(r["dims"]))
+    for r in drift.field_changes(read("schema_fields")).where("change_kind = 'renamed'").collect():
+        report.setdefault((r["schema_name"], r["file_seq"]), set()).add(r["field_name"])
+
+    def final(schema, seq, name):  # from the record's file on
+        fs = files.get(schema, {})
+        for at in sorted(x for x in fs if x > seq):
+            was, now = fs[max(x for x in fs if x < at)], fs[at]
+            if name not in now:
+                name = next((n for n in report.get((schema, at), ()) if n not in was and now[n] == was[name]), None)
+                if name is None:
+                    return None
+        return name
+
+    want, by_name = {}, 0
+    for r in read("drift_records").collect():
+        schema, seq = r["schema_name"], r["file_seq"]
+        last = files[schema][max(files[schema])]
+        for k, v in (json.loads(r["payload"]) if r["payload"] else {}).items():
+            if v is not None:
+                to = final(schema, seq, k)
+                by_name += to is not None and to != k and k not in last
+                want[r["record_id"], k] = to if to is not None else k if k in last and k not in {final(schema, seq, n) for n in files[schema][seq]} else None
+    long = drift.rescued_long(read("drift_records"), drift.latest_target(read("schema_fields")), drift.final_names(read("schema_fields"))).collect()
+    got = {(r["record_id"], r["source_name"]): r["field_name"] for r in long}
+    assert by_name > 0 and [(k, got.get(k), want.get(k)) for k in got.keys() | want.keys() if k not in got or k not in want or got[k] != want[k]] == []
+    t = problems.p6_table(spark, DATA).where("field_name is not null")
+    assert t.count() == len(want)  # nothing lost, nothing twice
+    typed = {(r["record_id"], r["field_name"]) for r in t.where("not rescued").collect()}
+    assert sorted(typed ^ {(r["record_id"], r["field_name"]) for r in long if r["typed"]}) == []
+
+
 # --- 7 ---
 LIST = "listing_no bigint, file_no bigint, file_path string, event_date string, n_rows int, n_bytes bigint, batch_no int, written_ms bigint, replaced_by bigint, listed_ms bigint"
 

@@ -6,6 +6,7 @@ a rescue column; fields approved later are promoted, and the rescued values are
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,10 @@ def file_order(fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     return n.select("schema_name", "file_seq", F.col("_prev.file_seq").alias("prev_seq"), F.col("_next.file_seq").alias("next_seq"))
 
 
-def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
-    """Changes of each file against the one before it: schema_name, file_seq, field_name, change_kind.
-
-    Kinds: added, removed, renamed (under the new name), retyped, reshaped. A first file has none. Fields are carried to
-    the file they are compared in and meet there by one grouping; no file list is gathered in one task.
-    """
-    fields = declared_fields(schema_fields)
+def _met(fields: DataFrame, hot_rows: int) -> DataFrame:
+    """Each field of a file beside that of the same name in the file before: schema_name, file_seq, field_name, new, old."""
     placed = fields.join(file_order(fields, hot_rows), ["schema_name", "file_seq"])
     d = F.struct("pos", "dtype", "dims")
-    none = F.lit(None)
     sides = placed.select(
         "schema_name",
         "field_name",
@@ -72,7 +67,25 @@ def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFram
             )
         ).alias("s"),
     ).where(F.col("s.at").isNotNull())
-    met = sides.groupBy("schema_name", F.col("s.at").alias("file_seq"), "field_name").agg(F.max("s.new").alias("new"), F.max("s.old").alias("old"))
+    return sides.groupBy("schema_name", F.col("s.at").alias("file_seq"), "field_name").agg(F.max("s.new").alias("new"), F.max("s.old").alias("old"))
+
+
+def _slots(met: DataFrame) -> DataFrame:
+    """Added and removed names that agree in position, dtype and shape, both of which make a rename: schema_name, file_seq, came, went."""
+    single = met.where(F.col("new").isNull() | F.col("old").isNull()).withColumn("d", F.coalesce("new", "old"))
+    return single.groupBy("schema_name", "file_seq", "d", F.when(F.col("d.pos").isNull(), F.col("field_name")).alias("_only")).agg(
+        F.collect_set(F.when(F.col("new").isNotNull(), F.col("field_name"))).alias("came"), F.collect_set(F.when(F.col("old").isNotNull(), F.col("field_name"))).alias("went")
+    )
+
+
+def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """Changes of each file against the one before it: schema_name, file_seq, field_name, change_kind.
+
+    Kinds: added, removed, renamed (under the new name), retyped, reshaped. A first file has none. Fields are carried to
+    the file they are compared in and meet there by one grouping; no file list is gathered in one task.
+    """
+    met = _met(declared_fields(schema_fields), hot_rows)
+    none = F.lit(None)
     both = met.where(F.col("new").isNotNull() & F.col("old").isNotNull())
     kept = both.select(
         "schema_name",
@@ -80,20 +93,14 @@ def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFram
         "field_name",
         F.explode(F.array(F.when(~F.col("new.dtype").eqNullSafe(F.col("old.dtype")), "retyped").otherwise(none), F.when(~F.col("new.dims").eqNullSafe(F.col("old.dims")), "reshaped").otherwise(none))).alias("change_kind"),
     ).where(F.col("change_kind").isNotNull())
-    single = met.where(F.col("new").isNull() | F.col("old").isNull()).withColumn("d", F.coalesce("new", "old"))
-    # a rename is a removed and an added name that agree in position, dtype and shape
-    slots = (
-        single.groupBy("schema_name", "file_seq", "d", F.when(F.col("d.pos").isNull(), F.col("field_name")).alias("_only"))
-        .agg(F.collect_set(F.when(F.col("new").isNotNull(), F.col("field_name"))).alias("came"), F.collect_set(F.when(F.col("old").isNotNull(), F.col("field_name"))).alias("went"))
-        .select(
-            "schema_name",
-            "file_seq",
-            F.explode(
-                F.when((F.size("came") > 0) & (F.size("went") > 0), F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("renamed").alias("k")))).otherwise(
-                    F.concat(F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("added").alias("k"))), F.transform("went", lambda x: F.struct(x.alias("n"), F.lit("removed").alias("k"))))
-                )
-            ).alias("c"),
-        )
+    slots = _slots(met).select(
+        "schema_name",
+        "file_seq",
+        F.explode(
+            F.when((F.size("came") > 0) & (F.size("went") > 0), F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("renamed").alias("k")))).otherwise(
+                F.concat(F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("added").alias("k"))), F.transform("went", lambda x: F.struct(x.alias("n"), F.lit("removed").alias("k"))))
+            )
+        ).alias("c"),
     )
     return kept.unionByName(slots.select("schema_name", "file_seq", F.col("c.n").alias("field_name"), F.col("c.k").alias("change_kind")))
 
@@ -142,34 +149,90 @@ def _fits(v: Column, dtype: Column, dims: Column) -> Column:
     return F.coalesce(F.when(F.size(dims) == 0, scalar).otherwise(vector), F.lit(False))
 
 
-def rescued_long(records: DataFrame, target: DataFrame) -> DataFrame:
-    """Records in long form against a target: record_id, schema_name, field_name, value, typed.
+def rescued_long(records: DataFrame, target: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Records in long form against a target: record_id, schema_name, source_name, field_name, value, dtype, other, typed.
 
     ``target`` has schema_name, source_name, field_name, dtype, dims: under which name a key of the payload is read and as
-    what. ``typed`` is true when the value fits; other values and keys without a target (field_name null) are rescued.
-    Null values and null or malformed payloads give no rows.
+    what. ``names``, as of ``final_names``, says for the keys that a file declares under which name they are looked up
+    there (null: not at all); ``other`` is true for keys that it does not know, which are looked up as they are. ``typed``
+    is true when the value fits; other values and keys without a target (field_name null) are rescued. Null values and null
+    or malformed payloads give no rows.
     """
-    kv = records.select("record_id", "schema_name", F.explode(F.from_json("payload", "map<string,string>")).alias("source_name", "value")).where(F.col("value").isNotNull())
+    file = ["file_seq"] if names is not None else []
+    kv = records.select("record_id", "schema_name", *file, F.explode(F.from_json("payload", "map<string,string>")).alias("key", "value")).where(F.col("value").isNotNull())
+    if names is None:
+        kv = kv.withColumns({"source_name": F.col("key"), "other": F.lit(False)})
+    else:
+        n = names.select("schema_name", "file_seq", F.col("source_name").alias("key"), F.col("field_name").alias("_to"), F.lit(True).alias("_known"))
+        kv = kv.join(n, ["schema_name", "file_seq", "key"], "left").withColumns({"source_name": F.when(F.col("_known"), F.col("_to")).otherwise(F.col("key")), "other": F.col("_known").isNull()})
     j = kv.join(target.select("schema_name", "source_name", "field_name", "dtype", "dims"), ["schema_name", "source_name"], "left")
-    return j.select("record_id", "schema_name", "source_name", "field_name", "value", "dtype", (F.col("field_name").isNotNull() & _fits(F.col("value"), F.col("dtype"), F.col("dims"))).alias("typed"))
+    return j.select("record_id", "schema_name", F.col("key").alias("source_name"), "field_name", "value", "dtype", "other", (F.col("field_name").isNotNull() & _fits(F.col("value"), F.col("dtype"), F.col("dims"))).alias("typed"))
 
 
-def unified(records: DataFrame, target: DataFrame) -> DataFrame:
+def unified(records: DataFrame, target: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The consistent table: one row per record with its typed values as a map and the rest as JSON.
 
     Columns: record_id, schema_name, entity_id, event_time_ns, features (map of field to value as text, each of which
     casts to the field's declared type) and _rescued (JSON object or null). Records whose payload has no values stay,
-    with an empty map. A record is the row of its ``record_id``.
+    with an empty map. A record is the row of its ``record_id``. Where several keys of a record fit one field, the one that
+    ``names`` knows counts, then the least; the others are rescued.
     """
-    long = rescued_long(records, target)
-    key = F.when(F.col("typed"), F.col("field_name")).otherwise(F.col("source_name"))
-    one = long.groupBy("record_id", "typed", key.alias("k")).agg(F.max("value").alias("value"))
-    entry = F.struct("k", "value")
-    g = one.groupBy("record_id").agg(F.collect_list(F.when(F.col("typed"), entry)).alias("t"), F.collect_list(F.when(~F.col("typed"), entry)).alias("r"))
+    long = rescued_long(records, target, names)
+    g = long.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("typed"), F.struct(F.col("field_name").alias("k"), "other", "source_name", "value")))).alias("t"),
+        F.collect_list(F.when(~F.col("typed"), F.struct(F.col("source_name").alias("k"), "value"))).alias("r"),
+    )
+    first = lambda x, i: (i == 0) | (F.get("t", i - 1)["k"] != x["k"])
+    g = g.withColumn("r", F.array_sort(F.concat("r", F.transform(F.filter("t", lambda x, i: ~first(x, i)), lambda x: F.struct(x["source_name"].alias("k"), x["value"].alias("value"))))))
+    # of a key that stands twice in a payload the greatest value
+    last = F.filter("r", lambda x, i: (i == F.size("r") - 1) | (F.get("r", i + 1)["k"] != x["k"]))
+    t = F.transform(F.filter("t", first), lambda x: F.struct(x["k"].alias("k"), x["value"].alias("value")))
     out = records.select("record_id", "schema_name", "entity_id", "event_time_ns").join(g, "record_id", "left")
     empty = F.create_map().cast("map<string,string>")
-    rescued = F.when(F.size("r") > 0, F.to_json(F.map_from_entries(F.array_sort("r"))))
-    return out.select("record_id", "schema_name", "entity_id", "event_time_ns", F.coalesce(F.map_from_entries("t"), empty).alias("features"), rescued.alias("_rescued"))
+    rescued = F.when(F.size("r") > 0, F.to_json(F.map_from_entries(last)))
+    return out.select("record_id", "schema_name", "entity_id", "event_time_ns", F.coalesce(F.map_from_entries(t), empty).alias("features"), rescued.alias("_rescued"))
+
+
+def table_long(table: DataFrame) -> DataFrame:
+    """The consistent table with a row per value: record_id, schema_name, entity_id, event_time_ns, field_name, value, rescued.
+
+    Rescued values stand under the record's own key. A record without values has one row with null name and value.
+    """
+    entries = lambda c, rescued: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("field_name"), e["value"].alias("value"), F.lit(rescued).alias("rescued")))
+    kept = F.coalesce(F.from_json("_rescued", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return table.select("record_id", "schema_name", "entity_id", "event_time_ns", F.inline_outer(F.concat(entries(F.col("features"), False), entries(kept, True))))
+
+
+def final_names(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """Which field of the last file each declared name became: schema_name, file_seq, source_name, field_name (null: none).
+
+    Names are followed through the renames of ``field_changes``; where several names left and came in one slot they cannot
+    be told apart and are not followed. A name that ends but stands in the last file again is that field, unless another
+    name of the same file became it. The names of a schema's files are followed in one task.
+    """
+    fields = declared_fields(schema_fields)
+    one = _slots(_met(fields, hot_rows)).where((F.size("came") == 1) & (F.size("went") == 1))
+    renames = one.select("schema_name", "file_seq", F.col("came")[0].alias("field_name"), F.col("went")[0].alias("old_name"))
+    named = fields.where(F.col("schema_name").isNotNull()).select("schema_name", "file_seq", "field_name").join(renames, ["schema_name", "file_seq", "field_name"], "left")
+    return named.groupBy("schema_name").applyInPandas(_followed, "schema_name string, file_seq int, source_name string, field_name string")
+
+
+def _followed(p: pd.DataFrame) -> pd.DataFrame:
+    """``final_names`` of one schema, from its last file back."""
+    out, later, became = [], None, {}
+    for seq, f in sorted(p.groupby("file_seq"), key=lambda x: -x[0]):
+        declared = f["field_name"].tolist()
+        if later is None:
+            last = set(declared)
+            to = {n: n for n in declared}
+        else:
+            to = {n: later.get(became.get(n, n)) for n in declared}
+            taken = set(to.values())
+            to |= {n: n for n in declared if to[n] is None and n in last and n not in taken}
+        out += [(p["schema_name"].iloc[0], seq, n, x) for n, x in to.items()]
+        later = to
+        became = {old: new for old, new in zip(f["old_name"], declared, strict=True) if isinstance(old, str)}
+    return pd.DataFrame(out, columns=["schema_name", "file_seq", "source_name", "field_name"])
 
 
 def latest_target(schema_fields: DataFrame) -> DataFrame:

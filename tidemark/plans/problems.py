@@ -71,9 +71,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """The records of all files against the last fields of their schema: how many values were typed and rescued."""
-    t = drift.unified(table(spark, d, "drift_records"), drift.latest_target(table(spark, d, "schema_fields")))
-    return t.select("record_id", "schema_name", F.size("features").alias("n_typed"), F.col("_rescued").isNotNull().alias("has_rescued"))
+    """The values of all records against the last fields of their schema, older names followed through their renames."""
+    f = table(spark, d, "schema_fields")
+    return drift.table_long(drift.unified(table(spark, d, "drift_records"), drift.latest_target(f), drift.final_names(f)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
