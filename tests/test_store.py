@@ -120,6 +120,16 @@ def test_validation_reasons(spark):
         split_valid(df.withColumn("other", F.lit(1)), s)
 
 
+def test_small_fractions_are_no_integers(spark):
+    schema = FeatureSchema("S", 1, [FeatureField("f", DType.INT64)])
+    values = ["2", "2.0", "2.00000000001", "1.99999999999", "9007199254740993", "9007199254740993.5"]
+    for kind in ("string", "double"):
+        df = spark.createDataFrame([(str(i), i, v) for i, v in enumerate(values[: 6 if kind == "string" else 4])], "entity_id string, event_time_ns bigint, f string").withColumn("f", F.col("f").cast(kind))
+        good, bad = split_valid(df, schema)
+        assert sorted(r["f"] for r in good.collect()) == [2, 2] + [9007199254740993] * (kind == "string")
+        assert {r["_reason"] for r in bad.collect()} == {"type:f"}
+
+
 def test_vectors(spark):
     s = FeatureSchema("P", 1, [FeatureField("zebra", DType.FLOAT32), FeatureField("alpha", DType.INT32), FeatureField("m", DType.UINT8, (2, 2)), FeatureField("beta", DType.FLOAT64)])
     t = spark.createDataFrame([("a", 2.5, 777, [[1, 2], [3, 4]], 1e40)], "entity_id string, zebra float, alpha int, m array<array<smallint>>, beta double")

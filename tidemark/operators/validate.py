@@ -17,8 +17,9 @@ def _whole(v: Column, dtype: DType, kind: T.DataType) -> Column:
     lo, hi = _RANGE[dtype]
     if isinstance(kind, T.IntegralType):
         return F.when(v.between(lo, hi), v).cast(dtype.spark_type)
-    d = v.try_cast("decimal(38,10)")
-    return F.when((d == F.floor(d)) & d.between(lo, hi), d).cast(dtype.spark_type)
+    # the decimal rounds a small fraction away, the double one of a large number
+    x, d = v.try_cast("double"), v.try_cast("decimal(38,10)")
+    return F.when((x == F.floor(x)) & (d == F.floor(d)) & d.between(lo, hi), d).cast(dtype.spark_type)
 
 
 def _scalar(v: Column, dtype: DType, kind: T.DataType) -> Column:
