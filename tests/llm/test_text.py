@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -180,6 +181,43 @@ def test_what_is_set_in_place_of_content_is_residue(body):
     assert any(map(residue.weak_label, markup.segments(ARTICLE % body)))
 
 
+@pytest.mark.parametrize("body", ["Log in to read the full text.", "Sign in to continue.", "N/A", "UnicodeTranslateError: 3"])
+def test_phrases_behind_the_trigger_words_are_residue(body):
+    assert any(map(residue.weak_label, markup.segments(ARTICLE % body)))
+
+
+def test_words_of_other_scripts_are_words():
+    assert residue.words_of("Поле ограничено, πεδίο žluťoučký 12") == ["поле", "ограничено", "πεδίο", "žluťoučký", "0"]
+
+
+def sampled(tree, rng):
+    """A text of a parsed pattern: of each branch one, of each repetition the least or one more."""
+    out = ""
+    for op, a in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(a)
+            case "IN":
+                kind, c = rng.choice(a)
+                plain = {"LITERAL": lambda c: chr(c), "RANGE": lambda c: chr(c[0])}.get(str(kind))
+                out += plain(c) if plain else {"CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": " ", "CATEGORY_NOT_DIGIT": " ", "CATEGORY_DIGIT": "4"}.get(str(c), "q")
+            case "BRANCH":
+                out += sampled(rng.choice(a[1]), rng)
+            case "SUBPATTERN":
+                out += sampled(a[3], rng)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(sampled(a[2], rng) for _ in range(rng.choice([a[0], min(a[1], a[0] + 1)])))
+            case "ANY" | "NOT_LITERAL":
+                out += "q"
+    return out
+
+
+def test_each_alternative_of_the_phrases_has_a_trigger():
+    rng, tree = random.Random(1), re._parser.parse(residue.PHRASES.pattern, residue.PHRASES.flags)
+    texts = [x for x in (sampled(tree, rng) for _ in range(30_000)) if residue.PHRASES.search(x)]
+    assert len(texts) > 20_000 and [x for x in texts if not residue.triggered(x, residue.words_of(x))] == []
+
+
 def test_macros_that_set_filler_count_when_used():
     body = "\\newcommand{\\body}{\\lipsum[1]}\nText."
     assert not any(map(residue.weak_label, markup.segments(ARTICLE % body)))

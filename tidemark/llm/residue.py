@@ -21,7 +21,7 @@ from tidemark.llm.tokens import text_batches
 
 BITS = 18
 #: Expected number of documents of the training sample; bounds the one task that trains.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 3000
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
 #: Log odds: from LIKELY on a segment is looked at exactly, from CLEAR on its score alone decides.
 LIKELY, CLEAR = -4.0, 5.0
@@ -45,7 +45,7 @@ FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blinddocument
 PHRASES = re.compile(
     r"""\b(?:your|the|a|an)?\s*[\w-]+(?:\s[\w-]+)?\s(?:goes|comes|go|come)\s(?:here|in\sthis\splace)\b
     | \b(?:insert|add|enter|put|type|write|place|paste|provide)\s(?:your|the|any|some|an?)\s[\w\s-]{2,40}\shere\b
-    | \b(?:section|paragraph|chapter|abstract)\stext\s(?:is\s)?(?:pending|missing|needed|required|to\sfollow)\b | ^\W*(?:TBD|TBA|TODO|FIXME|XXX|tbc)\b(?:\W*$|\s(?:by|later|soon|before|until|when|:))
+    | \b(?:section|paragraph|chapter|abstract)\stext\s(?:is\s)?(?:pending|missing|needed|required|to\sfollow)\b | ^\W*(?:TBD|TBA|TODO|FIXME|XXX|N/A|tbc)\b(?:\W*$|\s(?:by|later|soon|before|until|when|:))
     | \bto\sbe\s(?:supplied|written|filled\sin|completed|added|announced|determined|provided|inserted)\b(?:\sby\s\w+\s\w+|\slater)?\.?$
     | \b(?:overwrite|replace|delete|fill\sin)\sthis\s(?:paragraph|text|section|sentence|abstract|note|line)\b
     | \b(?:please|authors\s(?:should|must|may))\s(?:\w+\s)?(?:state|describe|summari[sz]e|explain|list|give|provide|outline|report|insert|add|write|mention|discuss)\b[^.]*\b(?:here|in\sthis\ssection|in\sthis\splace|before\ssubmission|delete\sthis\snote)\b
@@ -63,7 +63,7 @@ PHRASES = re.compile(
     | \b(?:was|were|is|be)\snot\sfound\son\sthis\sserver\b | \bcould\snot\sfind\sth(?:at|is)\s(?:paper|page|article|item|document)\b | \bupstream\sserver\b | \bdid\snot\sanswer\sin\stime\b
     | \b(?:page|item|article|resource|document|content|record)\s(?:is\s(?:not|currently\snot|no\slonger)\savailable|has\sbeen\sremoved|does\snot\sexist|no\slonger\sexists|cannot\sbe\s(?:displayed|shown|found)) | \btemporarily\sunavailable\b | ^\W*(?:bad\sgateway|not\savailable|page\snot\sfound|problem\sloading\spage|not\sfound|forbidden|service\sunavailable|access\sdenied|internal\sserver\serror|gateway\stime-?out)\b
     | \byou\sdo\snot\shave\s(?:permission|access)\b | \baccess\s(?:to\sth\w+\s\w+\s)?(?:is|was)?\s?denied\b\W*(?:$|-) | \b(?:login|subscription|sign-?in|registration|authentication)\s(?:is\s)?(?:required|needed)\b | \b(?:sign|log)\sin\sto\s(?:download|read|view|access|continue)\b | \binstitution\sdoes\snot\ssubscribe\b | \btoo\smany\s(?:downloads|requests)\b | ^\W*your\ssession\shas\s(?:expired|timed) | \bsession\shas\sexpired\b\W*$ | \bsomething\swent\swrong\b | \bwe\sare\ssorry,\sbut\b | \bcontact\sthe\shelp\s?desk\b | \breturn\sto\sthe\ssearch\spage\b
-    | \bconversion\s(?:to\s\w+\s)?(?:failed|stopped|aborted|error)\b | \bfull\stext\scould\snot\sbe\s | \b(?:document|file|request)\sprocessing\s(?:error|failed)\b | \bno\ssource\sfiles\sin\sthe\spackage\b | \barchive\sis\sdamaged\b | \bunhandled\sexception\b | \btraceback\s(?:in|while|\(most)\b | \b(?:key|timeout|value|type|runtime|memory|unicodedecode|unicodeencode)error\b | \blatex\serror\b | \bundefined\scontrol\ssequence\b | \bfatal\serror\soccurred\b | \bemergency\sstop\b | \brunaway\sargument\b | \bno\s(?:pages\sof\soutput|output\spdf)\b | \bmissing\s\\?\$\sinserted\b
+    | \bconversion\s(?:to\s\w+\s)?(?:failed|stopped|aborted|error)\b | \bfull\stext\scould\snot\sbe\s | \b(?:document|file|request)\sprocessing\s(?:error|failed)\b | \bno\ssource\sfiles\sin\sthe\spackage\b | \barchive\sis\sdamaged\b | \bunhandled\sexception\b | \btraceback\s(?:in|while|\(most)\b | \b(?:key|timeout|value|type|runtime|memory|unicode\w+)error\b | \blatex\serror\b | \bundefined\scontrol\ssequence\b | \bfatal\serror\soccurred\b | \bemergency\sstop\b | \brunaway\sargument\b | \bno\s(?:pages\sof\soutput|output\spdf)\b | \bmissing\s\\?\$\sinserted\b
     | \b(?:document|article|page|texte)\s(?:est\sintrouvable|n.existe\splus|n.est\s(?:pas|plus)\sdisponible) | \bréessayez\splus\stard\b | \baccès\s(?:refusé|interdit) | \berreur\s(?:interne|du\sserveur)\b | \bsession\sa\sexpiré\b | \b(?:documento|artículo|página)\s(?:no\s(?:existe|está\sdisponible|se\sencuentra)|ya\sno\sexiste)\b | \bno\sse\s(?:encontró|ha\sencontrado|pudo)\s\w+ | \bvuelva\sa\sintentarlo\b | \bacceso\sdenegado\b | \b(?:seite|dokument|artikel)\s(?:wurde\snicht\sgefunden|ist\snicht\s(?:mehr\s)?(?:verfügbar|vorhanden)|existiert\snicht) | \bversuchen\ssie\ses\sspäter\b | \bzugriff\sverweigert\b
 
     | \b(?:enable|allow|turn\son|activate|switch\s(?:\w+\s)?on|permit)\b[^.]{0,30}\b(?:javascript|scripts?|scripting|js|cookies)\b | \b(?:javascript|scripts?|scripting|js|cookies)\s(?:and\s\w+\s)?(?:is|are|must\sbe|has\sto\sbe|to\sbe)\s(?:currently\s)?(?:disabled|blocked|turned\soff|required|needed|enabled|off|permitted|not\s\w+)\b | \bswitch\sscripts\son\b
@@ -90,18 +90,20 @@ TRIGGERS = frozenset(
     # fixed values: words of which each phrase holds one
     """
     acceso access accès added allowed angeben announced answer aqui aquí authentication author authors available backend blind blindtext browser cannot code come comes
-    completar completed completer compléter consecteter consectetuer consectetur conversion cookies could damaged delete denied determined diesen disponible dolor
+    completar completed completer compléter consecteter consectetr consectetuer consectetur conversion cookies could damaged delete denied determined diesen disponible dolor
     downloads dummy einfügen eingeben einsetzen eintragen emergency encontrado encontró encuentra ergänzen erreur error escribir exist existe existiert exists fatal fault
     fehler fehlt fill filled filler find fixme folgt forbidden found fournir fülltext gateway gefunden go goes gone happens help helpdesk here http human ici inserted
-    institution introuvable javascript js keyerror latex line loading login lorem many memoryerror noch nothing output overwrite package pages paragraph passage payment
+    institution introuvable javascript js keyerror latex line loading log login lorem many memoryerror noch nothing output overwrite package pages paragraph passage payment
     permission placeholder platzhalter platzhaltertext please problem processing provided pudo quota redactar reemplace registration rellenar reload removed remplacer
-    remplacez rendering replace request requests return runaway runtimeerror rédiger réessayez schreiben script scripting scripts sentence server service session sign
+    remplacez rendering replace request requests return runaway runtimeerror rédiger réessayez schreiben script scripting scripts sentence server service session sign signin
     skripte sobrescriba sorry status subscription supplied sustituya tba tbc tbd text texte texto timeout timeouterror title todo traceback typeerror unauthorized
     unavailable undefined unhandled unicodedecodeerror unicodeencodeerror upstream valueerror venir verfügbar versuchen vorhanden vuelva window word written wrong xxx
     zugriff écrire
     """.split()
 )
-_WORD = re.compile(r"\\[a-z]+|[a-zß-öø-ÿœ]{2,}|[0-9]+|\.\.\.")
+#: Phrases that no single word gives away.
+_ODD = re.compile(r"n/a\b|unicode\w+error|n.existe\splus", re.I)
+_WORD = re.compile(r"\\[a-z]+|[^\W\d_]{2,}|\d+|\.\.\.")
 _FIELD = re.compile(r"\\(title|author|affiliation|section|subsection|centerline|beginsection)\b|\\bf\b")
 
 
@@ -122,7 +124,7 @@ def latin(words: list[str]) -> bool:
 
 def words_of(segment: str) -> list[str]:
     """Words of two letters or more, numbers as ``0``, and commands that set filler; formulas leave next to nothing."""
-    return ["0" if w < ":" and w != "..." else w for w in _WORD.findall(segment.lower()) if w[0] != "\\" or FILLER_COMMAND.fullmatch(w)]
+    return ["0" if w[0].isdigit() else w for w in _WORD.findall(segment.lower()) if w[0] != "\\" or FILLER_COMMAND.fullmatch(w)]
 
 
 def marked(segment: str) -> bool:
@@ -130,12 +132,17 @@ def marked(segment: str) -> bool:
     return _MAYBE.search(segment) is not None and PLACEHOLDER.search(segment) is not None
 
 
+def triggered(segment: str, words: list[str]) -> bool:
+    """Whether a segment can hold a phrase at all."""
+    return not TRIGGERS.isdisjoint(words) or _ODD.search(segment) is not None
+
+
 def weak_label(segment: str) -> bool:
     """What phrases, marks and response statuses say about a segment."""
     if marked(segment) or FILLER_COMMAND.search(segment):
         return True
     w = words_of(segment)
-    if not TRIGGERS.isdisjoint(w) and PHRASES.search(segment):
+    if triggered(segment, w) and PHRASES.search(segment):
         return not DISCUSSED.search(segment)
     return (repeated(w) or latin(w)) and not DISCUSSED.search(segment)
 
