@@ -1,4 +1,4 @@
-"""Making the package importable for Python workers."""
+"""What the operators need of a session: the package on the workers, and the folder that all machines share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,3 +28,25 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._tidemark_shipped = True
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all machines see: the checkpoint folder that the cluster names.
+
+    Where none is set, one machine may use a temporary folder; on several the setting is required.
+    """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="tidemark-shared-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder: costly columns are computed once and survive lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
