@@ -10,21 +10,28 @@ _CODE = re.compile(
     | \\iffalse\b.*?(?:\\fi\b|\Z)
     | \\%
     | %[^\n]*
-    | <!--.*?(?:-->|\Z)""",
+    | <!--.*?-->""",
     re.S | re.X,
 )
-# quotations by their opening mark; a text without the mark is not searched
+# quotations by their opening mark, closed in the same paragraph; a text without the mark is not searched
 _QUOTED = {
-    "``": re.compile(r"``.*?(?:''|\Z)", re.S),
-    "“": re.compile(r"“[^”]*”"),
-    "„": re.compile(r"„[^“”]*[“”]"),
-    "«": re.compile(r"«[^»]*»"),
+    "``": re.compile(r"``[^'\n]*(?:(?:'(?!')|\n(?![ \t]*\n))[^'\n]*)*''"),
+    "“": re.compile(r"“[^”\n]*(?:\n(?![ \t]*\n)[^”\n]*)*”"),
+    "„": re.compile(r"„[^“”\n]*(?:\n(?![ \t]*\n)[^“”\n]*)*[“”]"),
+    "«": re.compile(r"«[^»\n]*(?:\n(?![ \t]*\n)[^»\n]*)*»"),
     '"': re.compile(r'(?<![{:,\[\w])(?<![{:,\[]\s)"[^"\n]{0,400}"(?!\s*:)'),
 }
 _SHOWN = re.compile(r"\\(?:texttt|lstinline|mintinline|path|url|footnote|detokenize)\s*\{")
 _DEFINITION = re.compile(r"\\(?:re)?newcommand\*?|\\providecommand\*?|\\DeclareMathOperator\*?|\\DeclareRobustCommand\*?|\\[gex]?def(?![A-Za-z])|\\let(?![A-Za-z])|\\(?:re)?newenvironment\*?")
 _PREAMBLE = re.compile(r"\\(?:documentclass|usepackage|RequirePackage|bibliographystyle|bibliography|input|include|subfile|includegraphics|label|magnification)(?:\s*\[[^\]]*\])?(?:\s*\{[^}]*\})?(?:=\d+)?")
-_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|p|div|span|pre|center|hr|br|noscript|script|style|a|meta|link|table|tr|td|ul|li|b|i|em|strong|img|form|input|button|iframe|nav|footer|header|section|article|main)\b[^<>]*>|<!DOCTYPE[^<>]*>", re.I)
+_TAG = re.compile(
+    r"</[a-z]\w*\s*>|<(html|head|title|body|h[1-6]|p|div|span|pre|center|hr|br|noscript|script|style|a|meta|link|table|tr|td|ul|li|b|i|em|strong"
+    r"|img|form|input|button|iframe|nav|footer|header|section|article|main)\b([^<>]*)>|<!DOCTYPE[^<>]*>",
+    re.I,
+)
+# fixed values: tags whose names may as well be those of a mark
+_NAMES = frozenset("head title section header footer article main nav table form input button link style script meta".split())
+_CLOSING = re.compile(r"</([a-z]\w*)\s*>", re.I)
 _HEAD = re.compile(r"\\(?:title|author|affiliation|address|email|institute|thanks|date)\s*\{")
 _BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)", re.S)
 
@@ -77,6 +84,17 @@ def _definitions(s: str) -> tuple[str, dict[str, str]]:
     return "".join([*out, s[at:]]), bodies
 
 
+def _without_tags(s: str) -> str:
+    """Takes out tags that are markup: with a partner, attributes, or a name that no mark has. A lone ``<title>`` is text."""
+    paired = {x.lower() for x in _CLOSING.findall(s)}
+
+    def put(m: re.Match) -> str:
+        name = (m.group(1) or "").lower()
+        return m.group() if name in _NAMES and name not in paired and not m.group(2).strip() else "\n"
+
+    return _TAG.sub(put, s)
+
+
 def visible(text: str) -> tuple[str, dict[str, str]]:
     """The text that is set, markup of its layout still in it, and the bodies of macros that the text uses."""
     s = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -96,7 +114,8 @@ def visible(text: str) -> tuple[str, dict[str, str]]:
     for mark, quoted in _QUOTED.items():
         if mark in s:
             s = quoted.sub(" Q ", s)
-    s = _TAG.sub("\n", s)
+    if "<" in s:
+        s = _without_tags(s)
     used = {n: b for n, b in bodies.items() if n.startswith("\\") and re.search(re.escape(n) + r"(?![A-Za-z])", s)}
     return s, used
 

@@ -77,7 +77,7 @@ def pack(sizes: DataFrame, containers: DataFrame, group_items: int = GROUP_ITEMS
         F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("int").alias("grp"),
     )
     full = rows.where(F.col("n_tokens") == cap).select("pack_name", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("bin_id"), "doc_id", "piece", "start_token", "n_tokens")
-    rest = rows.where(F.col("n_tokens") < cap).groupBy("pack_name", "grp").applyInPandas(_pack, PLACED)
+    rest = rows.where(F.col("n_tokens") < cap).groupBy("pack_name", "capacity_tokens", "grp").applyInPandas(_pack, PLACED)
     return full.unionByName(rest)
 
 

@@ -1,8 +1,9 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-A regularised linear classifier over hashed word n-grams, length and title features scores every segment that is set. It
-is trained on weak labels: phrases and response statuses decide what a training segment is. A record is excluded when a
-segment is scored clearly as residue, or as likely and an exact look at its phrases confirms it.
+A regularised linear classifier over hashed word n-grams, length and title features, and the ways in which names stand
+between punctuation, scores every segment that is set. It is trained on weak labels: phrases, marks and response statuses
+say what a segment of the sample is. The score alone decides, from a threshold on that is chosen on hosts which training
+has not seen; no phrase is looked for when records are judged.
 """
 
 from __future__ import annotations
@@ -10,35 +11,35 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.markup import segments
-from tidemark.llm.tokens import text_batches
+from tidemark.llm.tokens import spread, text_batches
+from tidemark.session import settled
 
 BITS = 18
-#: Expected number of documents of the training sample; bounds the one task that trains.
-SAMPLE_DOCS = 3000
-EPOCHS, RATE, DECAY = 40, 0.5, 1e-6
-#: Log odds: from LIKELY on a segment is looked at exactly, from CLEAR on its score alone decides.
-LIKELY, CLEAR = -4.0, 5.0
-#: Hosts (journals, else sources) of this share are kept from training and used for validation.
+#: Expected number of documents of the sample; bounds the one task that trains.
+SAMPLE_DOCS = 8000
+EPOCHS, RATE, DECAY = 25, 0.5, 1e-6
+#: Differences of F1 that do not decide between thresholds.
+NEARLY = 0.01
+#: Hosts (journals, else sources) of this share are kept from training: the threshold is chosen on those in the sample.
 UNSEEN = 0.2
 
 _NAME = r"[A-Za-z][A-Za-z0-9_. -]{1,30}"
 # fixed values: ways in which templates mark what is to be filled in
 PLACEHOLDER = re.compile(
     rf"""\[\[\s*{_NAME}\s*\]\] | \[\s*(?:insert|your|enter|add|put|type)\s+{_NAME}\] | (?<![_^}}A-Za-z])\{{\{{\s*[A-Za-z][A-Za-z0-9_. -]{{2,30}}\s*\}}\}} | (?<!\$)\$\{{\s*[A-Za-z][A-Za-z0-9_. -]{{2,30}}\}}
-    | <<\s*{_NAME}\s*>> | <(?!/)[A-Za-z][A-Za-z0-9_. -]{{2,30}}> | \\textless\s*\{{?\}}?\s*{_NAME}\s*\\textgreater | \\(?:langle|textlangle)\s*\\mathit\{{{_NAME}\}}\\rangle(?=\s*\$?\s*$)
+    | <<\s*{_NAME}\s*>> | ‹\s*{_NAME}\s*› | <(?!/)[A-Za-z][A-Za-z0-9_. -]{{2,30}}> | \\textless\s*\{{?\}}?\s*{_NAME}\s*\\textgreater | \\(?:langle|textlangle)\s*\\mathit\{{{_NAME}\}}\\rangle(?=\s*\$?\s*$)
     | @@\s*{_NAME}\s*@@ | (?<![A-Za-z0-9])__{_NAME}__(?![A-Za-z0-9]) | ::\s*{_NAME}\s*:: | \#\{{\s*{_NAME}\}} | \?[A-Za-z][A-Za-z0-9_. -]{{2,30}}\?(?![A-Za-z])
     | \\?\$[A-Z][A-Z0-9_]{{2,30}}_HERE\\?\$ | \\?%\\?%\s*{_NAME}\s*\\?%\\?% | (?<![A-Za-z\\])[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)*_HERE\b""",
     re.X | re.I,
 )
-#: What any of these marks contains; most segments do not.
-_MAYBE = re.compile(r"\[\[|\[\s*(?i:insert|your|enter|add|put|type)\s|\{\{\s*[A-Za-z][A-Za-z0-9_. -]|\$\{\s*[A-Za-z][A-Za-z0-9_. -]|<[A-Za-z<]|[@_:]{2}\s*[A-Za-z]|%\\?%|\?[A-Za-z]|#\{|\\textless|\\(?:text)?langle\s*\\mathit|_[Hh][Ee][Rr][Ee]")
 # fixed values: commands that typeset filler
 FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blinddocument|Blinddocument|blindmathpaper|blinditemize|blindlist|blindenumerate|blinddescription|Blindlist|textblind|filltext)(?![A-Za-z])")
 # fixed values: phrases of the weak labels, in several languages
@@ -67,15 +68,15 @@ PHRASES = re.compile(
     | \b(?:document|article|page|texte)\s(?:est\sintrouvable|n.existe\splus|n.est\s(?:pas|plus)\sdisponible) | \bréessayez\splus\stard\b | \baccès\s(?:refusé|interdit) | \berreur\s(?:interne|du\sserveur)\b | \bsession\sa\sexpiré\b | \b(?:documento|artículo|página)\s(?:no\s(?:existe|está\sdisponible|se\sencuentra)|ya\sno\sexiste)\b | \bno\sse\s(?:encontró|ha\sencontrado|pudo)\s\w+ | \bvuelva\sa\sintentarlo\b | \bacceso\sdenegado\b | \b(?:seite|dokument|artikel)\s(?:wurde\snicht\sgefunden|ist\snicht\s(?:mehr\s)?(?:verfügbar|vorhanden)|existiert\snicht) | \bversuchen\ssie\ses\sspäter\b | \bzugriff\sverweigert\b
 
     | \b(?:enable|allow|turn\son|activate|switch\s(?:\w+\s)?on|permit)\b[^.]{0,30}\b(?:javascript|scripts?|scripting|js|cookies)\b | \b(?:javascript|scripts?|scripting|js|cookies)\s(?:and\s\w+\s)?(?:is|are|must\sbe|has\sto\sbe|to\sbe)\s(?:currently\s)?(?:disabled|blocked|turned\soff|required|needed|enabled|off|permitted|not\s\w+)\b | \bswitch\sscripts\son\b
-    | \b(?:this|the|our)\s(?:\w+\s){0,3}(?:page|site|viewer|reader|display|app|article|service|platform|portal)\s(?:requires?|needs?|uses|does\snot\swork\swithout|only\sworks\swith)\s(?:\w+\s(?:and|or)\s)?(?:javascript|scripts?|scripting|js|cookies)\b
+    | \b(?:(?:this|our)\s(?:\w+\s){0,3}|the\s(?:online\s|full[\s-]text\s|web\s)?)(?:page|site|viewer|reader|display|app|article|service|platform|portal)\s(?:requires?|needs?|uses|does\snot\swork\swithout|only\sworks\swith)\s(?:\w+\s(?:and|or)\s)?(?:javascript|scripts?|scripting|js|cookies)\b
     | \byour\sbrowser\s(?:may\sbe\sblocking|does\snot\ssupport|has\sdisabled|blocks|is\snot\ssupported|has\s\w+\sdisabled) | \bchecking\s(?:if\s)?(?:your|the)\sbrowser\b | \bverifying\s(?:that\s)?you\sare\s(?:a\s)?human\b | \breload\safter\schanging\syour\ssettings\b | \bif\snothing\shappens,\scheck\b | \b(?:loading|rendering)\s(?:\w+\s?)?(?:\\l?dots|\.\.\.|…) | \bdo\snot\sclose\sthis\swindow\b
     | \b(?:activer|activez|autoriser|autorisez)\b[^.]{0,30}\b(?:javascript|scripts|cookies)\b | \bnécessite\s(?:javascript|les\sscripts|les\scookies)\b | \b(?:active|habilite|permita|active\w*)\s(?:javascript|los\sscripts|las\scookies)\b | \bnecesita\s(?:javascript|los\sscripts|las\scookies)\b | \b(?:javascript|skripte|cookies)\b[^.]{0,40}\b(?:aktivieren|einschalten|erlauben|zulassen|benötigt|erforderlich)\b | \b(?:aktivieren|erlauben)\ssie\b[^.]{0,30}\b(?:javascript|skripte|cookies)\b | \b(?:benötigt|braucht|erfordert)\s(?:javascript|skripte|cookies)\b""",
     re.X | re.I,
 )
-# fixed values: how an article speaks about such texts instead of being one
+# fixed values: how a text speaks about such records; only for the labels
 DISCUSSED = re.compile(
-    r"""\b(?:labelled|labeled|classified|counted|discarded|marked|annotated|flagged)\s(?:as|pages|by|it)\b | \bannotators\b | \bcrawled\b | \bwe\s(?:call|avoid|exclude|define|removed?|skip)\b | \b(?:skipped|removed|excluded)\s(?:when|if|\d|because) | \bsuch\s(?:records|pages|texts)\b | \bof\sthe\ssample\b | \bof\sthe\s(?:sampled|contacted|selected|visited|surveyed)\b | \breaders\ssaw\b | \bwords\sof\sdummy\b | \bparticipants\b
-    | \b(?:companion|supplement\w*|interactive\sversion|accompanying|project\spage|demo)\b | \bin\sthe\sappendix\b | \bwhich\swe\savoid\b | \bmerge\sfield\b | \bpattern\ssuch\sas\b | \bherbals\b | \bthe\splate\sis\sheaded\b""",
+    r"""\b(?:labelled|labeled|classified|counted|discarded|marked|annotated|flagged|skipped|removed|excluded)\s(?:as|pages|records|by|when|if|because)\b
+    | \bannotators\b | \bcrawl(?:ed)?\b | \bwe\s(?:call|exclude|define|removed?|skip)\b | \bsuch\s(?:records|pages|texts)\b | \bof\sthe\ssample\b | \bpattern\ssuch\sas\b""",
     re.X | re.I,
 )
 LATIN = frozenset(
@@ -103,33 +104,46 @@ TRIGGERS = frozenset(
 )
 #: Phrases that no single word gives away.
 _ODD = re.compile(r"n/a\b|unicode\w+error|n.existe\splus", re.I)
-_WORD = re.compile(r"\\[a-z]+|[^\W\d_]{2,}|\d+|\.\.\.")
+_WORD = re.compile(r"\\[A-Za-z]+|[^\W\d_]{2,}|\d+|\.\.\.")
 _FIELD = re.compile(r"\\(title|author|affiliation|section|subsection|centerline|beginsection)\b|\\bf\b")
+# a name between two runs of punctuation, however a template may mark it; brackets written as commands are read as such
+_AS_BRACKET = {
+    r"\textless": "<", r"\textgreater": ">", r"\textlangle": "<", r"\textrangle": ">", r"\langle": "<", r"\rangle": ">", r"\mathit": "", r"\%": "%",
+    r"\$": "$", r"\_": "_", r"\#": "#",
+}
+_COMMAND = re.compile(r"\\(?:text|)(?:less|greater|[lr]angle)(?:\{\}| )?|\\mathit|\\[%$_#]")
+_BOX = re.compile(r"(?:^|([^<>{}\[\]@_:%?#$‹›|~\s])|\s)([<>{}\[\]@_:%?#$‹›|~]{1,3})\s?([A-Za-z][A-Za-z0-9_. -]{1,31}?)\s?([<>{}\[\]@_:%?#$‹›|~]{1,3})")
+_CAPITALS = re.compile(r"(?<![A-Za-z\\])[A-Z][A-Z0-9]+(?:_[A-Z0-9]+)+(?![A-Za-z])")
+_VOWELS = frozenset("aeiouyäöüáéíóúàèêâ")
+
+
+def _plain(words: list[str]) -> list[str]:
+    return [w for w in words if w[0].isalpha()]
 
 
 def repeated(words: list[str]) -> bool:
-    """Words over and over, or keys struck at random: many words, few different ones, hardly any function words."""
-    plain = [w for w in words if w[:1].isalpha()]
+    """Words over and over, or keys struck at random: many words, few different ones, hardly any vowels."""
+    plain = _plain(words)
     if len(plain) < 8:
         return False
     kinds = len(set(plain))
-    return kinds <= 2 or (kinds / len(plain) < 0.75 and kinds <= 14 and sum(not set(w) & set("aeiouyäöüáéíóúàèêâ") or w in ("asdf", "qwer", "uiop", "asdfasdf") for w in plain) / len(plain) > 0.5)
+    return kinds <= 2 or (kinds / len(plain) < 0.75 and kinds <= 14 and sum(_struck(w) for w in plain) / len(plain) > 0.5)
+
+
+def _struck(w: str) -> bool:
+    """Not a word that can be spoken: no vowel, or neighbours of one row of the keyboard."""
+    return _VOWELS.isdisjoint(w) or any(w[:4] in row for row in ("qwertyuiop", "asdfghjkl", "zxcvbnm"))
 
 
 def latin(words: list[str]) -> bool:
     """Mostly words of the customary filler."""
-    plain = [w for w in words if w[:1].isalpha()]
+    plain = _plain(words)
     return len(plain) >= 4 and sum(w in LATIN for w in plain) >= max(3, 0.4 * len(plain))
 
 
 def words_of(segment: str) -> list[str]:
-    """Words of two letters or more, numbers as ``0``, and commands that set filler; formulas leave next to nothing."""
-    return ["0" if w[0].isdigit() else w for w in _WORD.findall(segment.lower()) if w[0] != "\\" or FILLER_COMMAND.fullmatch(w)]
-
-
-def marked(segment: str) -> bool:
-    """Whether a segment holds an unfilled mark."""
-    return _MAYBE.search(segment) is not None and PLACEHOLDER.search(segment) is not None
+    """Commands, words of two letters or more, numbers as ``0``; all in lower case."""
+    return ["0" if w[0].isdigit() else w for w in _WORD.findall(segment.lower())]
 
 
 def triggered(segment: str, words: list[str]) -> bool:
@@ -138,69 +152,82 @@ def triggered(segment: str, words: list[str]) -> bool:
 
 
 def weak_label(segment: str) -> bool:
-    """What phrases, marks and response statuses say about a segment."""
-    if marked(segment) or FILLER_COMMAND.search(segment):
+    """What phrases, marks and response statuses say about a segment: the label it is trained with, never the decision."""
+    if PLACEHOLDER.search(segment) or FILLER_COMMAND.search(segment):
         return True
     w = words_of(segment)
-    if triggered(segment, w) and PHRASES.search(segment):
-        return not DISCUSSED.search(segment)
-    return (repeated(w) or latin(w)) and not DISCUSSED.search(segment)
+    said = triggered(segment, w) and PHRASES.search(segment) is not None
+    return (said or repeated(w) or latin(w)) and not DISCUSSED.search(segment)
 
 
 _BASE = 1 << BITS
-_index: dict[str, int] = {}
-
-
 _EDGE = zlib.crc32(b"^")
+_index: dict[str, tuple[int, bool]] = {}
 
 
-def _hash(w: str) -> int:
+def _word(w: str) -> tuple[int, bool]:
+    """A word's hash, and whether it was struck at random; remembered."""
     h = _index.get(w)
     if h is None:
         if len(_index) > 500_000:
             _index.clear()
-        h = _index[w] = zlib.crc32(w.encode())
+        h = _index[w] = (zlib.crc32(w.encode()), _struck(w))
     return h
 
 
-def _document(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all segments of a document, and the number of the segment that each belongs to."""
+def _shapes(segment: str) -> list[str]:
+    """How names stand between punctuation: the two runs, what stands before, and the letters' case."""
+    if "\\" in segment:
+        segment = _COMMAND.sub(lambda m: _AS_BRACKET.get(m.group().rstrip("{} "), ""), segment)
+    out = []
+    for before, left, name, right in _BOX.findall(segment):
+        if len(left) + len(right) < 3 and left + right not in ("<>", "‹›", "??", "[]"):
+            continue  # groups and formulas of every text
+        case = "A" if name.isupper() else "a" if name.islower() else "Aa"
+        form = f"{left}|{right}"
+        out += [f"#box{form}", f"#box{form}{'.' if before else ' '}{case}", f"#box {case}{' ' in name}{'_' in name}", f"#in{form}{name.split()[0].lower()}"]
+    if "_" in segment:
+        out += [f"#caps{x.rsplit('_', 1)[1]}" for x in _CAPITALS.findall(segment)]
+    return out
+
+
+def features(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all segments of a document, and the number of the segment that each belongs to.
+
+    Words and pairs of neighbours, length, variety and vowels of the words, the heading that the segment is, the length of
+    the document, and how names stand between punctuation.
+    """
     uni: list[int] = []
     sizes: list[int] = []
     extra: list[int] = []
+    more: list[int] = []
     length = f"#doc{min(len(segs), 24) // 3}"
-    marks_here = _MAYBE.search("\n".join(segs)) is not None
     for s in segs:
         w = words_of(s)
-        n, kinds = len(w), set(w)
+        n, kinds = len(w), len(set(w))
         m = _FIELD.search(s)
-        marks = (f"#len{min(n, 60) // 4}", f"#kinds{4 * len(kinds) // max(n, 1)}", f"#head{m.group() if m else ''}", f"#latin{4 * len(kinds & LATIN) // max(len(kinds), 1)}", length, "#mark" if marks_here and marked(s) else "#plain")
-        extra += map(_hash, marks)
+        hashed = [_word(x) for x in w]
+        struck = sum(x[1] for x in hashed)
+        marks = [f"#len{min(n, 60) // 4}", f"#kinds{min(n, 8) // 4}{8 * kinds // max(n, 1)}", f"#head{m.group() if m else ''}"]
+        marks += [f"#struck{4 * struck // max(n, 1)}", length, *_shapes(s)]
+        extra += [_word(x)[0] for x in marks]
+        more.append(len(marks))
         uni.append(_EDGE)
-        uni += map(_hash, w)
+        uni += [x[0] for x in hashed]
         sizes.append(n + 1)
     a = np.array(uni, np.int64)
     bi = a * 1_000_003 + np.append(a[1:], _EDGE) ^ 0x5BD1E995
-    seg = np.repeat(np.arange(len(segs)), sizes)
-    return np.concatenate([a, bi, np.array(extra, np.int64)]) % _BASE, np.concatenate([seg, seg, np.repeat(np.arange(len(segs)), len(extra) // len(segs))])
-
-
-def train(texts: list[str | None]) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression on the weak labels of the texts' segments."""
-    idx, row, y = [], [], []
-    for t in texts:
-        segs = segments(t) if t else []
-        if not segs:
-            continue
-        f, seg = _document(segs)
-        idx.append(f)
-        row.append(seg + len(y))
-        y += [weak_label(s) for s in segs]
+    number = np.arange(len(segs))
+    seg = np.repeat(number, sizes)
+    return np.concatenate([a, bi, np.array(extra, np.int64)]) % _BASE, np.concatenate([seg, seg, np.repeat(number, more)])
+
+
+def train(f: np.ndarray, rows: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-regularised logistic regression; ``f`` are features of the segments ``rows``."""
     w, bias = np.zeros(_BASE), -4.0
-    label = np.array(y, np.float64)
     if not label.any() or label.all():
         return w.astype(np.float32), bias
-    f, rows = np.concatenate(idx), np.concatenate(row)
+    label = label.astype(np.float64)
     weight = np.where(label > 0, min(20.0, (len(label) - label.sum()) / label.sum()), 1.0) / len(label)
     g2, gb2 = np.full(_BASE, 1e-12), 1e-12
     for _ in range(EPOCHS):
@@ -214,60 +241,110 @@ def train(texts: list[str | None]) -> tuple[np.ndarray, float]:
     return w.astype(np.float32), float(bias)
 
 
-def judge(text: str | None, w: np.ndarray, bias: float) -> tuple[float, int, bool]:
-    """Greatest score of a segment, how many segments are residue, and whether the record is excluded."""
+def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The score from which on records are excluded, by held-out records: the middle of the cuts of nearly the greatest F1."""
+    if not labels.any() or labels.all():
+        return 0.0
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order].astype(np.float64)
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][s[:-1] == s[1:]] = 0  # equal scores are cut together
+    good = np.flatnonzero(f1 >= f1.max() - NEARLY)
+    last = good[-1]
+    return float((s[good[0]] + s[min(last + 1, len(s) - 1)]) / 2)
+
+
+def best_score(text: str | None, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+    """Greatest log odds of a segment, and those of all segments; a text without segments has -30."""
     segs = segments(text) if text else []
     if not segs:
-        return -30.0, 0, False
-    f, seg = _document(segs)
+        return -30.0, np.empty(0)
+    f, seg = features(segs)
     score = np.bincount(seg, w[f], len(segs)) + bias
-    hits = 0
-    for i in np.flatnonzero(score >= LIKELY):
-        hits += bool(weak_label(segs[i]) or (score[i] >= CLEAR and not DISCUSSED.search(segs[i])))
-    return float(score.max()), hits, hits > 0
+    return float(score.max()), score
 
 
-def host(docs: DataFrame):
+def host(docs: DataFrame) -> Column:
     """Host of a record: its journal, else its source."""
     return F.coalesce("journal", "source", F.lit(""))
 
 
-def unseen(docs: DataFrame):
+def unseen(docs: DataFrame) -> Column:
     """Hosts that training does not see."""
     return F.pmod(F.xxhash64(host(docs), F.lit("host")), F.lit(1000)) < int(1000 * UNSEEN)
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, float]:
-    """Trains on a sample of about ``sample_docs`` records of seen hosts, drawn by hash of the id, in one task."""
-    text_batches(docs.sparkSession)
+class Model(NamedTuple):
+    """Weights (float32), bias, and the score from which on a record is excluded."""
+
+    w: bytes
+    bias: float
+    least: float
+
+
+def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features and weak labels of sampled records, a row each."""
+    for pdf in batches:
+        out = []
+        for doc, text, held in zip(pdf["doc_id"], pdf["text"], pdf["_held"], strict=True):
+            segs = segments(text) if text else []
+            if segs:
+                f, seg = features(segs)
+                out.append((doc, held, f.astype(np.int32).tobytes(), seg.astype(np.int32).tobytes(), bytes(map(weak_label, segs))))
+        yield pd.DataFrame(out, columns=["doc_id", "held", "f", "seg", "label"])
+
+
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.concat([pd.DataFrame({"doc_id": [], "held": [], "f": [], "seg": [], "label": []}), *batches]).sort_values("doc_id")
+    got: dict[bool, list] = {False: [], True: []}
+    for r in rows.itertuples():
+        got[bool(r.held)].append((np.frombuffer(r.f, np.int32), np.frombuffer(r.seg, np.int32), np.frombuffer(r.label, np.bool_)))
+    del rows
+    f, at, y, n = [], [], [], 0
+    for x, seg, label in got.pop(False):
+        f.append(x)
+        at.append(seg + n)
+        y.append(label)
+        n += len(label)
+    w, bias = train(*map(np.concatenate, (f, at, y))) if n else (np.zeros(_BASE, np.float32), -4.0)
+    worst = [(np.bincount(seg, w[x], len(label)).max() + bias, label.any()) for x, seg, label in got[True]]
+    least = threshold(np.array([s for s, _ in worst]), np.array([a for _, a in worst], bool)) if worst else 0.0
+    yield pd.DataFrame({"w": [w.tobytes()], "bias": [bias], "least": [least]})
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Trains on a sample of about ``sample_docs`` records, drawn by hash of the id.
+
+    The sample's features and labels are found in parallel; one task, bounded by the sample, trains on the seen hosts and
+    chooses the threshold on the others.
+    """
     n = max(1, docs.count())
-    part = min(1.0, sample_docs / n / (1 - UNSEEN))
-    sample = docs.where(~unseen(docs) & (F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * part))).select("doc_id", "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(int(d), t) for pdf in batches for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if d == d]
-        w, bias = train([t for _, t in sorted(rows, key=lambda r: r[0])])
-        yield pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
-
-    got = sample.where(F.col("doc_id").isNotNull()).repartition(1).mapInPandas(run, "w binary, bias double").first()
-    return (bytes(got["w"]), float(got["bias"])) if got else (np.zeros(_BASE, np.float32).tobytes(), -4.0)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / n))
+    sample = docs.where(F.col("doc_id").isNotNull() & drawn).select("doc_id", "text", unseen(docs).alias("_held"))
+    with text_batches(docs.sparkSession):
+        rows = spread(sample).mapInPandas(_featured, "doc_id bigint, held boolean, f binary, seg binary, label binary")
+        got = rows.repartition(1).mapInPandas(_fitted, "w binary, bias double, least double").first()
+    return Model(bytes(got["w"]), float(got["bias"]), float(got["least"])) if got else Model(np.zeros(_BASE, np.float32).tobytes(), -4.0, 0.0)
 
 
 def scored(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Every record with ``score`` (log odds of its worst segment), ``n_hits`` (segments of residue) and ``residue``.
 
-    Columns of ``docs`` other than doc_id and text are not read. Null and empty texts have no residue. Whole texts are
-    read; no record is left out.
+    The score alone decides. Columns of ``docs`` other than doc_id, text, journal and source are not read. Null and empty
+    texts have no residue. Whole texts are read; no record is left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, bias = np.frombuffer(model.value[0], np.float32), model.value[1]
+        m = model.value
+        w = np.frombuffer(m.w, np.float32)
         for pdf in batches:
-            got = [judge(t, w, bias) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [g[0] for g in got], "n_hits": [g[1] for g in got], "residue": [g[2] for g in got]})
+            got = [best_score(t, w, m.bias) for t in pdf["text"]]
+            hits = [int((s >= m.least).sum()) for _, s in got]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [g[0] for g in got], "n_hits": hits, "residue": [n > 0 for n in hits]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, n_hits int, residue boolean")
+    with text_batches(docs.sparkSession):
+        return settled(spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, score double, n_hits int, residue boolean"))
 
 
 def without_residue(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -277,19 +354,18 @@ def without_residue(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
 
 
 def validation(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """On hosts that training has not seen: how the classifier alone agrees with the weak labels, by record.
+    """On all records of hosts that training has not seen: how the decisions agree with the weak labels.
 
-    Columns: labelled, predicted, n_docs.
+    Columns: labelled, predicted, n_docs. Weak labels are not the truth; see the hand-labelled set of the tests.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample_docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, bias = np.frombuffer(model.value[0], np.float32), model.value[1]
+        m = model.value
+        w = np.frombuffer(m.w, np.float32)
         for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                segs = segments(t) if t else []
-                out.append((any(map(weak_label, segs)), judge(t, w, bias)[0] >= 0))
-            yield pd.DataFrame(out, columns=["labelled", "predicted"])
+            yield pd.DataFrame([(any(map(weak_label, segments(t) if t else [])), best_score(t, w, m.bias)[0] >= m.least) for t in pdf["text"]], columns=["labelled", "predicted"])
 
-    return docs.where(unseen(docs)).select("doc_id", "text").mapInPandas(run, "labelled boolean, predicted boolean").groupBy("labelled", "predicted").agg(F.count(F.lit(1)).alias("n_docs"))
+    with text_batches(docs.sparkSession):
+        out = settled(spread(docs.where(unseen(docs)).select("doc_id", "text")).mapInPandas(run, "labelled boolean, predicted boolean"))
+    return out.groupBy("labelled", "predicted").agg(F.count(F.lit(1)).alias("n_docs"))

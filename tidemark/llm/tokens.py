@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import settled
+
 #: Vocabulary file; read by the driver and sent to the workers, so that only the driver needs it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the splitting pattern that belongs to the vocabulary
@@ -30,17 +33,29 @@ def encoder(vocabulary: bytes):
     return _loaded[key]
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_TEXTS))
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Keeps Arrow batches small enough for long texts in what is run inside; later queries have their own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Texts of an input of fewer partitions than cores, such as one small file, are dealt out; others pass as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` of the whole ``text``; null and empty texts have none.
+    """``keep`` columns and ``n_tokens`` of the whole ``text``; null and empty texts have none. Counted once and settled.
 
     Special tokens are not read as such: their strings are ordinary text.
     """
-    text_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -50,14 +65,5 @@ def token_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY)
         for s in batches:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s], dtype="int32")
 
-    return docs.select(*keep, count("text").alias("n_tokens"))
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder, so that costly columns are computed once and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    with text_batches(docs.sparkSession):
+        return settled(spread(docs.select(*keep, "text")).select(*keep, count("text").alias("n_tokens")))
