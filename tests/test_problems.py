@@ -12,10 +12,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidemark.errors import ConflictError, LockHeldError
 from tidemark.functions import DAY_NS
 from tidemark.operators import compaction, drift, history, incremental, late, quotient, versions
 from tidemark.plans import problems
 from tidemark.schema import DType, FeatureField, FeatureSchema
+from tidemark.storage import CommitLog, Folder, Lock
 
 LOG = "delivery_no bigint, shard int, batch_no int, file_no bigint, event_date string, entity_id string, event_time_ns bigint, age int, clicks bigint, ltv double, score float, msg_id_ms bigint, msg_id_seq int"
 RUNS = "run_no bigint, shard int, attempt int, status string, lo_ms bigint, lo_seq int, hi_ms bigint, hi_seq int, done_ms bigint, done_seq int, seen_batch_no int, started_ms bigint, finished_ms bigint"
@@ -53,27 +55,77 @@ def test_open_messages_large_ranges_without_broadcast(spark, monkeypatch):
     test_open_messages(spark)
 
 
+def test_long_and_short_ranges_cover_what_they_should(spark):
+    runs = [(i, 1, 1, "committed", lo, 0, hi, 0, hi, 0, 5, 0, 0) for i, (lo, hi) in enumerate([(0, 10**12), (10**12 + 5, 10**12 + 6), (10**12 + 10, 10**12 + 3000), (2 * 10**12, 2 * 10**12 + 10**9)])]
+    at = [1, 10**11, 10**12, 10**12 + 1, 10**12 + 6, 10**12 + 7, 10**12 + 2999, 10**12 + 3001, 2 * 10**12 + 10**8, 3 * 10**12]
+    got = rows(incremental.open_messages(log(spark, [msg(i, "a", ms) for i, ms in enumerate(at)]), spark.createDataFrame(runs, RUNS)).select("msg_id_ms"))
+    assert sorted(x[0] for x in got) == [10**12 + 1, 10**12 + 7, 10**12 + 3001, 3 * 10**12]
+
+
 def test_incremental_runs_neither_skip_nor_repeat(spark, tmp_path):
     c = incremental.IncrementalConsumer(spark, str(tmp_path))
     t = lambda n: spark.range(n).select("id", F.col("id").cast("int").alias("batch_no"))
-    assert c.run(t(0)) is None
-    assert c.run(t(5)) == 4
+    assert c.run(t(0), incremental.snapshot_limit(t(0))) is None
+    assert c.run(t(5), 4) == 4
     with pytest.raises(ZeroDivisionError):
-        c.run(t(9), lambda df: 1 / 0)
+        c.run(t(9), 8, lambda df: 1 / 0)
     assert c.watermark() == 4 and c.output().count() == 5
     other = incremental.IncrementalConsumer(spark, str(tmp_path))
-    assert other.run(t(9)) == 8 and c.run(t(9)) is None
+    assert other.run(t(9), 8) == 8 and c.run(t(9), 8) is None
     assert sorted(r[0] for r in c.output().select("id").collect()) == list(range(9))
 
 
+def test_a_half_written_flush_is_not_passed_over(spark, tmp_path):
+    marks, c = incremental.FlushMarks(spark, str(tmp_path / "marks")), incremental.IncrementalConsumer(spark, str(tmp_path / "runs"))
+    table = lambda *xs: spark.createDataFrame(list(xs), "id int, batch_no int")
+    assert marks.complete() is None and c.run(table((1, 4)), marks.complete()) is None
+    for n in (4, 5, 6):
+        marks.begin(n)
+    marks.seal(4)
+    marks.seal(6)  # before 5
+    assert c.run(table((1, 4), (2, 5), (4, 6)), marks.complete()) == 4
+    assert c.run(table((1, 4), (2, 5), (4, 6)), marks.complete()) is None
+    marks.seal(5)
+    assert c.run(table((1, 4), (2, 5), (3, 5), (4, 6)), marks.complete()) == 6
+    assert sorted(r[0] for r in c.output().select("id").collect()) == [1, 2, 3, 4]
+
+
 def test_two_runs_from_one_watermark(spark, tmp_path):
     c = incremental.IncrementalConsumer(spark, str(tmp_path))
     t = spark.range(5).select("id", F.col("id").cast("int").alias("batch_no"))
-    with pytest.raises(RuntimeError):
-        c.run(t, lambda df: (incremental.IncrementalConsumer(spark, str(tmp_path)).run(t), df)[1])
+    with pytest.raises(ConflictError):
+        c.run(t, 4, lambda df: (incremental.IncrementalConsumer(spark, str(tmp_path)).run(t, 4), df)[1])
     assert c.output().count() == 5
 
 
+@pytest.mark.parametrize("hadoop", [False, True])
+def test_commits_and_locks(spark, tmp_path, hadoop):
+    folder = Folder(spark, str(tmp_path / "x"), hadoop)
+    log = CommitLog(folder)
+    assert log.latest() == (-1, {})
+    log.append(0, {"a": "é"})
+    log.append(1, {"a": 2})
+    with pytest.raises(ConflictError):
+        log.append(1, {"a": 3})
+    assert log.latest() == (1, {"a": 2}) and log.all() == [{"a": "é"}, {"a": 2}]
+    log.prune(1)
+    assert log.all() == [{"a": 2}]
+    a, b = Lock(folder, "lock", 60), Lock(folder, "lock", 60)
+    with a.held(), pytest.raises(LockHeldError):
+        b.take()
+    b.take()
+    with pytest.raises(LockHeldError):
+        a.renew()
+    b.ttl_s = -1
+    b.renew()  # expires at once
+    stale = [Lock(folder, "lock", 60) for _ in range(2)]
+    n, _ = stale[0].log.latest()
+    stale[0]._put(n)
+    with pytest.raises(LockHeldError):  # both saw the expired lock; one has it
+        stale[1]._put(n)
+    assert b.holder() == stale[0].token
+
+
 # --- 2 ---
 def brute_kept(data):
     best = {}
@@ -113,11 +165,25 @@ def test_hot_message_and_small_combiner(spark, monkeypatch):
     assert quotient.distinct_messages(log(spark, data)).count() == 49
 
 
-def test_quotient_store_over_batches(spark, tmp_path):
+def test_quotient_store_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quotient, "MAX_PARTS", 2)
     s = quotient.QuotientStore(spark, str(tmp_path))
-    assert sorted(r[0] for r in s.insert(log(spark, [msg(1, "a", 1), msg(2, "A", 1), msg(3, "b", 1)])).select("delivery_no").collect()) == [1, 3]
-    assert sorted(r[0] for r in s.insert(log(spark, [msg(4, "a ", 1), msg(5, "c", 1), msg(6, None, 1)])).select("delivery_no").collect()) == [5, 6]
+    assert s.output() is None
+    no = lambda df: sorted(r[0] for r in df.select("delivery_no").collect())
+    assert no(s.insert(log(spark, [msg(1, "a", 1), msg(2, "A", 1), msg(3, "b", 1)]))) == [1, 3]
+    assert no(s.insert(log(spark, [msg(4, "a ", 1), msg(5, "c", 1), msg(6, None, 1)]))) == [5, 6]
     assert s.insert(log(spark, [msg(7, None, 1)])).count() == 0
+    assert no(s.insert(log(spark, [msg(8, "c", 1), msg(9, "d", 1)]))) == [9]
+    assert no(s.output()) == [1, 3, 5, 6, 9] and s.seen().count() == 5
+
+
+def test_a_batch_that_died_before_its_commit_is_not_lost(spark, tmp_path):
+    s = quotient.QuotientStore(spark, str(tmp_path))
+    rows_, n, doc = s.prepare(log(spark, [msg(1, "a", 1)]))  # and here the run dies
+    assert s.insert(log(spark, [msg(1, "a", 1), msg(2, "b", 1)])).count() == 2
+    with pytest.raises(ConflictError):
+        s.log.append(n, doc)
+    assert s.output().count() == 2 and s.seen().count() == 2
 
 
 # --- 3 ---
@@ -347,12 +413,39 @@ def test_compaction_moves_every_row_once(spark, tmp_path):
         files.append((i, i, f"{path.name}/{i}.parquet", None, i + 1, (path / f"{i}.parquet").stat().st_size, 1, 0, None, 1))
         n += i + 1
     t = compaction.CompactionTable(spark, str(tmp_path))
-    t.init([f[2] for f in files])
+    listed = spark.createDataFrame([(f[2],) for f in files], "file_path string")
+    t.init(listed)
     before = sorted(r[0] for r in t.read().select("id").collect())
     m = t.merge(compaction.plan_merges(spark.createDataFrame(files, LIST)))
-    assert len(m["files"]) == 3 and sorted(r[0] for r in t.read().select("id").collect()) == before == list(range(n))
+    assert m["outputs"] == 3 and t.files().count() == 3 and sorted(r[0] for r in t.read().select("id").collect()) == before == list(range(n))
+    assert t.read(["2020-01-01"]).count() == 1 + 4 + 7 + 10
     wrong = [(*f[:4], f[4] + 1, *f[5:]) for f in files]
-    t.init([f[2] for f in files])
+    t.init(listed)
     with pytest.raises(OSError):
         t.merge(compaction.plan_merges(spark.createDataFrame(wrong, LIST)))
-    assert sorted(r[0] for r in t.read().select("id").collect()) == before and len(t.vacuum()) == 6
+    assert sorted(r[0] for r in t.read().select("id").collect()) == before and t.vacuum() == 6
+    plan, real = compaction.plan_merges(spark.createDataFrame(files, LIST)), t._publish
+
+    def late_publish(n_, after):  # another merge is published while this one is at work
+        t._publish = real
+        compaction.CompactionTable(spark, str(tmp_path)).merge(plan)
+        real(n_, after)
+
+    t._publish = late_publish
+    with pytest.raises(ConflictError):
+        t.merge(plan)
+    assert sorted(r[0] for r in t.read().select("id").collect()) == before
+
+
+def test_merged_files_stay_inside_the_folder(spark, tmp_path):
+    root = tmp_path / "t"
+    files = []
+    for i, raw in enumerate(["a%2F..%2F..%2Fx", "a%2F..%2F..%2Fx", "..", ".."]):
+        (root / f"event_date={raw}").mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.table({"id": [i]}), root / f"event_date={raw}" / f"{i}.parquet")
+        files.append((i, i, f"event_date={raw}/{i}.parquet", None, 1, 100, 1, 0, None, 1))
+    t = compaction.CompactionTable(spark, str(root))
+    t.init(spark.createDataFrame([(f[2],) for f in files], "file_path string"))
+    assert t.merge(compaction.plan_merges(spark.createDataFrame(files, LIST)))["outputs"] == 2
+    assert os.listdir(tmp_path) == ["t"] and sorted(r[0] for r in t.read().select("id").collect()) == [0, 1, 2, 3]
+    assert {os.path.dirname(r[0]) for r in t.files().collect()} == {"event_date=a%2F..%2F..%2Fx", "event_date=.."}

@@ -30,6 +30,10 @@ class WriteSyncTimeoutError(TimeoutError):
         self.timeout_ms = timeout_ms
 
 
+class ConflictError(RuntimeError):
+    """Another writer committed first; what was done has no effect and may be repeated."""
+
+
 class LockHeldError(RuntimeError):
     """Another process holds the table's lock."""
 

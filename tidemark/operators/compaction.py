@@ -1,22 +1,24 @@
 """Consolidating small files.
 
 Files are planned from their listings, assigned to output groups by balanced longest-first scheduling, and each group is
-streamed through pyarrow into one file. The list of files that count, the manifest, is replaced in one rename after the
-row counts of all outputs have been verified.
+streamed through pyarrow into one file. The list of files that count, the manifest, is replaced by one commit after the row
+counts of all outputs have been verified.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-import os
 import uuid
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import CommitLog, Folder
+
 SMALL_BYTES = 65_536
 TARGET_BYTES = 128 << 20
 #: About so many files are scheduled by one heap.
@@ -63,8 +65,8 @@ def plan_merges(listings: DataFrame, small_bytes: int = SMALL_BYTES, target_byte
     """Assignment of every file to be merged to an output: part, chunk_no, group_no and the file.
 
     A partition with one small file is left alone. A partition with very many files is cut by file number into chunks of
-    about ``chunk_files``, and each chunk has its own heap; a chunk that ends up with a single file merges nothing by
-    itself and so goes to chunk 0. Partitions are counted first; the counts travel by an ordinary join.
+    about ``chunk_files``, drawn by a hash of the number, and each chunk has its own heap. Partitions are counted first; the
+    counts travel by an ordinary join.
     """
     small = small_files(listings, small_bytes)
     per = small.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
@@ -73,96 +75,100 @@ def plan_merges(listings: DataFrame, small_bytes: int = SMALL_BYTES, target_byte
     return rows.select("part", "chunk_no", "file_no", "file_path", "n_rows", "n_bytes").groupBy("part", "chunk_no").applyInPandas(lambda pdf: _schedule(pdf, target_bytes), PLAN)
 
 
-def _merge(root: str, out: str):
+MERGED = "part string, output string, n_files int, n_rows bigint, n_bytes bigint"
+
+
+def _merge(root: str):
+    """Streams a group's files into one and verifies its rows. The folder is named by the encoded partition, whatever it holds."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
         part, chunk, group = pdf["part"].iloc[0], int(pdf["chunk_no"].iloc[0]), int(pdf["group_no"].iloc[0])
-        name = f"event_date={part}/merged-{chunk:05d}-{group:05d}-{uuid.uuid4().hex}.parquet"
-        path = os.path.join(out, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+        name = f"event_date={quote(part, safe='')}/merged-{chunk:05d}-{group:05d}-{uuid.uuid4().hex}.parquet"
+        path = f"{base}/{name}"
+        fs.create_dir(path.rsplit("/", 1)[0])
         writer, rows = None, 0
         try:
             for p in pdf.sort_values("file_no")["file_path"]:
-                with pq.ParquetFile(os.path.join(root, p)) as f:
+                with fs.open_input_file(f"{base}/{p}") as source, pq.ParquetFile(source) as f:
                     for batch in f.iter_batches():
                         if writer is None:
-                            writer = pq.ParquetWriter(path, batch.schema, compression="zstd")
+                            writer = pq.ParquetWriter(path, batch.schema, compression="zstd", filesystem=fs)
                         writer.write_batch(batch.cast(writer.schema) if batch.schema != writer.schema else batch)
                         rows += batch.num_rows
         finally:
             if writer is not None:
                 writer.close()
-        with pq.ParquetFile(path) as f:
+        with fs.open_input_file(path) as out, pq.ParquetFile(out) as f:
             written = f.metadata.num_rows
         if written != rows:
             raise OSError(f"{name}: {written} rows written, {rows} read")
-        return pd.DataFrame({"part": [part], "output": [name], "n_files": [len(pdf)], "n_rows": [rows], "n_bytes": [os.path.getsize(path)]})
+        return pd.DataFrame({"part": [part], "output": [name], "n_files": [len(pdf)], "n_rows": [rows], "n_bytes": [fs.get_file_info(path).size]})
 
     return run
 
 
 class CompactionTable:
-    """A folder of Parquet files whose live members are named by ``_MANIFEST.json``.
+    """A folder of Parquet files whose live members are named by a manifest.
 
-    ``merge`` runs a plan and publishes it; until then readers see the old files, afterwards the new ones. Attempts that
-    fail leave unlisted files, which ``vacuum`` removes.
+    A manifest is a table of file names under ``manifests``; a numbered commit says which one counts. ``merge`` runs a plan
+    and publishes it; until then readers see the old files, afterwards the new ones, and of two merges of one manifest one
+    wins. No list of files passes through the driver but that of the files a reader opens. Attempts that fail leave unlisted
+    files, which ``vacuum`` removes.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(Folder(spark, self.root).sub("_manifest"))
 
-    def manifest(self) -> dict | None:
-        try:
-            with open(os.path.join(self.root, "_MANIFEST.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
-
-    def init(self, files: list[str]) -> None:
-        self._publish({"version": 0, "files": sorted(files)})
-
-    def _publish(self, manifest: dict) -> None:
-        tmp = os.path.join(self.root, f".{uuid.uuid4().hex}")
-        with open(tmp, "w") as f:
-            json.dump(manifest, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(tmp, os.path.join(self.root, "_MANIFEST.json"))
+    def files(self) -> DataFrame:
+        """Names of the live files: file_path."""
+        _, doc = self.log.latest()
+        schema = "file_path string"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/_manifest/{doc['files']}") if doc else self.spark.createDataFrame([], schema)
+
+    def _publish(self, n: int, files: DataFrame) -> None:
+        name = f"files-{n:08d}-{uuid.uuid4().hex}"
+        files.select("file_path").write.parquet(f"{self.root}/_manifest/{name}")
+        self.log.append(n, {"files": name})
+
+    def init(self, files: DataFrame) -> None:
+        """Replaces what counts by these files (file_path)."""
+        self._publish(self.log.latest()[0] + 1, files)
 
     def merge(self, plan: DataFrame) -> dict:
         """Merges the plan's groups of live files. Rows in and out must agree, file by file and in all."""
-        before = self.manifest() or {"version": 0, "files": []}
-        live = self.spark.createDataFrame([(f,) for f in before["files"]], "file_path string")
+        n, live = self.log.latest()[0] + 1, self.files()
         # the plan's inputs and outputs are written once, so that what is published is what was merged
-        work = os.path.join(self.root, "_work", uuid.uuid4().hex)
+        work = f"{self.root}/_manifest/work-{uuid.uuid4().hex}"
         plan.join(live, "file_path", "left_semi").write.parquet(f"{work}/plan")
         plan = self.spark.read.parquet(f"{work}/plan")
-        plan.groupBy("part", "chunk_no", "group_no").applyInPandas(_merge(self.root, self.root), "part string, output string, n_files int, n_rows bigint, n_bytes bigint").write.parquet(f"{work}/done")
+        plan.groupBy("part", "chunk_no", "group_no").applyInPandas(_merge(self.root), MERGED).write.parquet(f"{work}/done")
         done = self.spark.read.parquet(f"{work}/done")
-        merged = done.agg(F.sum("n_rows"), F.sum("n_files")).first()
+        merged = done.agg(F.sum("n_rows"), F.sum("n_files"), F.count(F.lit(1))).first()
         planned = plan.agg(F.sum("n_rows"), F.count(F.lit(1)), F.count_distinct("file_no")).first()
         if planned[1] and (merged[0] != planned[0] or merged[1] != planned[1] or planned[1] != planned[2]):
             raise OSError(f"merged {merged[0]} rows of {merged[1]} files; the listings say {planned[0]} of {planned[1]}")
-        gone = {r[0] for r in plan.select("file_path").toLocalIterator()}
-        new = [r[0] for r in done.select("output").toLocalIterator()]
-        if (self.manifest() or before)["version"] != before["version"]:
-            raise RuntimeError("another merge has been published meanwhile")
-        after = {"version": before["version"] + 1, "files": sorted({*before["files"]} - gone | {*new})}
-        self._publish(after)
-        return after
-
-    def read(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.root).parquet(*[os.path.join(self.root, f) for f in self.manifest()["files"]])
-
-    def vacuum(self) -> list[str]:
-        """Removes merged files that no manifest names."""
-        live, gone = {*self.manifest()["files"]}, []
-        for d, _, names in os.walk(self.root):
-            for n in names:
-                rel = os.path.relpath(os.path.join(d, n), self.root)
-                if n.startswith("merged-") and rel not in live:
-                    os.unlink(os.path.join(d, n))
-                    gone.append(rel)
-        return gone
+        after = live.join(plan.select("file_path"), "file_path", "left_anti").unionByName(done.select(F.col("output").alias("file_path")))
+        self._publish(n, after)
+        return {"version": n, "merged": planned[1], "outputs": merged[2], "rows": planned[0] or 0}
+
+    def read(self, parts: list[str] | None = None) -> DataFrame:
+        """The live files, or those of some partitions (decoded); the list of files opened is the driver's, as in any Spark scan."""
+        files = self.files()
+        if parts is not None:
+            files = files.where(path_partition(F.col("file_path")).isin(*parts))
+        return self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/{r[0]}" for r in files.toLocalIterator()])
+
+    def vacuum(self) -> int:
+        """Removes merged files that the manifest does not name; returns how many."""
+        fs, base = pafs.FileSystem.from_uri(self.root) if ":" in self.root else (pafs.LocalFileSystem(), self.root)
+        found = [x.path for x in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if x.base_name.startswith("merged-")]
+        have = self.spark.createDataFrame([(x[len(base) + 1 :],) for x in found], "file_path string")
+        gone = have.join(self.files(), "file_path", "left_anti").collect()
+        for r in gone:
+            fs.delete_file(f"{base}/{r[0]}")
+        return len(gone)
 
 
 def compacted(log: DataFrame, listings: DataFrame, **options) -> DataFrame:

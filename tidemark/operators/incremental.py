@@ -1,14 +1,13 @@
 """Processing only records that no earlier run has durably done.
 
-Two forms. :func:`open_messages` derives what is still open from the ledger of earlier runs, whose done ranges need not
-join. :class:`IncrementalConsumer` makes the runs: it takes what lies above the high watermark of a monotonic commit
-sequence up to a limit that is fixed when the run starts, and publishes output and new watermark in one atomic step.
+:class:`IncrementalConsumer` makes the runs: each takes what lies above the high watermark of a monotonic commit sequence
+up to a limit that is fixed when the run starts, and publishes output and new watermark in one atomic step. A run that
+takes over from consumers whose runs are only known by a ledger, and whose done ranges need not join, leaves out what those
+have done with :func:`open_messages`.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Callable
 
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entity_key
 from tidemark.operators.dedup import has_id
+from tidemark.storage import CommitLog, Folder
 
-#: Done ranges (after cutting into buckets) up to which they are broadcast: about 60 bytes each, 30 MB in all.
+#: Ranges in cells up to which they are broadcast: about 60 bytes each, 30 MB in all.
 BROADCAST_RANGES = 500_000
 
 
@@ -32,17 +32,21 @@ def done_ranges(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("committed", "failed") & below & F.col("seen_batch_no").isNotNull()).select("shard", "lo_ms", "lo_seq", "done_ms", "done_seq", "seen_batch_no").distinct()
 
 
-def _bucketed(ranges: DataFrame) -> tuple[DataFrame, int, int]:
-    """Per shard and bucket of message time the ranges that touch it; the bucket width, and how many entries there are.
+BASE_MS = 1000
 
-    The width is such that a shard has about as many buckets as ranges, so that a row meets few of them.
+
+def _leveled(ranges: DataFrame) -> DataFrame:
+    """Each range in the cells of its own level: _shard, _level, _cell, and the range.
+
+    Cells of level k are ``BASE_MS << k`` wide, and a range is put where they are at least as wide as it is long, so it
+    lies in two or three cells at most however long it is.
     """
-    n, shards, lo, hi = ranges.agg(F.count(F.lit(1)), F.count_distinct("shard"), F.min("lo_ms"), F.max("done_ms")).first()
-    width = max(1000, (hi - lo) // max(1, n // max(1, shards))) if n else 1000
-    cut = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo_ms") / width), F.floor(F.col("done_ms") / width))))
-    each = F.struct("lo_ms", "lo_seq", "done_ms", "done_seq", "seen_batch_no")
-    total = ranges.agg(F.sum(F.floor(F.col("done_ms") / width) - F.floor(F.col("lo_ms") / width) + 1)).first()[0] or 0
-    return cut.groupBy(F.col("shard").alias("_shard"), "_bucket").agg(F.collect_list(each).alias("_ranges")), width, total
+    long = F.greatest((F.col("done_ms") - F.col("lo_ms")).cast("double") / BASE_MS, F.lit(1.0))
+    level = F.ceil(F.log2(long)).cast("int")
+    width = F.call_function("shiftleft", F.lit(BASE_MS).cast("bigint"), level)
+    cells = F.sequence(F.floor(F.col("lo_ms") / width), F.floor(F.col("done_ms") / width))
+    each = F.struct("lo_ms", "lo_seq", "done_ms", "done_seq", "seen_batch_no").alias("range")
+    return ranges.select(F.col("shard").alias("_shard"), level.alias("_level"), each, F.explode(cells).alias("_cell"))
 
 
 def _covers(r: Column) -> Column:
@@ -54,70 +58,88 @@ def _covers(r: Column) -> Column:
 def open_messages(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Messages with an id of which no copy has been done: ``msg_id_ms, msg_id_seq, entity_id`` (the entity).
 
-    The log passes by the done ranges once, by shard and bucket of message time (each row meets at most one list of
-    ranges), and is then reduced to one row per message; copies collapse before the shuffle. The ranges are broadcast
-    only when they are counted to be few, else both sides are shuffled by shard and bucket. Rows with a null shard or
-    ``batch_no`` count as not done; a null entity is one entity; no runs at all leave every message open.
+    The log passes by the bounds of the earlier runs once (a row meets one short list of ranges for each length that they
+    have) and is then reduced to one row per message; copies collapse before the shuffle. The ranges are broadcast only
+    when they are counted to be few, else both sides are shuffled by shard and cell. Rows with a null shard or ``batch_no``
+    count as not done; a null entity is one entity; no runs at all leave every message open.
+    """
+    ranges = _leveled(done_ranges(runs))
+    levels = {r["_level"]: r["n"] for r in ranges.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64
+    few = sum(levels.values()) <= BROADCAST_RANGES
+    met = log.where(has_id()).select("msg_id_ms", "msg_id_seq", entity_key("entity_id").alias("entity_id"), "shard", "batch_no", F.lit(False).alias("_done"))
+    for k in sorted(levels):
+        side = ranges.where(F.col("_level") == k).groupBy("_shard", "_cell").agg(F.collect_list("range").alias("_ranges"))
+        here = (F.col("shard") == F.col("_shard")) & (F.floor(F.col("msg_id_ms") / (BASE_MS << k)) == F.col("_cell"))
+        done = F.col("_done") | F.coalesce(F.exists("_ranges", _covers), F.lit(False))
+        met = met.join(F.broadcast(side) if few else side, here, "left").withColumn("_done", done).drop("_shard", "_cell", "_ranges")
+    per = met.groupBy("msg_id_ms", "msg_id_seq", "entity_id").agg(F.max("_done").alias("_done"))
+    return per.where(~F.col("_done")).drop("_done")
+
+
+class FlushMarks:
+    """Which flushes of a growing table are complete.
+
+    A writer begins a flush, writes it, and seals it; flushes may overlap. Readers go up to ``complete``, below the first
+    one that has been begun and not sealed.
     """
-    buckets, width, total = _bucketed(done_ranges(runs))
-    rows = log.where(has_id()).select("msg_id_ms", "msg_id_seq", entity_key("entity_id").alias("entity_id"), "shard", "batch_no", F.floor(F.col("msg_id_ms") / width).alias("_b"))
-    side = F.broadcast(buckets) if total <= BROADCAST_RANGES else buckets
-    met = rows.join(side, (F.col("shard") == F.col("_shard")) & (F.col("_b") == F.col("_bucket")), "left")
-    done = F.coalesce(F.exists("_ranges", _covers), F.lit(False))
-    return met.select("msg_id_ms", "msg_id_seq", "entity_id", done.alias("_done")).groupBy("msg_id_ms", "msg_id_seq", "entity_id").agg(F.max("_done").alias("_done")).where(~F.col("_done")).drop("_done")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        folder = Folder(spark, path)
+        self.begun, self.sealed = folder.sub("begun"), folder.sub("sealed")
+
+    def begin(self, n: int) -> None:
+        self.begun.create(f"{n:012d}", "")
+
+    def seal(self, n: int) -> None:
+        self.sealed.create(f"{n:012d}", "")
+
+    def complete(self) -> int | None:
+        """The greatest sealed flush below which none is open; None when there is none."""
+        done = {int(x) for x in self.sealed.names() if x.isdigit()}
+        first = min({int(x) for x in self.begun.names() if x.isdigit()} - done, default=None)
+        return max((n for n in done if first is None or n < first), default=None)
+
+
+def snapshot_limit(table: DataFrame, sequence: str = "batch_no") -> int | None:
+    """The greatest sequence of a table that nobody writes to any more, where every flush is complete."""
+    return table.agg(F.max(sequence)).first()[0]
 
 
 class IncrementalConsumer:
-    """Runs over a growing table; each takes the rows above the watermark and publishes its output once.
+    """Runs over a growing table; each takes the rows above the high watermark and publishes its output once.
 
-    The folder holds ``out/<run>`` and ``commits/<n>.json``. A commit names its output and the watermark that it reached;
-    the file is made by an exclusive link, so of two runs that start from the same watermark one wins and the other fails
-    without effect. Output of runs that died is never read.
+    A run's upper limit is fixed when it starts: the caller names the greatest sequence up to which all flushes are complete
+    (``FlushMarks.complete``, or ``snapshot_limit`` of a table at rest), so no half-written flush is passed over. The folder
+    holds ``out/<run>`` and numbered commits. A commit names its output and the watermark that it reached, so both become
+    visible in one step; of two runs that start from the same watermark one wins and the other fails without effect. Output
+    of runs that died is never read.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, sequence: str = "batch_no") -> None:
-        self.spark, self.folder, self.sequence = spark, folder, sequence
-        os.makedirs(os.path.join(folder, "commits"), exist_ok=True)
-
-    def commits(self) -> list[dict]:
-        d = os.path.join(self.folder, "commits")
-        out = []
-        for name in sorted(x for x in os.listdir(d) if x.endswith(".json")):
-            with open(os.path.join(d, name)) as f:
-                out.append(json.load(f))
-        return out
+    def __init__(self, spark: SparkSession, path: str, sequence: str = "batch_no") -> None:
+        self.spark, self.sequence = spark, sequence
+        self.folder = Folder(spark, path)
+        self.log = CommitLog(self.folder)
 
     def watermark(self) -> int | None:
-        done = self.commits()
-        return done[-1]["hi"] if done else None
+        return self.log.latest()[1].get("hi")
 
-    def run(self, table: DataFrame, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> int | None:
-        """Processes rows with watermark < sequence <= limit; the limit is the greatest sequence now. None: nothing new.
+    def run(self, table: DataFrame, limit: int | None, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> int | None:
+        """Processes rows with watermark < sequence <= limit; returns the new watermark, or None when there is nothing new.
 
         Rows with a null sequence have not been committed yet and wait.
         """
-        n, lo = len(self.commits()), self.watermark()
-        hi = table.agg(F.max(self.sequence)).first()[0]
-        if hi is None or (lo is not None and hi <= lo):
+        n, last = self.log.latest()
+        lo = last.get("hi")
+        if limit is None or (lo is not None and limit <= lo):
             return None
-        new = table.where(F.col(self.sequence) <= hi)
+        new = table.where(F.col(self.sequence) <= limit)
         new = new if lo is None else new.where(F.col(self.sequence) > lo)
-        part = f"{n:08d}-{uuid.uuid4().hex}"
-        process(new).write.parquet(os.path.join(self.folder, "out", part))
-        tmp = os.path.join(self.folder, "commits", f".{part}")
-        with open(tmp, "w") as f:
-            json.dump({"n": n, "lo": lo, "hi": hi, "output": part}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        try:
-            os.link(tmp, os.path.join(self.folder, "commits", f"{n:08d}.json"))
-        except FileExistsError:
-            raise RuntimeError(f"another run has committed number {n}") from None
-        finally:
-            os.unlink(tmp)
-        return hi
+        part = f"{n + 1:08d}-{uuid.uuid4().hex}"
+        process(new).write.parquet(self.folder / f"out/{part}")
+        self.log.append(n + 1, {"n": n + 1, "lo": lo, "hi": limit, "output": part})
+        return limit
 
     def output(self) -> DataFrame | None:
         """All published output."""
-        parts = [os.path.join(self.folder, "out", c["output"]) for c in self.commits()]
+        parts = [self.folder / f"out/{c['output']}" for c in self.log.all()]
         return self.spark.read.parquet(*parts) if parts else None

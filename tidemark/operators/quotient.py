@@ -8,8 +8,6 @@ word are the quotient, which names the shard and the slot; the remaining words a
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entity_key
 from tidemark.operators.dedup import has_id
+from tidemark.storage import CommitLog, Folder
 
 #: Entries of the table that each task keeps before the shuffle; when it is full, its entries are handed on.
 COMBINER_ENTRIES = 1 << 18
@@ -158,15 +157,24 @@ def _run(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.Re
     yield from _kept(t)
 
 
-def settle(ids: DataFrame) -> DataFrame:
+#: Identifiers that one shard task may hold, about 60 bytes each and their entity.
+SHARD_IDENTIFIERS = 4_000_000
+
+
+def settle(ids: DataFrame, n: int | None = None) -> DataFrame:
     """Each row of ``ids`` (``_a, _b, _e, _v``) once, with ``_new``: whether it is the kept row of its identifier.
 
     A bounded table in front of the shuffle takes out the copies that one task sees, so that an identifier with very
-    many copies does not fill one shard. ``_a`` and ``_e`` are null for rows that are not kept.
+    many copies does not fill one shard. ``_a`` and ``_e`` are null for rows that are not kept. ``n``: how many identifiers
+    there are at most, if known; then shards are made small enough for a task's memory.
     """
     shard = F.shiftrightunsigned("_b", 64 - SHARD_BITS)
     front = ids.withColumn("_new", F.lit(True)).mapInArrow(lambda it: _run(it, COMBINER_ENTRIES), KEYS)
-    return front.repartition(shard).mapInArrow(lambda it: _run(it, None), KEYS)
+    usual = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = -(-(n or 0) // SHARD_IDENTIFIERS)
+    # adaptive execution joins small shards only where their number is left to it
+    parts = front.repartition(need, shard) if need > usual else front.repartition(shard)
+    return parts.mapInArrow(lambda it: _run(it, None), KEYS)
 
 
 def repeated_deliveries(log: DataFrame) -> DataFrame:
@@ -176,64 +184,67 @@ def repeated_deliveries(log: DataFrame) -> DataFrame:
     ``event_time_ns``. Null entities are one entity, null times one time. Rows without ``delivery_no`` cannot be named and
     are left out. An empty log gives no rows.
     """
-    return settle(identifiers(log.where(F.col("delivery_no").isNotNull()))).where(~F.col("_new")).select(F.col("_v").alias("delivery_no"))
+    rows = log.where(F.col("delivery_no").isNotNull())
+    return settle(identifiers(rows), rows.count()).where(~F.col("_new")).select(F.col("_v").alias("delivery_no"))
 
 
 def distinct_messages(log: DataFrame) -> DataFrame:
     """The kept row of each message with all its columns; ``delivery_no`` must be unique."""
-    keep = settle(identifiers(log)).where(F.col("_new")).select(F.col("_v").alias("_keep"))
+    keep = settle(identifiers(log), log.count()).where(F.col("_new")).select(F.col("_v").alias("_keep"))
     return log.join(keep, F.col("delivery_no") == F.col("_keep"), "left_semi")
 
 
-class QuotientStore:
-    """Identifiers seen so far, kept over runs in a folder of Parquet files by quotient shard.
-
-    ``insert`` returns the rows of a batch whose identifiers are new and adds them. State files are written first; the
-    list of files that count is replaced in one rename, so a run that dies leaves the state as it was and can be repeated.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, groups: int = 64) -> None:
-        self.spark, self.path, self.groups = spark, path, groups
-        os.makedirs(path, exist_ok=True)
-
-    def _list(self) -> list[str]:
-        try:
-            with open(os.path.join(self.path, "_STATE.json")) as f:
-                return json.load(f)["parts"]
-        except FileNotFoundError:
-            return []
-
-    def parts(self) -> list[str]:
-        """Names of the state files that count."""
-        return self._list()
+#: An identifier that was stored earlier enters its table with this value, below that of any row, so that it stays.
+_SEEN = -(1 << 63)
+MAX_PARTS = 16
 
-    def restore(self, parts: list[str]) -> None:
-        """Goes back to an earlier state, for callers that publish it together with their own output."""
-        self._publish(parts)
 
-    def _publish(self, parts: list[str]) -> None:
-        tmp = os.path.join(self.path, f".{uuid.uuid4().hex}")
-        with open(tmp, "w") as f:
-            json.dump({"parts": parts}, f)
-        os.replace(tmp, os.path.join(self.path, "_STATE.json"))
+class QuotientStore:
+    """Identifiers seen so far, kept over runs in a folder of Parquet files, and the new rows of each batch.
 
-    def seen(self) -> DataFrame:
-        return self._read(self._list())
+    ``insert`` enters a batch into tables that hold what was stored, shard by shard, writes the identifiers that are new and
+    the rows that brought them, and makes both visible by one commit. A run that dies before leaves everything as it was and
+    is repeated with its batch; of two that insert at once one wins. When there are ``MAX_PARTS`` parts they are written
+    again as one.
+    """
 
-    def _read(self, parts: list[str]) -> DataFrame:
-        schema = "_a bigint, _b bigint, _e string, _v bigint, part string, _group int"
-        if not parts:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*[os.path.join(self.path, p) for p in parts])
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.folder = spark, Folder(spark, path)
+        self.log = CommitLog(self.folder)
+
+    SCHEMA = "_a bigint, _b bigint, _e string"
+
+    def seen(self, parts: list[str] | None = None) -> DataFrame:
+        parts = self.log.latest()[1].get("parts", []) if parts is None else parts
+        paths = [self.folder / f"ids/{p}" for p in parts]
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+
+    def prepare(self, batch: DataFrame, value: str = "delivery_no") -> tuple[DataFrame, int, dict]:
+        """The batch's rows of new identifiers, written, and the commit that makes them count; for callers that commit more with it."""
+        n, last = self.log.latest()
+        parts, part = last.get("parts", []), f"{n + 1:08d}-{uuid.uuid4().hex}"
+        old = self.seen(parts)
+        known = int(last.get("n_ids", 0))
+        both = identifiers(batch, value).unionByName(old.withColumn("_v", F.lit(_SEEN).cast("bigint")))
+        kept = settle(both, known + batch.count()).where(F.col("_new") & (F.col("_v") != _SEEN))
+        kept.select("_a", "_b", "_e", "_v").write.parquet(self.folder / f"ids/{part}")
+        fresh = self.spark.read.schema(f"{self.SCHEMA}, _v bigint").parquet(self.folder / f"ids/{part}")
+        rows = batch.join(fresh.select(F.col("_v").alias("_keep")), F.col(value) == F.col("_keep"), "left_semi")
+        rows.write.parquet(self.folder / f"out/{part}")
+        parts, total = [*parts, part], known + fresh.count()
+        if len(parts) > MAX_PARTS:
+            whole = f"{part}-whole"
+            self.seen(parts).write.parquet(self.folder / f"ids/{whole}")
+            parts = [whole]
+        return self.spark.read.parquet(self.folder / f"out/{part}"), n + 1, {"parts": parts, "n_ids": total, "output": part}
 
     def insert(self, batch: DataFrame, value: str = "delivery_no") -> DataFrame:
-        group = F.shiftrightunsigned("_b", 64 - SHARD_BITS) % self.groups
-        ids = settle(identifiers(batch, value)).where(F.col("_new")).drop("_new").withColumn("_group", group.cast("int"))
-        # stored remainders of the same group are matched by equality of all words
-        old = self.seen().select("_group", "_a", "_b", "_e")
-        same = (ids["_group"] == old["_group"]) & (ids["_a"] == old["_a"]) & (ids["_b"] == old["_b"]) & ids["_e"].eqNullSafe(old["_e"])
-        part = f"part={uuid.uuid4().hex}"
-        ids.join(old, same, "left_anti").write.partitionBy("_group").parquet(os.path.join(self.path, part))
-        fresh = self._read([part])
-        self._publish([*self._list(), part])
-        return batch.join(fresh.select(F.col("_v").alias("_keep")), F.col(value) == F.col("_keep"), "left_semi")
+        """The rows of a batch whose identifiers are new, one of each; they and their identifiers are committed."""
+        rows, n, doc = self.prepare(batch, value)
+        self.log.append(n, doc)
+        return rows
+
+    def output(self) -> DataFrame | None:
+        """The rows of all committed batches."""
+        paths = [self.folder / f"out/{c['output']}" for c in self.log.all()]
+        return self.spark.read.parquet(*paths) if paths else None

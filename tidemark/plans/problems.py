@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import compaction, drift, history, incremental, late, quotient, versions
+from tidemark.session import shared_folder
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.open_messages(table(spark, d, "feature_log"), table(spark, d, "consumer_runs"))
+    """What a run takes that follows the runs of the ledger: its committed output."""
+    log, runs = table(spark, d, "feature_log"), table(spark, d, "consumer_runs")
+    consumer = incremental.IncrementalConsumer(spark, _folder(spark, "p1"))
+    consumer.run(log, incremental.snapshot_limit(log), lambda new: incremental.open_messages(new, runs))
+    return consumer.output()
+
+
+def p1_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs, each up to a third more of the flushes, the second tried twice: every row once, with its run."""
+    log = table(spark, d, "feature_log").select("delivery_no", "batch_no")
+    consumer, last = incremental.IncrementalConsumer(spark, _folder(spark, "p1")), incremental.snapshot_limit(log)
+    for i, limit in enumerate((last // 3, 2 * last // 3, 2 * last // 3, last)):
+        consumer.run(log, limit, lambda new, i=i: new.withColumn("run", F.lit(i)))
+    return consumer.output()
 
 
 def p1_watermarks(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +112,7 @@ def p7_messages(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compacted(table(spark, d, "feature_log"), table(spark, d, "log_files")).select("delivery_no", "out_part", "out_chunk", "out_group")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages)}
 
 _E = "lower(trim(entity_id, ' ' || chr(9)))"
 _DAY_NO = "((event_time_ns - ((event_time_ns % 86400000000000) + 86400000000000) % 86400000000000) // 86400000000000)"
@@ -122,6 +143,9 @@ with d as (select l.msg_id_ms, l.msg_id_seq, {_E} entity_id,
       and (l.msg_id_ms < r.done_ms or (l.msg_id_ms = r.done_ms and l.msg_id_seq <= r.done_seq)) and l.batch_no <= r.seen_batch_no) done
   from feature_log l where l.msg_id_ms is not null)
 select msg_id_ms, msg_id_seq, entity_id from d group by all having not bool_or(done)""",
+    "p1_runs": """
+select delivery_no, batch_no, cast(case when batch_no <= m // 3 then 0 when batch_no <= 2 * m // 3 then 1 else 3 end as integer) run
+from feature_log, (select max(batch_no) m from feature_log) where batch_no is not null""",
     "p1_watermarks": """
 with r as (select distinct shard, lo_ms, lo_seq, done_ms, done_seq, seen_batch_no from consumer_runs where status in ('committed', 'failed') and done_ms is not null and (lo_ms, lo_seq) < (done_ms, done_seq))
 select shard, max(row(done_ms, done_seq))[1] done_ms, max(row(done_ms, done_seq))[2] done_seq, max(seen_batch_no) seen_batch_no, count(*) n_ranges from r group by shard""",
