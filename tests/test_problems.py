@@ -2,6 +2,7 @@
 
 import json
 import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -211,13 +212,17 @@ def brute_versions(xs):
     return sorted(out, key=str)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 30)), st.sampled_from([1.0, 2.0, NAN, None]), st.sampled_from([1, None])), max_size=60))
 def test_item_versions_match_brute_force_with_and_without_hot_keys(spark, xs):
     xs = [(*x, i) for i, x in enumerate(xs)]
     want = brute_versions(xs)
     for hot in (100_000, 3):
-        assert rows(history.item_versions(items(spark, xs), hot_rows=hot).select("entity_id", "valid_from_ns", "valid_to_ns")) == want
+        cut = len(xs) // 2
+        loads = [(items(spark, x), i) for i, x in enumerate((xs[cut:], xs[:cut]))]  # the later ids first
+        with tempfile.TemporaryDirectory() as d:
+            got = history.item_versions(loads, history.HistoryLedger(spark, d), hot_rows=hot)
+            assert rows(got.select("entity_id", "valid_from_ns", "valid_to_ns")) == want
 
 
 def test_ledger_supersedes_without_overwriting(spark):
@@ -228,22 +233,64 @@ def test_ledger_supersedes_without_overwriting(spark):
     assert rows(b.select(*cols)) == sorted([("x", 10, 30, 1.0, 100, 200), ("x", 10, 20, 1.0, 200, -1), ("x", 20, 30, 9.0, 200, -1), ("x", 30, -1, 2.0, 100, -1), ("y", 5, -1, 1.0, 100, -1)], key=str)
     assert rows(history.as_recorded(b, 150).select(*cols[:4])) == rows(a.select(*cols[:4]))
     assert rows(history.apply_updates(b, late_, 300).select(*cols)) == rows(b.select(*cols))
-    assert history.item_versions(items(spark, [])).count() == 0
+
+
+def test_stored_ledger_appends_only(spark, tmp_path):
+    t = history.HistoryLedger(spark, str(tmp_path))
+    assert t.ledger() is None and t.current() is None
+    files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "rows") for f in fs}
+    t.load(items(spark, [("x", 10, 1.0, 1, 1), ("x", 30, NAN, 1, 2), ("y", 5, 1.0, 1, 3), (None, 5, None, None, 4)]), 100)
+    before, one = files(), t.ledger().collect()
+    second = items(spark, [("x", 20, 9.0, 1, 4), ("x", 30, NAN, 1, 2), (None, None, 1.0, 1, 9)])
+    with pytest.raises(ZeroDivisionError):
+        real, t.log.append = t.log.append, lambda *a: 1 / 0
+        t.load(second, 200)  # dies before its commit
+    t.log.append = real
+    assert sorted(map(str, t.ledger().collect())) == sorted(map(str, one))
+    t.load(second, 200)
+    assert before.items() <= files().items()
+    cols = ("entity_id", "valid_from_ns", "valid_to_ns", "recorded_from", "recorded_to")
+    assert rows(t.ledger().select(*cols)) == sorted(
+        [("x", 10, 30, 100, 200), ("x", 10, 20, 200, -1), ("x", 20, 30, 200, -1), ("x", 30, -1, 100, -1), ("y", 5, -1, 100, -1), (None, 5, -1, 100, -1)], key=str
+    )
+    with pytest.raises(ValueError):
+        t.load(second, 200)
+    t.load(items(spark, []), 300)
+    t.load(second, 400)
+    assert rows(history.as_recorded(t.ledger(), 150).select(*cols[:3])) == rows(spark.createDataFrame([tuple(r)[:3] for r in one], "e string, f bigint, t bigint"))
+    assert t.ledger().count() == 6
 
 
 # --- 4 ---
-def test_late_events(spark):
+def test_late_events(spark, tmp_path):
     day, h = DAY_NS, 3_600_000
     data = [
         msg(1, "a", 23 * h, t=5), msg(2, "a", 24 * h, t=6, batch=2), msg(3, "A", 24 * h, t=6, batch=3), msg(4, "a", 71 * h + h - 1, t=7, batch=4), msg(5, "a", 72 * h, t=8, batch=4),
         msg(6, "a", None, None, t=9), msg(7, "b", 24 * h, t=day, batch=2), msg(8, "c", 30 * h, t=-1, batch=2, clicks=None), msg(9, "d", 1, t=None),
     ]
     x = log(spark, data)
-    assert rows(late.revisions(x).select("entity_id", "event_date", "batch_no")) == [("a", "1970-01-01", 2), ("a", "1970-01-01", 4), ("c", "1969-12-31", 2)]
-    assert rows(late.dropped(x).select("msg_id_ms")) == [(72 * h,)]
-    assert rows(late.totals(x).select("entity_id", "n_messages", "clicks", "n_late")) == [("a", 3, 3, 2), ("b", 1, 1, 0), ("c", 1, None, 1)]
-    assert rows(late.emissions(x).where("entity_id = 'a'").select("batch_no", "n_messages", "emission")) == [(1, 1, 1), (2, 2, 2), (4, 3, 3)]
-    assert late.revisions(log(spark, [])).count() == 0
+    for batches in (1, 2, 5):
+        t = late.run(x, late.KeyedTotals(spark, str(tmp_path / f"{batches}")), batches)
+        assert rows(late.revisions(t).select("entity_id", "event_date", "batch_no")) == [("a", "1970-01-01", 2), ("a", "1970-01-01", 4), ("c", "1969-12-31", 2)]
+        assert rows(t.dropped().select("msg_id_ms")) == [(72 * h,)]
+        assert rows(t.totals().select("entity_id", "n_messages", "clicks", "n_late", "n_revisions")) == [("a", 3, 3, 2, 2), ("b", 1, 1, 0, 0), ("c", 1, None, 1, 1)]
+        assert rows(t.emissions().where("entity_id = 'a'").select("batch_no", "n_messages", "n_emissions")) == [(1, 1, 1), (2, 2, 2), (4, 3, 3)]
+    before = rows(t.totals())
+    t.apply(late.classified(x), 0)  # a batch that was applied
+    assert rows(t.totals()) == before
+    none = late.run(log(spark, []), late.KeyedTotals(spark, str(tmp_path / "none")))
+    assert none.totals().count() == none.emissions().count() == none.dropped().count() == 0
+
+
+def test_state_of_a_batch_that_died_is_not_seen(spark, tmp_path):
+    t, x = late.KeyedTotals(spark, str(tmp_path)), late.classified(log(spark, [msg(1, "a", 1), msg(2, "a", 2)]))
+    real, t.log.append = t.log.append, lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        t.apply(x, 0)
+    assert t.totals().count() == 0
+    t.log.append = real
+    t.apply(x, 0)
+    assert rows(t.totals().select("n_messages")) == [(2,)] and t.emissions().count() == 1
 
 
 # --- 5 ---

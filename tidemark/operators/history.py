@@ -2,16 +2,19 @@
 
 A ledger row says: in ``[valid_from_ns, valid_to_ns)`` the entity had this state, as believed from ``recorded_from`` until
 ``recorded_to`` (-1: the end is open). A load of updates, late ones included, sweeps the time line of the entities it
-touches, splits the intervals that its points fall into and appends what changed. Rows are superseded by setting their
-end of record; their contents stay.
+touches, splits the intervals that its points fall into and appends what changed. A superseded row is followed by a closing
+of it; what has been written stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import hot_keys, neighbours, with_blocks
+from tidemark.storage import CommitLog, Folder
 
 STATE = ("price", "quantity")
 
@@ -38,32 +41,94 @@ def intervals(pts: DataFrame, fields: tuple[str, ...], hot: DataFrame) -> DataFr
     return n.withColumn("valid_to_ns", F.coalesce(F.col("_next.valid_from_ns"), F.lit(-1).cast("bigint"))).drop("_next")
 
 
+def _columns(state: tuple[str, ...]) -> list[str]:
+    return ["entity_id", "valid_from_ns", "valid_to_ns", *state, "msg_id_ms", "msg_id_seq"]
+
+
+def additions(current: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+    """What a load appends to a ledger: intervals that are new, and closings of those that it supersedes.
+
+    ``current``: the open intervals of (at least) the entities that the load touches, or None. The load's points and those
+    of the open intervals are swept together; an interval that stays as it is appends nothing. A closing repeats the
+    interval's row with ``recorded_to`` set.
+    """
+    cols = _columns(state)
+    new_row = [F.lit(recorded_at).cast("bigint").alias("recorded_from"), F.lit(-1).cast("bigint").alias("recorded_to")]
+    if current is None:
+        return intervals(points(updates, state), state, hot_entities(updates, hot_rows)).select(*cols, *new_row)
+    touched = updates.where(F.col("event_time_ns").isNotNull()).select(F.col("entity_id").alias("_touched")).distinct()
+    old = current.join(touched, F.col("entity_id").eqNullSafe(F.col("_touched")), "left_semi").select(*cols, "recorded_from")
+    known = old.select("entity_id", F.col("valid_from_ns").alias("event_time_ns"), *state, "msg_id_ms", "msg_id_seq")
+    both = known.unionByName(updates.select(*known.columns))
+    swept = intervals(points(both, state), state, hot_entities(both, hot_rows)).select(*cols, F.lit(None).cast("bigint").alias("recorded_from"))
+    # old and new intervals meet by all their columns; what is on both sides stays
+    sides = old.withColumns({"_old": F.lit(1), "_new": F.lit(0)}).unionByName(swept.withColumns({"_old": F.lit(0), "_new": F.lit(1)}))
+    met = sides.groupBy(*cols).agg(F.max("recorded_from").alias("recorded_from"), F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    one = met.where(F.col("_old") != F.col("_new"))
+    now = F.lit(recorded_at).cast("bigint")
+    return one.select(*cols, F.coalesce("recorded_from", now).alias("recorded_from"), F.when(F.col("_new") == 1, F.lit(-1)).otherwise(now).cast("bigint").alias("recorded_to"))
+
+
+def settled_rows(appended: DataFrame, state: tuple[str, ...] = STATE) -> DataFrame:
+    """The ledger that appended rows amount to: each interval once, with the end of its record if it has been closed."""
+    return appended.groupBy(*_columns(state), "recorded_from").agg(F.max("recorded_to").alias("recorded_to"))
+
+
 def apply_updates(ledger: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
-    """The ledger after one more load, recorded at ``recorded_at``. The ledger may be None.
+    """A ledger held as a table after one more load, recorded at ``recorded_at``. The ledger may be None.
 
     Columns: entity_id, valid_from_ns, valid_to_ns, the state, msg_id_ms, msg_id_seq, recorded_from, recorded_to.
     Loads must be applied in order of ``recorded_at``; applying one again changes nothing.
     """
-    cols = ["entity_id", "valid_from_ns", "valid_to_ns", *state, "msg_id_ms", "msg_id_seq"]
     if ledger is None:
-        swept = intervals(points(updates, state), state, hot_entities(updates, hot_rows))
-        return swept.select(*cols, F.lit(recorded_at).cast("bigint").alias("recorded_from"), F.lit(-1).cast("bigint").alias("recorded_to"))
-    touched = updates.select("entity_id").distinct()
-    same = ledger["entity_id"].eqNullSafe(touched["entity_id"])
-    current = ledger.where(F.col("recorded_to") == -1).join(touched, same, "left_semi")
-    known = current.select("entity_id", F.col("valid_from_ns").alias("event_time_ns"), *state, "msg_id_ms", "msg_id_seq")
-    both = known.unionByName(updates.select(*known.columns))
-    swept = intervals(points(both, state), state, hot_entities(both, hot_rows)).select(*cols)
-    # old and new rows of an interval meet by all their columns: what is on both sides stays as it is
-    old = ledger.select(*cols, "recorded_from", "recorded_to", F.lit(1).alias("_old"), F.lit(0).alias("_new"))
-    closed, live = old.where(F.col("recorded_to") != -1), old.where(F.col("recorded_to") == -1)
-    live = live.join(touched, live["entity_id"].eqNullSafe(touched["entity_id"]), "left_semi")
-    rest = ledger.where(F.col("recorded_to") == -1).join(touched, same, "left_anti").select(*cols, "recorded_from", "recorded_to")
-    fresh = swept.select(*cols, F.lit(None).cast("bigint").alias("recorded_from"), F.lit(-1).cast("bigint").alias("recorded_to"), F.lit(0).alias("_old"), F.lit(1).alias("_new"))
-    met = live.unionByName(fresh).groupBy(*cols).agg(F.max("recorded_from").alias("recorded_from"), F.max("_old").alias("_old"), F.max("_new").alias("_new"))
-    now = F.lit(recorded_at).cast("bigint")
-    met = met.select(*cols, F.coalesce("recorded_from", now).alias("recorded_from"), F.when(F.col("_new") == 1, F.lit(-1)).otherwise(now).cast("bigint").alias("recorded_to"))
-    return closed.select(*cols, "recorded_from", "recorded_to").unionByName(rest).unionByName(met)
+        return additions(None, updates, recorded_at, state, hot_rows)
+    more = additions(ledger.where(F.col("recorded_to") == -1), updates, recorded_at, state, hot_rows)
+    return settled_rows(ledger.unionByName(more), state)
+
+
+class HistoryLedger:
+    """A stored ledger: each load appends its new intervals and closings, by bucket of entities; nothing is overwritten.
+
+    A load reads the buckets of the entities that it touches. It becomes visible by one commit; of two loads at once one
+    wins, and a load that died is repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, state: tuple[str, ...] = STATE, buckets: int = 64) -> None:
+        self.spark, self.state, self.buckets = spark, state, buckets
+        self.folder = Folder(spark, path)
+        self.log = CommitLog(self.folder)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("entity_id"), F.lit(self.buckets)).cast("int")
+
+    def _appended(self, doc: dict) -> DataFrame | None:
+        paths = [self.folder / f"rows/{p}" for p in doc.get("parts", [])]
+        return self.spark.read.option("basePath", self.folder / "rows").schema(doc["schema"] + ", load string, _bucket int").parquet(*paths) if paths else None
+
+    def load(self, updates: DataFrame, recorded_at: int, hot_rows: int = 100_000) -> None:
+        """Appends a load; ``recorded_at`` must rise from load to load."""
+        n, last = self.log.latest()
+        if last and recorded_at <= last["recorded_at"]:
+            raise ValueError(f"a load recorded at {last['recorded_at']} has been applied")
+        current = None
+        if last:
+            touched = [r[0] for r in updates.select(self._bucket().alias("b")).distinct().collect()]  # at most as many as buckets
+            current = settled_rows(self._appended(last).where(F.col("_bucket").isin(touched)), self.state).where(F.col("recorded_to") == -1)
+        more = additions(current, updates, recorded_at, self.state, hot_rows)
+        part = f"load={n + 1:08d}-{uuid.uuid4().hex}"
+        more.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(self.folder / f"rows/{part}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in more.schema.fields)
+        self.log.append(n + 1, {"recorded_at": recorded_at, "schema": schema, "parts": [*last.get("parts", []), part]})
+
+    def ledger(self) -> DataFrame | None:
+        """All intervals ever believed; None before the first load."""
+        rows = self._appended(self.log.latest()[1])
+        return None if rows is None else settled_rows(rows, self.state)
+
+    def current(self) -> DataFrame | None:
+        """The open intervals."""
+        rows = self.ledger()
+        return None if rows is None else rows.where(F.col("recorded_to") == -1)
 
 
 def as_recorded(ledger: DataFrame, at: int) -> DataFrame:
@@ -86,7 +151,8 @@ def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int =
     return s.select("entity_id", "valid_from_ns", F.coalesce(F.col("_next.valid_from_ns"), F.lit(-1).cast("bigint")).alias("valid_to_ns"), *state)
 
 
-def item_versions(updates: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
-    """Versions of each entity from all its updates and snapshots, late ones in their place."""
-    ledger = apply_updates(None, updates, 0, state, hot_rows)
-    return versions(ledger.where(F.col("recorded_to") == -1), state, hot_rows, hot_entities(updates, hot_rows))
+def item_versions(loads: list[tuple[DataFrame, int]], ledger: HistoryLedger, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+    """Versions of each entity after these loads of updates and snapshots into a ledger, late ones in their place."""
+    for updates, recorded_at in loads:
+        ledger.load(updates, recorded_at, hot_rows)
+    return versions(ledger.current(), state, hot_rows)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import compaction, drift, history, incremental, late, quotient, versions
 from tidemark.session import shared_folder
+from tidemark.streaming.totals import TotalsStream
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -51,29 +52,58 @@ def p2_messages(spark: SparkSession, d: str) -> DataFrame:
     return quotient.distinct_messages(table(spark, d, "feature_log")).select("delivery_no", "entity_id", "event_time_ns", "msg_id_ms", "msg_id_seq")
 
 
+def _loads(updates: DataFrame) -> list[tuple[DataFrame, int]]:
+    """The updates as two loads, split at the middle of their arrivals; late ones are in the second."""
+    lo, hi = updates.agg(F.min("msg_id_ms"), F.max("msg_id_ms")).first()
+    mid = (lo + hi) // 2
+    first = F.col("msg_id_ms").isNull() | (F.col("msg_id_ms") <= mid)
+    return [(updates.where(first), mid), (updates.where(~first), hi)]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.item_versions(table(spark, d, "item_updates")).select("entity_id", "valid_from_ns", "valid_to_ns")
+    """Versions after two loads into a stored ledger, the second of which splits and supersedes what the first recorded."""
+    u = table(spark, d, "item_updates")
+    v = history.item_versions(_loads(u), history.HistoryLedger(spark, _folder(spark, "p3")))
+    return v.select("entity_id", "valid_from_ns", "valid_to_ns")
+
+
+def _text(c: str) -> Column:
+    """A float as text of nine digits, by which every single-precision value differs; NaN is a value like any other."""
+    x = F.col(c).cast("double")
+    return F.when(F.isnan(x), "NaN").when(x.isNotNull(), F.format_string("%.8e", x)).alias(c)
 
 
 def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger after two loads, split at the middle of the arrivals; superseded rows are in it."""
-    u = table(spark, d, "item_updates")
-    lo, hi = u.agg(F.min("msg_id_ms"), F.max("msg_id_ms")).first()
-    mid = (lo + hi) // 2
-    first = history.apply_updates(None, u.where(F.col("msg_id_ms") <= mid), mid)
-    return history.apply_updates(first, u.where(F.col("msg_id_ms") > mid), hi).select("entity_id", "valid_from_ns", "valid_to_ns", F.col("price").cast("double").alias("price"), "quantity", "recorded_from", "recorded_to")
+    """The whole ledger after the two loads; superseded rows are in it. Prices are text, so that NaN can be compared."""
+    ledger = history.HistoryLedger(spark, _folder(spark, "p3"))
+    for updates, at in _loads(table(spark, d, "item_updates")):
+        ledger.load(updates, at)
+    return ledger.ledger().select("entity_id", "valid_from_ns", "valid_to_ns", _text("price"), "quantity", "recorded_from", "recorded_to")
+
+
+def _late(spark: SparkSession, d: str) -> late.KeyedTotals:
+    return late.run(table(spark, d, "feature_log"), late.KeyedTotals(spark, _folder(spark, "p4")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.revisions(table(spark, d, "feature_log")).select("entity_id", "event_date", "batch_no")
+    """Upserts of the keyed state that revised a closed window."""
+    return late.revisions(_late(spark, d)).select("entity_id", "event_date", "batch_no")
 
 
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
-    return late.totals(table(spark, d, "feature_log"))
+    return _late(spark, d).totals().select("entity_id", "event_date", "n_messages", "clicks", "n_late", "n_revisions")
 
 
 def p4_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return late.dropped(table(spark, d, "feature_log"))
+    return _late(spark, d).dropped()
+
+
+def p4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The totals of a stream over the log's files, copies taken out across its micro-batches."""
+    stream = TotalsStream(spark, _folder(spark, "p4"))
+    files = f"{d}/feature_log.parque[t]"  # a pattern: the table may be a folder or a file
+    stream.start(files, table(spark, d, "feature_log").schema, 8).awaitTermination()
+    return stream.totals().select("entity_id", "event_date", "n_messages", "clicks", "n_late")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +142,7 @@ def p7_messages(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compacted(table(spark, d, "feature_log"), table(spark, d, "log_files")).select("delivery_no", "out_part", "out_chunk", "out_group")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p4_stream, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages)}
 
 _E = "lower(trim(entity_id, ' ' || chr(9)))"
 _DAY_NO = "((event_time_ns - ((event_time_ns % 86400000000000) + 86400000000000) % 86400000000000) // 86400000000000)"
@@ -133,6 +163,7 @@ _SMALL = """
 last as (select * from (select *, row_number() over (partition by file_no order by listed_ms desc, listing_no desc) rn from log_files) where rn = 1),
 small as (select *, url_decode(replace(regexp_extract(file_path, 'event_date=([^/]*)/', 1), '+', '%2B')) part from last
   where replaced_by is null and n_rows > 0 and n_bytes < 65536 and not ('/' || file_path like '%/\\_tmp/%' escape '\\'))"""
+_TEXT = "case when isnan({0}) then 'NaN' when {0} is not null then printf('%.8e', cast({0} as double)) end"
 _IDENT = f"row_number() over (partition by msg_id_ms, msg_id_seq, {_E}, case when msg_id_ms is null then event_time_ns end order by delivery_no)"
 
 SQL = {
@@ -162,7 +193,7 @@ u1 as (select item_updates.* from item_updates, m where msg_id_ms <= mid),
 a as (select entity_id, event_time_ns f, coalesce(lead(event_time_ns) over (partition by entity_id order by event_time_ns), -1) t, price, quantity, msg_id_ms, msg_id_seq from p1),
 {_POINTS.format("item_updates").replace("pts as", "p2 as")},
 b as (select entity_id, event_time_ns f, coalesce(lead(event_time_ns) over (partition by entity_id order by event_time_ns), -1) t, price, quantity, msg_id_ms, msg_id_seq from p2)
-select coalesce(a.entity_id, b.entity_id) entity_id, coalesce(a.f, b.f) valid_from_ns, coalesce(a.t, b.t) valid_to_ns, cast(coalesce(a.price, b.price) as double) price, coalesce(a.quantity, b.quantity) quantity,
+select coalesce(a.entity_id, b.entity_id) entity_id, coalesce(a.f, b.f) valid_from_ns, coalesce(a.t, b.t) valid_to_ns, {_TEXT.format('coalesce(a.price, b.price)')} price, coalesce(a.quantity, b.quantity) quantity,
   case when a.f is null then hi else mid end recorded_from, case when b.f is null then hi else -1 end recorded_to
 from a full join b on a.entity_id = b.entity_id and a.f = b.f and a.t = b.t and a.msg_id_ms = b.msg_id_ms and a.msg_id_seq = b.msg_id_seq cross join m""",
     "p4_found": f"with {_KEPT}, {_CLASS} select distinct e entity_id, event_date_ event_date, batch_no from classed where late >= 0 and late < 172800000",
@@ -170,6 +201,9 @@ from a full join b on a.entity_id = b.entity_id and a.f = b.f and a.t = b.t and
 with {_KEPT}, {_CLASS}
 select e entity_id, event_date_ event_date, count(*) n_messages, cast(sum(clicks) as bigint) clicks, count_if(late >= 0) n_late, count(distinct case when late >= 0 then batch_no end) n_revisions
 from classed where late < 172800000 group by 1, 2""",
+    "p4_stream": f"""
+with {_KEPT}, {_CLASS}
+select e entity_id, event_date_ event_date, count(*) n_messages, cast(sum(clicks) as bigint) clicks, count_if(late >= 0) n_late from classed where late < 172800000 group by 1, 2""",
     "p4_dropped": f"with {_KEPT}, {_CLASS} select msg_id_ms, msg_id_seq, e entity_id, event_time_ns, event_date_ event_date, batch_no from classed where late >= 172800000",
     "p5_found": f"""
 with {_KEPT}

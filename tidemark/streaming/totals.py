@@ -1,20 +1,17 @@
 """Totals per entity and day over a stream of log files, corrected by late messages.
 
-The keyed state is a table of one row per entity, day and flush, kept in versions behind a pointer; a micro-batch adds
-the messages it brings for the first time, replaces the state of the days it touches, and emits those rows. Messages
-beyond the cut-off are written aside. A batch that is replayed starts from the state before it and gives the same result.
+A micro-batch takes out the messages that earlier ones have brought (exact quotient tables), merges the rest into the keyed
+state, emits upserts and diverts what is too late. Both stores skip a batch that they have committed, so a batch that died
+anywhere is replayed to the same result.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import entity_key
 from tidemark.operators import late
 from tidemark.operators.dedup import has_id
 from tidemark.operators.quotient import QuotientStore
@@ -23,44 +20,27 @@ from tidemark.operators.quotient import QuotientStore
 class TotalsStream:
     def __init__(self, spark: SparkSession, folder: str, lateness_ms: int = late.LATENESS_MS) -> None:
         self.spark, self.folder, self.lateness_ms = spark, folder, lateness_ms
-        os.makedirs(os.path.join(folder, "state"), exist_ok=True)
-
-    def _pointer(self) -> dict:
-        try:
-            with open(os.path.join(self.folder, "_STATE.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"batch": -1, "parts": [], "seen": []}
-
-    STATE = "entity_id string, event_date string, batch_no int, n_new bigint, clicks_new bigint, n_late bigint"
+        self.state, self.seen = late.KeyedTotals(spark, f"{folder}/totals"), QuotientStore(spark, f"{folder}/seen")
 
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
-        at = self._pointer()
-        if batch_id <= at["batch"]:
-            return  # replay of a batch that was published
-        store = QuotientStore(self.spark, os.path.join(self.folder, "seen"))
-        store.restore(at["seen"])
-        rows = late.classified(store.insert(batch.where(has_id())), self.lateness_ms)
-        part = f"{batch_id:08d}-{uuid.uuid4().hex}"
-        late.batch_totals(rows).write.parquet(os.path.join(self.folder, "state", part))
-        rows.where(F.col("arrival") == "dropped").write.mode("overwrite").parquet(os.path.join(self.folder, "dropped", f"batch={batch_id}"))
-        tmp = os.path.join(self.folder, f".{part}")
-        with open(tmp, "w") as f:
-            json.dump({"batch": batch_id, "parts": [*at["parts"], part], "seen": store.parts()}, f)
-        os.replace(tmp, os.path.join(self.folder, "_STATE.json"))
-
-    def state(self) -> DataFrame:
-        parts = [os.path.join(self.folder, "state", p) for p in self._pointer()["parts"]]
-        return self.spark.read.schema(self.STATE).parquet(*parts) if parts else self.spark.createDataFrame([], self.STATE)
+        if self.seen.log.latest()[1].get("batch", -1) >= batch_id:
+            return  # both have it
+        rows, n, doc = self.seen.prepare(batch.where(has_id()))
+        rows = rows.withColumn("entity_id", entity_key("entity_id"))
+        self.state.apply(late.classify(rows, self.lateness_ms), batch_id)
+        self.seen.log.append(n, doc | {"batch": batch_id})
 
     def totals(self) -> DataFrame:
-        """The totals as corrected so far."""
-        return self.state().groupBy("entity_id", "event_date").agg(F.sum("n_new").alias("n_messages"), F.sum("clicks_new").alias("clicks"), F.sum("n_late").alias("n_late"))
+        return self.state.totals()
+
+    def emissions(self) -> DataFrame:
+        return self.state.emissions()
 
     def dropped(self) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.folder, "dropped"))
+        return self.state.dropped()
 
     def start(self, source: str, schema, max_files: int = 1) -> StreamingQuery:
         """Runs over the log files in ``source`` that are there and not yet done."""
         stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-        return stream.writeStream.foreachBatch(self._apply).option("checkpointLocation", os.path.join(self.folder, "checkpoint")).trigger(availableNow=True).start()
+        w = stream.writeStream.foreachBatch(self._apply).option("checkpointLocation", f"{self.folder}/checkpoint")
+        return w.trigger(availableNow=True).start()
