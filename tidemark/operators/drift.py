@@ -53,56 +53,58 @@ def file_order(fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     return n.select("schema_name", "file_seq", F.col("_prev.file_seq").alias("prev_seq"), F.col("_next.file_seq").alias("next_seq"))
 
 
-def _met(fields: DataFrame, hot_rows: int) -> DataFrame:
-    """Each field of a file beside that of the same name in the file before: schema_name, file_seq, field_name, new, old."""
+def enforced(incoming: DataFrame, target: DataFrame, on: list[str], fits: Column, how: str = "left") -> DataFrame:
+    """What arrives, set against the target schema: both sides' columns and ``status``.
+
+    ``typed``: the target has the key and it fits; ``uncastable``: it has it and it does not fit; ``unknown``: the target has
+    no such key; ``absent`` (with ``how="full"``): nothing arrived for the target's key. All but typed ones are rescued.
+    """
+    j = incoming.withColumn("_came", F.lit(True)).join(target.withColumn("_known", F.lit(True)), on, how)
+    status = F.when(F.col("_known").isNull(), "unknown").when(F.col("_came").isNull(), "absent").when(F.coalesce(fits, F.lit(False)), "typed").otherwise("uncastable")
+    return j.withColumn("status", status).drop("_came", "_known")
+
+
+def ingested_headers(fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+    """Each file's declarations, ingested with the fields of the file before it as target.
+
+    Columns: schema_name, file_seq, field_name, new and old (structs pos, dtype, dims) and status. A first file has no target
+    and is left out.
+    """
     placed = fields.join(file_order(fields, hot_rows), ["schema_name", "file_seq"])
     d = F.struct("pos", "dtype", "dims")
-    sides = placed.select(
-        "schema_name",
-        "field_name",
-        F.explode(
-            F.array(
-                F.struct(F.when(F.col("prev_seq").isNotNull(), F.col("file_seq")).alias("at"), d.alias("new"), F.when(F.lit(False), d).alias("old")),
-                F.struct(F.col("next_seq").alias("at"), F.when(F.lit(False), d).alias("new"), d.alias("old")),
-            )
-        ).alias("s"),
-    ).where(F.col("s.at").isNotNull())
-    return sides.groupBy("schema_name", F.col("s.at").alias("file_seq"), "field_name").agg(F.max("s.new").alias("new"), F.max("s.old").alias("old"))
-
-
-def _slots(met: DataFrame) -> DataFrame:
-    """Added and removed names that agree in position, dtype and shape, both of which make a rename: schema_name, file_seq, came, went."""
-    single = met.where(F.col("new").isNull() | F.col("old").isNull()).withColumn("d", F.coalesce("new", "old"))
+    came = placed.where(F.col("prev_seq").isNotNull()).select("schema_name", "file_seq", "field_name", d.alias("new"))
+    target = placed.where(F.col("next_seq").isNotNull()).select("schema_name", F.col("next_seq").alias("file_seq"), "field_name", d.alias("old"))
+    same = F.col("new.dtype").eqNullSafe(F.col("old.dtype")) & F.col("new.dims").eqNullSafe(F.col("old.dims"))
+    return enforced(came, target, ["schema_name", "file_seq", "field_name"], same, "full")
+
+
+def promotable(headers: DataFrame) -> DataFrame:
+    """Rescued names that may be promoted to a field which nothing arrived for: schema_name, file_seq, came, went.
+
+    They agree in position, dtype and shape; ``came`` and ``went`` are all names of one such slot.
+    """
+    single = headers.where(F.col("status").isin("unknown", "absent")).withColumn("d", F.coalesce("new", "old"))
     return single.groupBy("schema_name", "file_seq", "d", F.when(F.col("d.pos").isNull(), F.col("field_name")).alias("_only")).agg(
-        F.collect_set(F.when(F.col("new").isNotNull(), F.col("field_name"))).alias("came"), F.collect_set(F.when(F.col("old").isNotNull(), F.col("field_name"))).alias("went")
+        F.collect_set(F.when(F.col("status") == "unknown", F.col("field_name"))).alias("came"), F.collect_set(F.when(F.col("status") == "absent", F.col("field_name"))).alias("went")
     )
 
 
 def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     """Changes of each file against the one before it: schema_name, file_seq, field_name, change_kind.
 
-    Kinds: added, removed, renamed (under the new name), retyped, reshaped. A first file has none. Fields are carried to
-    the file they are compared in and meet there by one grouping; no file list is gathered in one task.
+    They are what ingesting the file's declarations into the schema before it had to rescue: unknown names that can be
+    promoted to an absent field are renamed (under the new name), other unknown ones added, other absent ones removed, and
+    uncastable ones retyped or reshaped. A first file has none. No file list is gathered in one task.
     """
-    met = _met(declared_fields(schema_fields), hot_rows)
+    headers = ingested_headers(declared_fields(schema_fields), hot_rows)
     none = F.lit(None)
-    both = met.where(F.col("new").isNotNull() & F.col("old").isNotNull())
-    kept = both.select(
-        "schema_name",
-        "file_seq",
-        "field_name",
-        F.explode(F.array(F.when(~F.col("new.dtype").eqNullSafe(F.col("old.dtype")), "retyped").otherwise(none), F.when(~F.col("new.dims").eqNullSafe(F.col("old.dims")), "reshaped").otherwise(none))).alias("change_kind"),
-    ).where(F.col("change_kind").isNotNull())
-    slots = _slots(met).select(
-        "schema_name",
-        "file_seq",
-        F.explode(
-            F.when((F.size("came") > 0) & (F.size("went") > 0), F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("renamed").alias("k")))).otherwise(
-                F.concat(F.transform("came", lambda x: F.struct(x.alias("n"), F.lit("added").alias("k"))), F.transform("went", lambda x: F.struct(x.alias("n"), F.lit("removed").alias("k"))))
-            )
-        ).alias("c"),
-    )
-    return kept.unionByName(slots.select("schema_name", "file_seq", F.col("c.n").alias("field_name"), F.col("c.k").alias("change_kind")))
+    retyped = F.when(~F.col("new.dtype").eqNullSafe(F.col("old.dtype")), "retyped").otherwise(none)
+    reshaped = F.when(~F.col("new.dims").eqNullSafe(F.col("old.dims")), "reshaped").otherwise(none)
+    kept = headers.where(F.col("status") == "uncastable").select("schema_name", "file_seq", "field_name", F.explode(F.array(retyped, reshaped)).alias("change_kind"))
+    named = lambda c, kind: F.transform(c, lambda x: F.struct(x.alias("n"), F.lit(kind).alias("k")))
+    both = (F.size("came") > 0) & (F.size("went") > 0)
+    slots = promotable(headers).select("schema_name", "file_seq", F.explode(F.when(both, named("came", "renamed")).otherwise(F.concat(named("came", "added"), named("went", "removed")))).alias("c"))
+    return kept.where(F.col("change_kind").isNotNull()).unionByName(slots.select("schema_name", "file_seq", F.col("c.n").alias("field_name"), F.col("c.k").alias("change_kind")))
 
 
 def row_sizes(schema_fields: DataFrame) -> DataFrame:
@@ -137,36 +139,60 @@ def drift_report(schema_fields: DataFrame, upgrade_log: DataFrame, hot_rows: int
     return field_changes(schema_fields, hot_rows).unionByName(size)
 
 
+def _flat(v: Column) -> Column:
+    """The numbers of a value that is written as a list, nested or not."""
+    return F.transform(F.regexp_extract_all(v, F.lit(r"(-?[0-9.eE+-]+|NaN)"), 1), lambda x: x.try_cast("double"))
+
+
 def _fits(v: Column, dtype: Column, dims: Column) -> Column:
     """Whether a value (as text) can be cast to the declared type; NaN and Inf are floats, text numbers are numbers."""
     real = v.try_cast("double").isNotNull()
     whole = v.rlike(r"^\s*[+-]?\d+\s*$")
     i32, i64, u8 = v.try_cast("int"), v.try_cast("bigint"), v.try_cast("int")
     scalar = F.when(dtype.isin("f32", "f64"), real).when(dtype == "i32", whole & i32.isNotNull()).when(dtype == "i64", whole & i64.isNotNull()).when(dtype == "u8", whole & u8.between(0, 255)).otherwise(F.lit(False))
-    flat = F.transform(F.regexp_extract_all(v, F.lit(r"(-?[0-9.eE+-]+|NaN)"), 1), lambda x: x.try_cast("double"))
+    flat = _flat(v)
     count = F.aggregate(dims, F.lit(1).cast("bigint"), lambda a, x: F.try_multiply(a, x))
     vector = v.startswith("[") & (F.size(flat) == count) & F.forall(flat, lambda x: x.isNotNull())
     return F.coalesce(F.when(F.size(dims) == 0, scalar).otherwise(vector), F.lit(False))
 
 
+#: The key under which a payload is rescued whole: it is no JSON object, or it has a key twice.
+WHOLE = "_payload"
+
+
+def parsed(payload: str) -> Column:
+    """The values of a payload by key; one that is no JSON object, or that has a key twice, is also there whole, as ``WHOLE``."""
+    text = F.col(payload)
+    m = F.from_json(payload, "map<string,string>")
+    some = F.coalesce(m, F.create_map().cast("map<string,string>"))
+    entries = F.map_entries(some)
+    keys = F.transform(entries, lambda e: e["key"])
+    odd = (text.isNotNull() & m.isNull() & ~F.lower(F.trim(text)).isin("", "null")) | (F.size(keys) != F.size(F.array_distinct(keys)))
+    # of a key that stands twice the last value counts
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), e["key"]))
+    whole = F.when(odd, F.array(F.struct(F.lit(WHOLE).alias("key"), text.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return F.map_from_entries(F.concat(F.filter(last, lambda e: e["key"] != WHOLE), whole))
+
+
 def rescued_long(records: DataFrame, target: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Records in long form against a target: record_id, schema_name, source_name, field_name, value, dtype, other, typed.
+    """Records in long form against a target: record_id, schema_name, source_name, field_name, value, dtype, dims, other, status, typed.
 
     ``target`` has schema_name, source_name, field_name, dtype, dims: under which name a key of the payload is read and as
     what. ``names``, as of ``final_names``, says for the keys that a file declares under which name they are looked up
     there (null: not at all); ``other`` is true for keys that it does not know, which are looked up as they are. ``typed``
     is true when the value fits; other values and keys without a target (field_name null) are rescued. Null values and null
-    or malformed payloads give no rows.
+    payloads give no rows; a malformed payload is one rescued value.
     """
     file = ["file_seq"] if names is not None else []
-    kv = records.select("record_id", "schema_name", *file, F.explode(F.from_json("payload", "map<string,string>")).alias("key", "value")).where(F.col("value").isNotNull())
+    kv = records.select("record_id", "schema_name", *file, F.explode(parsed("payload")).alias("key", "value")).where(F.col("value").isNotNull())
     if names is None:
         kv = kv.withColumns({"source_name": F.col("key"), "other": F.lit(False)})
     else:
-        n = names.select("schema_name", "file_seq", F.col("source_name").alias("key"), F.col("field_name").alias("_to"), F.lit(True).alias("_known"))
-        kv = kv.join(n, ["schema_name", "file_seq", "key"], "left").withColumns({"source_name": F.when(F.col("_known"), F.col("_to")).otherwise(F.col("key")), "other": F.col("_known").isNull()})
-    j = kv.join(target.select("schema_name", "source_name", "field_name", "dtype", "dims"), ["schema_name", "source_name"], "left")
-    return j.select("record_id", "schema_name", F.col("key").alias("source_name"), "field_name", "value", "dtype", "other", (F.col("field_name").isNotNull() & _fits(F.col("value"), F.col("dtype"), F.col("dims"))).alias("typed"))
+        n = names.select("schema_name", "file_seq", F.col("source_name").alias("key"), F.col("field_name").alias("_to"), F.lit(True).alias("_told"))
+        kv = kv.join(n, ["schema_name", "file_seq", "key"], "left").withColumns({"source_name": F.when(F.col("_told"), F.col("_to")).otherwise(F.col("key")), "other": F.col("_told").isNull()})
+    fits = _fits(F.col("value"), F.col("dtype"), F.col("dims"))
+    j = enforced(kv, target.select("schema_name", "source_name", "field_name", "dtype", "dims"), ["schema_name", "source_name"], fits)
+    return j.select("record_id", "schema_name", F.col("key").alias("source_name"), "field_name", "value", "dtype", "dims", "other", "status", (F.col("status") == "typed").alias("typed"))
 
 
 def unified(records: DataFrame, target: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -193,14 +219,26 @@ def unified(records: DataFrame, target: DataFrame, names: DataFrame | None = Non
     return out.select("record_id", "schema_name", "entity_id", "event_time_ns", F.coalesce(F.map_from_entries(t), empty).alias("features"), rescued.alias("_rescued"))
 
 
-def table_long(table: DataFrame) -> DataFrame:
-    """The consistent table with a row per value: record_id, schema_name, entity_id, event_time_ns, field_name, value, rescued.
+def table_long(table: DataFrame, target: DataFrame) -> DataFrame:
+    """The consistent table with a typed row per value.
 
-    Rescued values stand under the record's own key. A record without values has one row with null name and value.
+    Columns: record_id, schema_name, entity_id, event_time_ns, field_name, rescued, whole (bigint: i32, i64 and u8), number
+    (double: f32 and f64), vector (array of double: fields with a shape) and text (rescued values as they came, under the
+    record's own key). A record without values has one row with a null name.
     """
     entries = lambda c, rescued: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("field_name"), e["value"].alias("value"), F.lit(rescued).alias("rescued")))
     kept = F.coalesce(F.from_json("_rescued", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return table.select("record_id", "schema_name", "entity_id", "event_time_ns", F.inline_outer(F.concat(entries(F.col("features"), False), entries(kept, True))))
+    long = table.select("record_id", "schema_name", "entity_id", "event_time_ns", F.inline_outer(F.concat(entries(F.col("features"), False), entries(kept, True))))
+    j = long.join(target.select("schema_name", "field_name", "dtype", "dims"), ["schema_name", "field_name"], "left")
+    typed, v = F.col("field_name").isNotNull() & ~F.col("rescued"), F.trim("value")
+    scalar = typed & (F.size("dims") == 0)
+    return j.select(
+        "record_id", "schema_name", "entity_id", "event_time_ns", "field_name", "rescued",
+        F.when(scalar & F.col("dtype").isin("i32", "i64", "u8"), v.try_cast("bigint")).alias("whole"),
+        F.when(scalar & (F.col("dtype") == "f32"), v.try_cast("float").cast("double")).when(scalar & (F.col("dtype") == "f64"), v.try_cast("double")).alias("number"),
+        F.when(typed & (F.size("dims") > 0), _flat(v)).alias("vector"),
+        F.when(F.col("rescued"), F.col("value")).alias("text"),
+    )
 
 
 def final_names(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
@@ -211,7 +249,7 @@ def final_names(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     name of the same file became it. The names of a schema's files are followed in one task.
     """
     fields = declared_fields(schema_fields)
-    one = _slots(_met(fields, hot_rows)).where((F.size("came") == 1) & (F.size("went") == 1))
+    one = promotable(ingested_headers(fields, hot_rows)).where((F.size("came") == 1) & (F.size("went") == 1))
     renames = one.select("schema_name", "file_seq", F.col("came")[0].alias("field_name"), F.col("went")[0].alias("old_name"))
     named = fields.where(F.col("schema_name").isNotNull()).select("schema_name", "file_seq", "field_name").join(renames, ["schema_name", "file_seq", "field_name"], "left")
     return named.groupBy("schema_name").applyInPandas(_followed, "schema_name string, file_seq int, source_name string, field_name string")
@@ -252,8 +290,7 @@ def ingest(records: DataFrame, schema, aliases: dict[str, str] | None = None, pa
     """
     names = {f.name: f for f in schema.fields}
     alias = {old: new for old, new in (aliases or {}).items() if new in names and old not in names}
-    m = F.from_json(payload, "map<string,string>")
-    df = records.withColumn("_m", F.coalesce(m, F.create_map().cast("map<string,string>")))
+    df = records.withColumn("_m", parsed(payload))
     used: list[Column] = []
     for f in names.values():
         sources = [f.name, *sorted(old for old, new in alias.items() if new == f.name)]
@@ -271,7 +308,10 @@ def ingest(records: DataFrame, schema, aliases: dict[str, str] | None = None, pa
 
 
 def replay(table: DataFrame, schema, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Promotes fields of ``schema`` that the table lacks and moves fitting rescued values into typed columns."""
+    """Promotes fields of ``schema`` that the table lacks and moves fitting rescued values into typed columns.
+
+    A payload that was rescued whole stays so.
+    """
     have = [f.name for f in schema.fields if f.name in table.columns]
     rest = [c for c in table.columns if c not in have and c != "_rescued"]
     again = ingest(table.select(*rest, F.col("_rescued").alias("_payload"), *[F.col(c).alias(f"_had_{c}") for c in have]), schema, aliases, "_payload")

@@ -114,7 +114,7 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
     """Every query with the features known at its time, nulls where there is no answer."""
     q = table(spark, d, "training_queries")
     got = versions.known_at(table(spark, d, "feature_log"), q, ["age", "clicks", "ltv", "score"]).drop("entity_id", "as_of_time", "event_time_ns")
-    return q.join(got, "query_id", "left").select("query_id", "label", "fold", "msg_id_ms", "msg_id_seq", "age", "clicks", "ltv", F.col("score").cast("double").alias("score"))
+    return q.join(got, "query_id", "left").select("query_id", "label", "fold", "msg_id_ms", "msg_id_seq", "age", "clicks", _text("ltv"), _text("score"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,9 +122,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """The values of all records against the last fields of their schema, older names followed through their renames."""
+    """The typed values of all records against the last fields of their schema, older names followed through their renames."""
     f = table(spark, d, "schema_fields")
-    return drift.table_long(drift.unified(table(spark, d, "drift_records"), drift.latest_target(f), drift.final_names(f)))
+    target = drift.latest_target(f)
+    long = drift.table_long(drift.unified(table(spark, d, "drift_records"), target, drift.final_names(f)), target)
+    return long.select("record_id", "schema_name", "entity_id", "event_time_ns", "field_name", "rescued", "whole", _text("number"), F.size("vector").alias("n_elements"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +165,7 @@ _SMALL = """
 last as (select * from (select *, row_number() over (partition by file_no order by listed_ms desc, listing_no desc) rn from log_files) where rn = 1),
 small as (select *, url_decode(replace(regexp_extract(file_path, 'event_date=([^/]*)/', 1), '+', '%2B')) part from last
   where replaced_by is null and n_rows > 0 and n_bytes < 65536 and not ('/' || file_path like '%/\\_tmp/%' escape '\\'))"""
-_TEXT = "case when isnan({0}) then 'NaN' when {0} is not null then printf('%.8e', cast({0} as double)) end"
+_TEXT = "case when isnan({0}) then 'NaN' when isinf({0}) then case when {0} > 0 then 'Infinity' else '-Infinity' end when {0} is not null then printf('%.8e', cast({0} as double)) end"
 _IDENT = f"row_number() over (partition by msg_id_ms, msg_id_seq, {_E}, case when msg_id_ms is null then event_time_ns end order by delivery_no)"
 
 SQL = {
@@ -211,9 +213,9 @@ select query_id, msg_id_ms, msg_id_seq from (select q.query_id, k.msg_id_ms, k.m
   from (select *, {_E} qe from training_queries) q join kept k on q.qe = k.e and k.event_time_ns <= q.as_of_time and k.event_time_ns >= q.as_of_time - 604800000000000 and k.msg_id_ms * 1000000 <= q.as_of_time) where r = 1""",
     "p5_features": f"""
 with {_KEPT},
-a as (select * from (select q.query_id, k.msg_id_ms, k.msg_id_seq, k.age, k.clicks, k.ltv, cast(k.score as double) score, row_number() over (partition by q.query_id order by k.event_time_ns desc, k.msg_id_ms desc, k.msg_id_seq desc) r
+a as (select * from (select q.query_id, k.msg_id_ms, k.msg_id_seq, k.age, k.clicks, k.ltv, k.score, row_number() over (partition by q.query_id order by k.event_time_ns desc, k.msg_id_ms desc, k.msg_id_seq desc) r
   from (select *, {_E} qe from training_queries) q join kept k on q.qe = k.e and k.event_time_ns <= q.as_of_time and k.event_time_ns >= q.as_of_time - 604800000000000 and k.msg_id_ms * 1000000 <= q.as_of_time) where r = 1)
-select q.query_id, label, fold, msg_id_ms, msg_id_seq, age, clicks, ltv, score from training_queries q left join a using (query_id)""",
+select q.query_id, label, fold, msg_id_ms, msg_id_seq, age, clicks, {_TEXT.format("ltv")} ltv, {_TEXT.format("score")} score from training_queries q left join a using (query_id)""",
     "p6_found": f"""
 with {_FIELDS},
 files as (select schema_name, file_seq, lag(file_seq) over (partition by schema_name order by file_seq) prev from (select distinct schema_name, file_seq from f)),
@@ -228,5 +230,35 @@ union select schema_name, file_seq, field_name, 'removed' from gone g where not
 union select n.schema_name, n.file_seq, n.field_name, 'retyped' from n join o using (schema_name, file_seq, field_name) where n.dt <> o.dt
 union select n.schema_name, n.file_seq, n.field_name, 'reshaped' from n join o using (schema_name, file_seq, field_name) where n.dims <> o.dims
 union select schema_name, file_seq, '*', 'size' from upgrade_log u join sizes using (schema_name, file_seq) where row_size_bytes_new <> case when dry_run then plain else padded end""",
+    "p6_table": f"""
+with recursive {_FIELDS.replace("f as (", "f0 as (").strip()},
+f as (select schema_name, file_seq, field_name, v.field_pos, v.dt, v.dims from (select schema_name, file_seq, field_name, min(struct_pack(field_pos := field_pos, dt := dt, dims := dims)) v from f0 group by all)),
+files as (select *, row_number() over (partition by schema_name order by file_seq) k, count(*) over (partition by schema_name) last from (select distinct schema_name, file_seq from f)),
+g as (select f.*, k, last from f join files using (schema_name, file_seq)),
+came as (select n.schema_name, n.k, n.field_pos, n.dt, n.dims, min(n.field_name) field_name, count(*) c from g n where k > 1 and not exists (select 1 from g o where o.schema_name = n.schema_name and o.k = n.k - 1 and o.field_name = n.field_name) group by all),
+went as (select o.schema_name, o.k + 1 k, o.field_pos, o.dt, o.dims, min(o.field_name) field_name, count(*) c from g o where o.k < o.last and not exists (select 1 from g n where n.schema_name = o.schema_name and n.k = o.k + 1 and n.field_name = o.field_name) group by all),
+ren as (select a.schema_name, a.k, b.field_name old_name, a.field_name new_name from came a join went b using (schema_name, k, field_pos, dt, dims) where a.c = 1 and b.c = 1),
+walk as (select schema_name, file_seq, field_name source_name, field_name cur, k, last from g
+  union all select w.schema_name, w.file_seq, w.source_name, coalesce(r.new_name, n.field_name), w.k + 1, w.last
+  from walk w left join ren r on r.schema_name = w.schema_name and r.k = w.k + 1 and r.old_name = w.cur
+  left join g n on n.schema_name = w.schema_name and n.k = w.k + 1 and n.field_name = w.cur
+  where w.k < w.last and coalesce(r.new_name, n.field_name) is not null),
+target as (select schema_name, field_name, dt, dims from g where k = last),
+ends as (select g.schema_name, g.file_seq, g.field_name source_name, w.cur from g left join walk w on w.schema_name = g.schema_name and w.file_seq = g.file_seq and w.source_name = g.field_name and w.k = w.last),
+told as (select e.schema_name, e.file_seq, e.source_name, coalesce(e.cur, case when not exists (select 1 from ends o where o.schema_name = e.schema_name and o.file_seq = e.file_seq and o.cur = e.source_name) then t.field_name end) field_name
+  from ends e left join target t on t.schema_name = e.schema_name and t.field_name = e.source_name),
+kv as (select record_id, r.schema_name, r.file_seq, k.unnest as key, json_extract_string(payload, '$."' || k.unnest || '"') as v from drift_records r, unnest(json_keys(payload)) k),
+j as (select kv.*, told.source_name is null as other, case when told.source_name is null then kv.key else told.field_name end as looked from kv left join told on told.schema_name = kv.schema_name and told.file_seq = kv.file_seq and told.source_name = kv.key where v is not null),
+x as (select j.*, t.field_name, t.dt, t.dims, case when t.field_name is null then false
+    when t.dims = '' and t.dt in ('f32', 'f64') then try_cast(trim(v) as double) is not null
+    when t.dims = '' then regexp_full_match(trim(v), '[+-]?[0-9]+') and case t.dt when 'i32' then try_cast(v as integer) is not null when 'i64' then try_cast(v as bigint) is not null else try_cast(v as integer) between 0 and 255 end
+    else starts_with(v, '[') and len(regexp_extract_all(v, '-?[0-9.eE+-]+|NaN')) = list_product(list_transform(string_split(t.dims, 'x'), lambda y: cast(y as bigint))) end ok
+  from j left join target t on t.schema_name = j.schema_name and t.field_name = j.looked),
+y as (select *, ok and row_number() over (partition by record_id, field_name, ok order by other, key) = 1 typed from x)
+select r.record_id, r.schema_name, r.entity_id, r.event_time_ns, case when typed then field_name else key end field_name, not typed rescued,
+  case when typed and dims = '' and dt in ('i32', 'i64', 'u8') then cast(v as bigint) end whole,
+  case when typed and dims = '' and dt in ('f32', 'f64') then case when isnan(cast(trim(v) as double)) then 'NaN' when isinf(cast(trim(v) as double)) then case when cast(trim(v) as double) > 0 then 'Infinity' else '-Infinity' end when dt = 'f32' then printf('%.8e', cast(cast(trim(v) as float) as double)) else printf('%.8e', cast(trim(v) as double)) end end number,
+  case when typed and dims <> '' then cast(len(regexp_extract_all(v, '-?[0-9.eE+-]+|NaN')) as integer) end n_elements
+from drift_records r left join y using (record_id)""",
     "p7_found": f"with {_SMALL} select file_no from small where part <> '' qualify count(*) over (partition by part) > 1",
 }
