@@ -347,13 +347,30 @@ def test_rescue_promote_and_replay(spark):
     assert (got[1]["a"], got[1]["v"], got[1]["_rescued"]) == (7, [1.0, 2.5], '{"x":"3"}')
     assert got[2]["a"] is None and got[2]["v"] is None and "3000000000" in got[2]["_rescued"]
     assert (got[3]["a"], got[3]["_rescued"]) == (5, '{"u":"NaN"}')
-    assert all(got[i]["a"] is None and got[i]["_rescued"] is None for i in (4, 5, 6))
+    assert all(got[i]["a"] is None and got[i]["_rescued"] is None for i in (5, 6))
+    assert got[4]["_rescued"] == '{"_payload":"not json"}'
     assert (got[7]["a"], got[7]["_rescued"]) == (1, '{"old":"2"}')
     v2 = FeatureSchema("S", 2, [FeatureField("a", DType.INT64), *v1.fields[1:], FeatureField("x", DType.FLOAT64), FeatureField("u", DType.FLOAT32)])
     again = {r["record_id"]: r for r in drift.replay(t, v2).collect()}
     assert again[1]["x"] == 3.0 and again[1]["_rescued"] is None and again[2]["a"] == 3_000_000_000 and again[3]["u"] != again[3]["u"] and again[7]["a"] == 1
 
 
+def test_no_payload_is_lost(spark):
+    v1 = FeatureSchema("S", 1, [FeatureField("a", DType.INT32)])
+    raw = [(1, '{"a": 5, "b": '), (2, "[1, 2]"), (3, '{"a": 1, "a": 2}'), (4, "  "), (5, "null"), (6, '{"x": 1, "x": 2, "a": 3}'), (7, '{"a": null}')]
+    recs = spark.createDataFrame(raw, "record_id bigint, payload string")
+    t = drift.ingest(recs, v1)
+    got = {r["record_id"]: (r["a"], json.loads(r["_rescued"]) if r["_rescued"] else None) for r in t.collect()}
+    whole = {i: {"_payload": p} for i, p in raw}
+    assert got == {1: (None, whole[1]), 2: (None, whole[2]), 3: (2, whole[3]), 4: (None, None), 5: (None, None), 6: (3, {"x": "2", **whole[6]}), 7: (None, None)}
+    assert sorted(map(str, drift.replay(t, v1).collect())) == sorted(map(str, t.collect()))
+    target = spark.createDataFrame([("S", "a", "a", "i32", [])], "schema_name string, source_name string, field_name string, dtype string, dims array<bigint>")
+    full = recs.selectExpr("record_id", "'S' schema_name", "1 file_seq", "'e' entity_id", "1L event_time_ns", "payload")
+    u = {r["record_id"]: (r["features"], json.loads(r["_rescued"]) if r["_rescued"] else None) for r in drift.unified(full, target).collect()}
+    assert u[1] == ({}, whole[1]) and u[3] == ({"a": "2"}, whole[3]) and u[7] == ({}, None)
+    assert rows(drift.table_long(drift.unified(full, target), target).where("record_id = 3").select("field_name", "whole", "text")) == [("_payload", None, raw[2][1]), ("a", 2, None)]
+
+
 def test_unified_table(spark):
     target = spark.createDataFrame([("S", "a", "a", "i32", [])], "schema_name string, source_name string, field_name string, dtype string, dims array<bigint>")
     recs = spark.createDataFrame([(1, "S", 1, "e", 1, '{"a": 1, "b": 2}'), (2, "S", 1, "e", 1, '{"a": 1.5, "b": null}'), (3, "T", 1, None, None, None)], "record_id bigint, schema_name string, file_seq int, entity_id string, event_time_ns bigint, payload string")
@@ -382,8 +399,9 @@ def test_values_under_earlier_names_reach_the_typed_field(spark):
         1: ({"c": "7", "w": "[1,2]", "gone": "3"}, '{"odd":"4"}'), 2: ({"c": "8", "a": "0.5"}, None), 3: ({"c": "9", "w": "[3,4]"}, '{"b":"1"}'),
         4: ({"c": "7"}, '{"c":"6"}'), 5: ({"c": "6"}, '{"a":"1.5"}'), 6: ({}, '{"a":"1"}'), 7: ({}, None), 8: ({"a": "2"}, None),
     }
-    long = rows(drift.table_long(t).select("record_id", "field_name", "value", "rescued"))
-    assert [x for x in long if x[0] in (4, 7)] == [(4, "c", "6", True), (4, "c", "7", False), (7, None, None, None)]
+    long = rows(drift.table_long(t, drift.latest_target(fields)).select("record_id", "field_name", "whole", "vector", "text", "rescued"))
+    assert [x for x in long if x[0] in (4, 7)] == [(4, "c", 7, None, None, False), (4, "c", None, None, "6", True), (7, None, None, None, None, None)]
+    assert (3, "w", None, [3.0, 4.0], None, False) in long
 
 
 DATA = "/root/testdata/sf0.01"

@@ -163,11 +163,134 @@ def test_online_table(spark, tmp_path):
     lease = t.lease()
     t.upsert(frame(spark, [("b", 1, 4, 4, 9, 0)]))
     assert old not in t.gc()
-    t.release(lease)
+    assert t.read(old).count() == 2
+    lease.renew()
+    lease.release()
     assert t.gc() == [old] and t.read().count() == 2
     assert t.swing("nothing", "x") == 0
-    with t.lock(), pytest.raises(LockHeldError), t.lock():
-        pass
+    with t.lock("x").held(), pytest.raises(LockHeldError):
+        t.lock("x").take()
+
+
+def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
+    t = OnlineTable(spark, str(tmp_path), XY, buckets=8)
+    t.create(frame(spark, [(f"e{i}", 1, i, i, 1, 0) for i in range(200)]))
+    before = t.manifest(t.current_version())["where"]
+    assert t.upsert(frame(spark, [("e7", 2, 70, 70, 2, 0), ("e7", 2, 71, 71, 3, 0)])) == (0, 1)
+    after = t.manifest(t.current_version())["where"]
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert t.lookup("e7")["x"] == 71.0 and t.read().count() == 200
+    assert len(t.gc()) == 1 and t.read().count() == 200 and len(t.folder.sub("data").names()) == 2
+    stale = t.current_version()
+    t.upsert(frame(spark, [("e8", 2, 1, 1, 9, 0)]))
+    assert t.swing(stale, "x") == 0 and t.upsert(frame(spark, [])) == (0, 0) and t.read().count() == 200
+
+
+def test_divergent_files_are_an_error(spark, tmp_path):
+    log, more = FeatureLog(spark, str(tmp_path)), FeatureSchema("XY", 2, [*XY.fields, FeatureField("z", DType.INT32)])
+    log.append(frame(spark, [("A", 1, 1, 1, 1, 0)]), XY)
+    log.append(frame(spark, [("A", 2, 1, 1, 2, 0)]).withColumn("z", F.lit(1)), more)
+    assert log.scan(XY).count() == 2
+    with pytest.raises(ValueError, match="divergent"):
+        log.scan(more)
+    import shutil
+
+    shutil.rmtree(tmp_path / "schema=XY" / "_forms")  # as a log that others wrote
+    assert log.scan(XY).count() == 2
+    with pytest.raises(ValueError, match="divergent"):
+        log.scan(more)
+    FeatureLog(spark, str(tmp_path), msg_id=False).append(frame(spark, [("A", 1, 1, 1, 1, 0)]).drop("msg_id_ms", "msg_id_seq"), XY)
+    with pytest.raises(ValueError, match="mixed|divergent"):
+        shutil.rmtree(tmp_path / "schema=XY" / "_forms")
+        log.scan(XY)
+
+
+def test_reading_a_window_opens_no_other_day(spark, tmp_path):
+    log = FeatureLog(spark, str(tmp_path))
+    log.append(frame(spark, [("A", i * DAY_NS, i, i, i, 0) for i in range(5)]), XY)
+    for f in (tmp_path / "schema=XY" / "event_date=1970-01-05").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "schema=XY" / "event_date=1970-01-05").glob(".*.crc"):
+        f.unlink()
+    assert log.scan(XY, DAY_NS, 2 * DAY_NS).count() == 2
+    assert log.read_point_in_time(XY, queries(spark, [("A", 2 * DAY_NS, 0)]), 1).first()["x"] == 2.0
+
+
+@pytest.mark.parametrize("values", [{"x": "not a number", "y": 1}, {"x": 1, "y": 1.5}, {"x": 1e39, "y": 1}, {"x": None, "y": 1}, {"x": True, "y": 1}, {"x": 1, "y": 1 << 63}, {"x": [1], "y": 1}, {"x": 1}, {"x": 1, "y": 1, "z": 1}])
+def test_producer_refuses_what_the_schema_cannot_hold(tmp_path, values):
+    p = Producer(str(tmp_path))
+    with pytest.raises(ValueError):
+        p.write(XY, "a", values)
+    for bad in ("", None, "x" * 257, 7):
+        with pytest.raises(ValueError):
+            p.write(XY, bad, {"x": 1, "y": 1})
+    assert os.listdir(tmp_path / "wal") == []
+    assert p.write(XY, "a", {"x": "1.5", "y": "2"}) and p.write(XY, "a", {"x": math.nan, "y": 2.0})
+
+
+def test_one_consumer_and_its_heartbeat(spark, tmp_path):
+    from tidemark.lifecycle import consumer_live
+
+    base = str(tmp_path)
+    one, two = Consumer(spark, base, [XY]), Consumer(spark, base, [XY])
+    one.start(once=False)
+    try:
+        assert consumer_live(one.online["XY"])  # idle, yet live
+        with pytest.raises(LockHeldError):
+            two.start()
+        n = one.locks[0].log.latest()[0]
+        one.locks[0].renew()
+        assert one.locks[0].log.latest()[0] > n
+    finally:
+        one.stop()
+    assert not consumer_live(one.online["XY"])
+    two.drain()
+
+
+def test_noop_sink_and_retention(spark, tmp_path):
+    from tidemark.sources import NoopSink
+
+    base = str(tmp_path)
+    p, c = Producer(base), Consumer(spark, base, [XY], log=NoopSink(), retain="delete", max_files=1)
+    for i in range(3):
+        p.write(XY, "a", {"x": i, "y": i}, 5)
+    c.drain()
+    assert c.online["XY"].assemble("a") == [2.0, 2.0] and not os.path.exists(tmp_path / "log")
+    assert NoopSink().append(frame(spark, [("", 1, 1, 1, 1, 0)]), XY).count() == 1
+
+
+def test_watchdog_compaction_and_metrics(spark, tmp_path):
+    import json
+    import logging
+    import threading
+    import urllib.request
+
+    from tidemark.lifecycle import compact_log, watch
+    from tidemark.metrics import JsonLines, Metrics, StreamMetrics
+    from tidemark.operators.compaction import CompactionTable
+
+    t = OnlineTable(spark, str(tmp_path / "online"), XY)
+    t.create(frame(spark, [("a", 1, 1, 1, 1, 0)]))
+    t.upsert(frame(spark, [("a", 1, 1, 1, 2, 0)]))
+    stop = threading.Event()
+    stop.set()
+    assert watch([t], 60, stop) == {"XY": 1}
+    log = FeatureLog(spark, str(tmp_path / "log"))
+    for i in range(3):
+        log.append(frame(spark, [("a", 1, i, i, i, 0)]), XY)
+    assert compact_log(log, XY)["outputs"] == 1
+    assert CompactionTable(spark, log.path(XY)).read().count() == 3
+    m = Metrics()
+    m.count("n_total", 2, kind="a")
+    m.observe("s", 0.02)
+    server = m.serve()
+    text = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/").read().decode()
+    server.shutdown()
+    assert 'n_total{kind="a"} 2' in text and 's_bucket{le="0.05"} 1' in text and "s_count 1" in text
+    assert hasattr(StreamMetrics(m), "onQueryProgress")
+    rec = logging.LogRecord("x", logging.INFO, "f", 1, "hi", None, None)
+    rec.fields = {"k": 1}
+    assert json.loads(JsonLines().format(rec))["k"] == 1
 
 
 def test_hydrate_and_upgrade(spark, tmp_path):
@@ -192,7 +315,7 @@ def test_hydrate_and_upgrade(spark, tmp_path):
     real = upgrade_schema(XY, new, n)
     assert (real.entity_count, real.row_size_bytes_new, real.added, real.widened) == (2, 192, ("n",), ("x",))
     assert n.assemble("a") == [5.0, 5.0, 0.0, 0.0] and math.isnan(n.assemble("b")[1])
-    with pytest.raises(UpgradeConflictError), n.lock("_UPGRADE"):
+    with pytest.raises(UpgradeConflictError), n.lock("upgrade").held():
         upgrade_schema(new, FeatureSchema("XY", 3, list(new.fields)), n)
     three = OnlineTable(spark, str(tmp_path / "online"), FeatureSchema("XY", 3, list(new.fields)))
     three.swing = lambda *a: 0
@@ -207,8 +330,8 @@ def test_stream_applies_quarantines_and_replays(spark, tmp_path):
         p.write(XY, "a", {"x": 1})
     p.write(XY, "a", {"x": 3.0, "y": 3}, 300)
     p.write(XY, "a", {"x": 2.0, "y": 2}, 200)  # late: the table takes it, the log's latest does not
-    p.write_many(XY, [("", {"x": 1, "y": 1}, 1), ("b", {"x": 1, "y": 1, "q": 0}, 1), ("c", {"x": 1, "y": 1.5}, 1)])
-    p.write_many(FeatureSchema("Other", 1, list(XY.fields)), [("a", {}, 1)])
+    p.write_many(XY, [("", {"x": 1, "y": 1}, 1), ("b", {"x": 1, "y": 1, "q": 0}, 1), ("c", {"x": 1, "y": 1.5}, 1)], check=False)
+    p.write_many(FeatureSchema("Other", 1, list(XY.fields)), [("a", {}, 1)], check=False)
     with pytest.raises(WriteSyncTimeoutError):
         p.write_sync(XY, "d", {"x": 4, "y": 4}, 1, timeout_ms=30)
 

@@ -1,25 +1,30 @@
 """Hydration from the log, compatibility of schemas, and upgrades.
 
-Command line: ``python -m tidemark.lifecycle upgrade|gc --base DIR ...``.
+Command line: ``python -m tidemark.lifecycle upgrade|gc|watch|compact ...``.
 """
 
 from __future__ import annotations
 
 import argparse
 import importlib
+import logging
 import math
 import os
 import sys
+import threading
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
 from tidemark.errors import EmptyDatasetError, HydrationConflictError, LockHeldError, UpgradeAbortedError, UpgradeConflictError, UpgradeIncompatibleError
+from tidemark.metrics import METRICS
 from tidemark.operators import features
+from tidemark.operators.compaction import CompactionTable, plan_merges
 from tidemark.schema import DType, FeatureSchema
 from tidemark.sources.feature_log import FeatureLog
 from tidemark.sources.online import OnlineTable
+from tidemark.storage import Lock
 
 LIVE_S = 30.0
 # fixed values: dtypes a field may be widened to
@@ -52,12 +57,13 @@ class UpgradeResult:
     version: str | None = None
 
 
-def consumer_live(base: str, schema: FeatureSchema) -> bool:
-    """Whether a consumer has shown itself for this schema lately."""
-    try:
-        return time.time() - os.path.getmtime(os.path.join(base, schema.name, "_LIVE")) < LIVE_S
-    except FileNotFoundError:
-        return False
+def live_mark(table: OnlineTable) -> Lock:
+    """What a consumer of a table holds and renews while it runs, idle or not."""
+    return table.lock("live", LIVE_S)
+
+
+def consumer_live(table: OnlineTable) -> bool:
+    return live_mark(table).holder() is not None
 
 
 def hydrate(schema: FeatureSchema, log: FeatureLog, online: OnlineTable, *, capacity_factor: float = 4.0, as_of_time_ns: int | None = None, lookback_days: int = 30) -> HydrationResult:
@@ -67,7 +73,7 @@ def hydrate(schema: FeatureSchema, log: FeatureLog, online: OnlineTable, *, capa
         raise ValueError("capacity_factor must be finite and at least 2")
     if online.current_version() is not None:
         raise HydrationConflictError(f"{schema.name} has a current version")
-    if consumer_live(os.path.dirname(online.dir), schema):
+    if consumer_live(online):
         raise HydrationConflictError(f"a consumer of {schema.name} is live")
     version, n = online.write_version(log.latest_features(schema, lookback_days, as_of_time_ns))
     if not n:
@@ -121,11 +127,10 @@ def upgrade_schema(old: FeatureSchema, new: FeatureSchema, online: OnlineTable,
         n = before.manifest(was)["rows"]
         before.read(was)
         return UpgradeResult(old.name, old.version, new.version, True, n, old.row_bytes(), new.row_bytes(padded=False), added, widened)
-    base = os.path.dirname(online.dir)
     try:
-        with online.lock("_UPGRADE", 3600.0):
+        with online.lock("upgrade", 3600.0).held():
             deadline = time.time() + (wait_seconds if wait_for_consumer else 0.0)
-            while consumer_live(base, old):
+            while consumer_live(online):
                 if time.time() >= deadline:
                     raise UpgradeConflictError(f"a consumer of {old.name} is live")
                 time.sleep(0.2)
@@ -139,6 +144,35 @@ def upgrade_schema(old: FeatureSchema, new: FeatureSchema, online: OnlineTable,
     return UpgradeResult(old.name, old.version, new.version, False, n, old.row_bytes(), new.row_bytes(), added, widened, version)
 
 
+def compact_log(log: FeatureLog, schema: FeatureSchema, small_bytes: int = 64 << 20) -> dict:
+    """Merges the small files of each day. Files and outputs are members of the compaction manifest in the schema's folder.
+
+    Nothing is removed and the log's own readers go on with its files; readers of ``CompactionTable`` see the merged ones.
+    """
+    root = log.path(schema)
+    files = log.listing(schema)
+    table = CompactionTable(log.spark, root)
+    if not table.log.latest()[1]:
+        table.init(files.select("file_path"))
+    return table.merge(plan_merges(files, small_bytes))
+
+
+def watch(tables: list[OnlineTable], every_s: float, stop: threading.Event) -> dict[str, int]:
+    """Cleans up tables every so often until told to stop; a table that fails is tried again. Returns what was removed."""
+    gone: dict[str, int] = {}
+    while True:
+        for t in tables:
+            try:
+                n = len(t.gc())
+                gone[t.schema.name] = gone.get(t.schema.name, 0) + n
+                METRICS.count("watchdog_removed_total", n, table=t.schema.name)
+            except Exception:  # the other tables go on
+                METRICS.count("watchdog_failed_total", table=t.schema.name)
+                logging.getLogger(__name__).exception("cleaning up %s failed", t.schema.name)
+        if stop.wait(every_s):
+            return gone
+
+
 def _load(spec: str) -> FeatureSchema:
     module, _, name = spec.partition(":")
     return getattr(importlib.import_module(module), name)
@@ -157,11 +191,24 @@ def main(argv: list[str] | None = None) -> int:
     gc = sub.add_parser("gc", help="remove versions that nobody reads")
     gc.add_argument("--base", required=True)
     gc.add_argument("--schema", required=True, help="module:NAME")
+    dog = sub.add_parser("watch", help="do so every so often")
+    dog.add_argument("--base", required=True)
+    dog.add_argument("--schema", required=True, nargs="+", help="module:NAME")
+    dog.add_argument("--every", type=float, default=60.0, help="seconds")
+    pack = sub.add_parser("compact", help="merge the small files of a schema's log into larger ones, in a table of its own")
+    pack.add_argument("--log", required=True, help="folder of the logs")
+    pack.add_argument("--schema", required=True, help="module:NAME")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "gc":
         print(*OnlineTable(spark, a.base, _load(a.schema)).gc(), sep="\n")
         return 0
+    if a.command == "watch":
+        watch([OnlineTable(spark, a.base, _load(x)) for x in a.schema], a.every, threading.Event())
+        return 0
+    if a.command == "compact":
+        print(compact_log(FeatureLog(spark, a.log), _load(a.schema)))
+        return 0
     old, new = _load(a.old), _load(a.new)
     table = OnlineTable(spark, a.base, new)
     try:

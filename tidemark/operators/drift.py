@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import hot_keys, neighbours, with_blocks
+from tidemark.operators.skew import HOT_ROWS, hot_keys, neighbours, with_blocks
 
 # fixed values: spellings of the five dtypes and bytes per element
 DTYPES = {
@@ -45,11 +45,11 @@ def declared_fields(schema_fields: DataFrame) -> DataFrame:
     return f.groupBy("schema_name", "file_seq", "field_name").agg(F.min(F.struct("pos", "dtype", "dims")).alias("_d")).select("schema_name", "file_seq", "field_name", "_d.pos", "_d.dtype", "_d.dims")
 
 
-def file_order(fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def file_order(fields: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each file of a schema with the file before and after it: schema_name, file_seq, prev_seq, next_seq."""
     files = fields.select("schema_name", "file_seq").distinct()
     hot = hot_keys(files, "schema_name", "file_seq", hot_rows)
-    n = neighbours(with_blocks(files, "schema_name", "file_seq", hot), "schema_name", "file_seq", ["file_seq"])
+    n = neighbours(with_blocks(files, "schema_name", "file_seq", hot), "schema_name", "file_seq", ["file_seq"], hot)
     return n.select("schema_name", "file_seq", F.col("_prev.file_seq").alias("prev_seq"), F.col("_next.file_seq").alias("next_seq"))
 
 
@@ -64,7 +64,7 @@ def enforced(incoming: DataFrame, target: DataFrame, on: list[str], fits: Column
     return j.withColumn("status", status).drop("_came", "_known")
 
 
-def ingested_headers(fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def ingested_headers(fields: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each file's declarations, ingested with the fields of the file before it as target.
 
     Columns: schema_name, file_seq, field_name, new and old (structs pos, dtype, dims) and status. A first file has no target
@@ -89,7 +89,7 @@ def promotable(headers: DataFrame) -> DataFrame:
     )
 
 
-def field_changes(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def field_changes(schema_fields: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Changes of each file against the one before it: schema_name, file_seq, field_name, change_kind.
 
     They are what ingesting the file's declarations into the schema before it had to rescue: unknown names that can be
@@ -133,7 +133,7 @@ def wrong_sizes(schema_fields: DataFrame, upgrade_log: DataFrame) -> DataFrame:
     return u.join(row_sizes(schema_fields), ["schema_name", "file_seq"]).withColumn("right_size", right).where(F.col("row_size_bytes_new") != F.col("right_size")).drop("plain", "padded")
 
 
-def drift_report(schema_fields: DataFrame, upgrade_log: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def drift_report(schema_fields: DataFrame, upgrade_log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All changes, and ``size`` with field_name ``*`` for files with an upgrade whose row size does not fit."""
     size = wrong_sizes(schema_fields, upgrade_log).select("schema_name", "file_seq", F.lit("*").alias("field_name"), F.lit("size").alias("change_kind")).distinct()
     return field_changes(schema_fields, hot_rows).unionByName(size)
@@ -171,7 +171,7 @@ def parsed(payload: str) -> Column:
     # of a key that stands twice the last value counts
     last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), e["key"]))
     whole = F.when(odd, F.array(F.struct(F.lit(WHOLE).alias("key"), text.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    return F.map_from_entries(F.concat(F.filter(last, lambda e: e["key"] != WHOLE), whole))
+    return F.map_from_entries(F.concat(F.filter(last, lambda e: ~odd | (e["key"] != WHOLE)), whole))
 
 
 def rescued_long(records: DataFrame, target: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -241,7 +241,7 @@ def table_long(table: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def final_names(schema_fields: DataFrame, hot_rows: int = 100_000) -> DataFrame:
+def final_names(schema_fields: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Which field of the last file each declared name became: schema_name, file_seq, source_name, field_name (null: none).
 
     Names are followed through the renames of ``field_changes``; where several names left and came in one slot they cannot

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import DAY_NS, day_bucket
-from tidemark.operators.skew import hot_keys, with_blocks
+from tidemark.operators.skew import HOT_ROWS, hot_keys, with_blocks, within
 from tidemark.schema import FeatureSchema
 
 IDS = ("msg_id_ms", "msg_id_seq")
@@ -42,48 +42,55 @@ def query_window(queries: DataFrame, lookback_ns: int) -> tuple[int, int] | None
     return None if lo is None else (max(_LEAST, lo - lookback_ns), hi)
 
 
-def as_of_join(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int = 30 * DAY_NS, ids: tuple[str, ...] = IDS, hot_rows: int = 100_000) -> DataFrame:
+#: With more fields than this the newest rows are found by narrow keys, and only theirs meet the wide rows.
+CARRIED_FIELDS = 16
+
+
+def as_of_join(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int = 30 * DAY_NS, ids: tuple[str, ...] = IDS, hot_rows: int = HOT_ROWS, order: str | None = None) -> DataFrame:
     """Each query row with the entity's newest log row at its ``as_of_time``, at most ``lookback_ns`` old, else nulls.
 
     Both bounds are inclusive; of equal times the greatest ids win. Every query row comes out once, duplicates included,
-    with its columns, then event_time_ns, ``fields`` and ids. Log and queries are merged in one shuffle by entity and
-    scanned in order of time; entities that hold very many rows are cut into blocks of time that start with the last row
-    before them. Queries without entity or time have no match and are not shuffled.
+    with its columns, then event_time_ns, ``fields`` and ids; ``order`` names a column to sort the result by. Log and queries
+    are merged in one shuffle by entity and scanned once in order of time; entities that hold very many rows of either are
+    cut into blocks of time that start with the last row before them. Queries without entity or time have no match and are
+    not shuffled.
     """
     clash = [c for c in ("event_time_ns", *fields, *ids) if c in queries.columns]
     if clash:
         raise ValueError(f"query columns clash with log columns: {clash}")
-    row = F.struct(F.col("event_time_ns"), *ids, *[c for c in fields])
+    out = ["event_time_ns", *fields, *ids]
+    wide = len(fields) > CARRIED_FIELDS
+    row = F.struct("event_time_ns", *ids, *([] if wide else fields))
+    known = log.where(F.col("entity_id").isNotNull() & F.col("event_time_ns").isNotNull())
     asked = queries.where(F.col("entity_id").isNotNull() & F.col("as_of_time").isNotNull())
-    f = log.where(F.col("entity_id").isNotNull() & F.col("event_time_ns").isNotNull()).select(F.col("entity_id").alias("_e"), F.col("event_time_ns").alias("_t"), F.lit(0).alias("_side"), row.alias("_f"))
+    f = known.select(F.col("entity_id").alias("_e"), F.col("event_time_ns").alias("_t"), F.lit(0).alias("_side"), row.alias("_f"))
     q = asked.select(F.col("entity_id").alias("_e"), F.col("as_of_time").alias("_t"), F.lit(1).alias("_side"), F.struct(*queries.columns).alias("_q"))
     both = f.unionByName(q, allowMissingColumns=True)
-    rows = with_blocks(both, "_e", "_t", hot_keys(both.select("_e", "_t"), "_e", "_t", hot_rows))
-    order = F.struct("_f.event_time_ns", *[f"_f.{c}" for c in ids])
-    ends = rows.where((F.col("_blk") >= 0)).groupBy("_e", "_blk").agg(F.max_by("_f", F.when(F.col("_side") == 0, order)).alias("_f"))
-    before = F.last("_f", ignorenulls=True).over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-    start = ends.select("_e", "_blk", before.alias("_f")).where(F.col("_f").isNotNull()).select("_e", "_blk", "_f", F.lit(_LEAST).cast("bigint").alias("_t"), F.lit(0).alias("_side"))
-    w = Window.partitionBy("_e", "_blk").orderBy("_t", "_side", *[F.col(f"_f.{c}") for c in ids]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = rows.unionByName(start, allowMissingColumns=True).withColumn("_hit", F.last("_f", ignorenulls=True).over(w)).where(F.col("_side") == 1)
+    hot = hot_keys(both, "_e", "_t", hot_rows)
+    rows = with_blocks(both, "_e", "_t", hot)
+    if hot is not None:
+        newest = F.struct("_f.event_time_ns", *[f"_f.{c}" for c in ids])
+        ends = rows.where(F.col("_blk") >= 0).groupBy("_e", "_blk").agg(F.max_by("_f", F.when(F.col("_side") == 0, newest)).alias("_f"))
+        before = F.last("_f", ignorenulls=True).over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+        start = ends.select("_e", "_blk", before.alias("_f")).where(F.col("_f").isNotNull())
+        rows = rows.unionByName(start.select("_e", "_blk", "_f", F.lit(_LEAST).cast("bigint").alias("_t"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    w = Window.partitionBy(*within("_e", hot)).orderBy("_t", "_side", *[F.col(f"_f.{c}") for c in ids]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = rows.withColumn("_hit", F.last("_f", ignorenulls=True).over(w)).where(F.col("_side") == 1)
     near = F.try_subtract(F.col("_t"), F.col("_hit.event_time_ns")) <= lookback_ns
-    out = ["event_time_ns", *fields, *ids]
-    met = hit.select("_q.*", F.when(near, F.col("_hit")).alias("_hit")).select(*queries.columns, *[F.col(f"_hit.{c}").alias(c) for c in out])
+    hit = hit.select("_q", F.when(near, F.col("_hit")).alias("_hit"))
+    if wide:
+        names = [f"_k{i}" for i in range(2 + len(ids))]
+        keys = [F.col("_hit.event_time_ns"), *[F.col(f"_hit.{c}") for c in ids]]
+        hit = hit.select("_q", "_hit", F.col("_q.entity_id").alias(names[0]), *[k.alias(n) for k, n in zip(keys, names[1:], strict=True)])
+        mine = known.select(*[F.col(c).alias(n) for c, n in zip(("entity_id", "event_time_ns", *ids), names, strict=True)], F.struct(*fields).alias("_w"))
+        met = hit.select(*names).where(F.col(names[1]).isNotNull()).distinct()
+        some = mine.join(met, names, "left_semi").groupBy(*names).agg(F.max("_w").alias("_w"))  # equal keys: one row, the same each time
+        hit = hit.join(some, names, "left")
+    value = lambda c: F.col(f"_w.{c}" if wide and c in fields else f"_hit.{c}").alias(c)
+    met = hit.select(*[F.col(f"_q.{c}").alias(c) for c in queries.columns], *[value(c) for c in out])
     rest = queries.where(F.col("entity_id").isNull() | F.col("as_of_time").isNull())
-    return met.unionByName(rest, allowMissingColumns=True)
-
-
-def as_of_range_join(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int, key: str, ids: tuple[str, ...] = IDS) -> DataFrame:
-    """The same result by a join on entity and time range and the greatest match per query; ``key`` names the queries uniquely.
-
-    Meant for few queries per entity, each with few log rows in its lookback.
-    """
-    row = F.struct("event_time_ns", *ids, *fields)
-    feats = log.select(F.col("entity_id").alias("_e"), row.alias("_f"))
-    q = queries.select(F.col(key).alias("_k"), F.col("entity_id").alias("_qe"), F.col("as_of_time").alias("_t"))
-    inside = (F.col("_f.event_time_ns") <= F.col("_t")) & (F.col("_f.event_time_ns") >= F.col("_t") - lookback_ns)
-    best = q.join(feats, (F.col("_qe") == F.col("_e")) & inside).groupBy("_k").agg(F.max_by("_f", F.struct("_f.event_time_ns", *[f"_f.{c}" for c in ids])).alias("_f"))
-    out = ["event_time_ns", *fields, *ids]
-    return queries.join(best, F.col(key) == F.col("_k"), "left").select(*queries.columns, *[F.col(f"_f.{c}").alias(c) for c in out])
+    done = met.unionByName(rest, allowMissingColumns=True)
+    return done.orderBy(order) if order else done
 
 
 def latest(log: DataFrame, fields: list[str], as_of_ns: int | None = None, lookback_ns: int | None = None, ids: tuple[str, ...] = IDS) -> DataFrame:

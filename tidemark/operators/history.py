@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import hot_keys, neighbours, with_blocks
+from tidemark.operators.skew import HOT_ROWS, hot_keys, neighbours, with_blocks
+from tidemark.session import settled
 from tidemark.storage import CommitLog, Folder
 
 STATE = ("price", "quantity")
@@ -30,14 +31,14 @@ def points(updates: DataFrame, state: tuple[str, ...] = STATE) -> DataFrame:
     return g.select("entity_id", "valid_from_ns", *[F.col(f"_s.{c}").alias(c) for c in ("msg_id_ms", "msg_id_seq", *state)])
 
 
-def hot_entities(updates: DataFrame, hot_rows: int) -> DataFrame:
+def hot_entities(updates: DataFrame, hot_rows: int) -> DataFrame | None:
     """Hot entities with the cuts of their time lines, from the updates as they are."""
     return hot_keys(updates.select("entity_id", F.col("event_time_ns").alias("valid_from_ns")), "entity_id", "valid_from_ns", hot_rows)
 
 
-def intervals(pts: DataFrame, fields: tuple[str, ...], hot: DataFrame) -> DataFrame:
+def intervals(pts: DataFrame, fields: tuple[str, ...], hot: DataFrame | None) -> DataFrame:
     """Each point with the time of the entity's next point, -1 for the last; ``_prev`` is the point before."""
-    n = neighbours(with_blocks(pts, "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", ["valid_from_ns", *fields])
+    n = neighbours(with_blocks(pts, "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", ["valid_from_ns", *fields], hot)
     return n.withColumn("valid_to_ns", F.coalesce(F.col("_next.valid_from_ns"), F.lit(-1).cast("bigint"))).drop("_next")
 
 
@@ -45,7 +46,7 @@ def _columns(state: tuple[str, ...]) -> list[str]:
     return ["entity_id", "valid_from_ns", "valid_to_ns", *state, "msg_id_ms", "msg_id_seq"]
 
 
-def additions(current: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+def additions(current: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """What a load appends to a ledger: intervals that are new, and closings of those that it supersedes.
 
     ``current``: the open intervals of (at least) the entities that the load touches, or None. The load's points and those
@@ -74,7 +75,7 @@ def settled_rows(appended: DataFrame, state: tuple[str, ...] = STATE) -> DataFra
     return appended.groupBy(*_columns(state), "recorded_from").agg(F.max("recorded_to").alias("recorded_to"))
 
 
-def apply_updates(ledger: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+def apply_updates(ledger: DataFrame | None, updates: DataFrame, recorded_at: int, state: tuple[str, ...] = STATE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """A ledger held as a table after one more load, recorded at ``recorded_at``. The ledger may be None.
 
     Columns: entity_id, valid_from_ns, valid_to_ns, the state, msg_id_ms, msg_id_seq, recorded_from, recorded_to.
@@ -105,7 +106,7 @@ class HistoryLedger:
         paths = [self.folder / f"rows/{p}" for p in doc.get("parts", [])]
         return self.spark.read.option("basePath", self.folder / "rows").schema(doc["schema"] + ", load string, _bucket int").parquet(*paths) if paths else None
 
-    def load(self, updates: DataFrame, recorded_at: int, hot_rows: int = 100_000) -> None:
+    def load(self, updates: DataFrame, recorded_at: int, hot_rows: int = HOT_ROWS) -> None:
         """Appends a load; ``recorded_at`` must rise from load to load."""
         n, last = self.log.latest()
         if last and recorded_at <= last["recorded_at"]:
@@ -136,23 +137,23 @@ def as_recorded(ledger: DataFrame, at: int) -> DataFrame:
     return ledger.where((F.col("recorded_from") <= at) & ((F.col("recorded_to") == -1) | (F.col("recorded_to") > at)))
 
 
-def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = 100_000, hot: DataFrame | None = None) -> DataFrame:
+def versions(current: DataFrame, state: tuple[str, ...] = STATE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Current intervals with adjacent equal states joined: entity_id, valid_from_ns, valid_to_ns and the state.
 
-    NaN equals NaN and null equals null. ``hot``: hot entities, if they are known already.
+    NaN equals NaN and null equals null.
     """
-    hot = hot_keys(current, "entity_id", "valid_from_ns", hot_rows) if hot is None else hot
-    n = neighbours(with_blocks(current.select("entity_id", "valid_from_ns", *state), "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", [*state])
+    hot = hot_keys(current, "entity_id", "valid_from_ns", hot_rows)
+    n = neighbours(with_blocks(current.select("entity_id", "valid_from_ns", *state), "entity_id", "valid_from_ns", hot), "entity_id", "valid_from_ns", [*state], hot)
     changed = F.col("_prev").isNull()
     for c in state:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
     starts = n.where(changed).drop("_prev", "_next")
-    s = neighbours(starts, "entity_id", "valid_from_ns", ["valid_from_ns"])
+    s = neighbours(starts, "entity_id", "valid_from_ns", ["valid_from_ns"], hot)
     return s.select("entity_id", "valid_from_ns", F.coalesce(F.col("_next.valid_from_ns"), F.lit(-1).cast("bigint")).alias("valid_to_ns"), *state)
 
 
-def item_versions(loads: list[tuple[DataFrame, int]], ledger: HistoryLedger, state: tuple[str, ...] = STATE, hot_rows: int = 100_000) -> DataFrame:
+def item_versions(loads: list[tuple[DataFrame, int]], ledger: HistoryLedger, state: tuple[str, ...] = STATE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions of each entity after these loads of updates and snapshots into a ledger, late ones in their place."""
     for updates, recorded_at in loads:
         ledger.load(updates, recorded_at, hot_rows)
-    return versions(ledger.current(), state, hot_rows)
+    return versions(settled(ledger.current()), state, hot_rows)

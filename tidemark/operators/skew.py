@@ -10,35 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Of N rows, a key that is not among the MAX_HOT most frequent has fewer than N / MAX_HOT rows. This is the size bound of what is broadcast.
+#: Of N rows, a key that is not among the MAX_HOT most frequent has fewer than N / MAX_HOT rows. This bounds what is broadcast.
 MAX_HOT = 10_000
-#: Keys with fewer rows are never worth splitting.
-HOT_ROWS = 100_000
+#: Keys with fewer rows are not split: one task orders so many narrow rows in seconds.
+HOT_ROWS = 1_000_000
 SEGMENTS, SUB_BLOCKS = 32, 32
+CUTS = "_hot {}, _cuts array<bigint>"
 
 
-def hot_keys(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """At most ``max_hot`` keys with at least ``hot_rows`` rows, with approximate quantiles of ``order`` for each.
+def hot_keys(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame | None:
+    """The keys with at least ``hot_rows`` rows, with approximate quantiles of ``order`` for each; None when there are none.
 
-    Columns: ``_hot`` (the key), ``_cuts`` (array of bigint). Two narrow passes with partial aggregation; the first
-    finds the keys, the second reads only their rows.
+    Columns: ``_hot`` (the key), ``_cuts`` (array of bigint). Keys are counted in one narrow pass with partial aggregation;
+    at most ``max_hot`` counts reach the driver. Only where there are some, a second pass reads their rows.
     """
-    top = (
-        df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-        .groupBy(F.col(key).alias("_hot"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), "_hot")
-        .limit(max_hot)
-        .select("_hot")
-    )
+    rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("_hot"), F.col(order).alias("_order"))
+    counts = rows.groupBy("_hot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+    top = counts.orderBy(F.desc("_n"), "_hot").limit(max_hot).select("_hot").collect()
+    if not top:
+        return None
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    names = spark.createDataFrame(top, f"_hot {kind}")
     shares = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    return (
-        df.where(F.col(order).isNotNull())
-        .join(F.broadcast(top), F.col(key) == F.col("_hot"), "left_semi")
-        .groupBy(F.col(key).alias("_hot"))
-        .agg(F.percentile_approx(order, shares, 1000).alias("_cuts"))
-    )
+    cuts = rows.join(F.broadcast(names), "_hot").groupBy("_hot").agg(F.percentile_approx("_order", shares, 1000).alias("_cuts"))
+    return spark.createDataFrame(cuts.collect(), CUTS.format(kind))
 
 
 def _block_of(t: Column, cuts: Column) -> Column:
@@ -51,20 +46,31 @@ def _block_of(t: Column, cuts: Column) -> Column:
     return (seg * SUB_BLOCKS + sub).cast("int")
 
 
-def with_blocks(df: DataFrame, key: str, order: str, hot: DataFrame) -> DataFrame:
+def with_blocks(df: DataFrame, key: str, order: str, hot: DataFrame | None) -> DataFrame:
     """Adds ``_blk``: -1 for keys that are not hot, else the number of the block of the key's ``order`` axis."""
+    if hot is None:
+        return df.withColumn("_blk", F.lit(-1))
     j = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     blk = F.when(F.col("_hot").isNull() | F.col(order).isNull(), F.lit(-1)).otherwise(_block_of(F.col(order), F.col("_cuts")))
     return j.withColumn("_blk", blk).drop("_hot", "_cuts")
 
 
-def neighbours(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+def within(key: str, hot: DataFrame | None) -> list[str]:
+    """What ordered work is partitioned by: the key, and its blocks where there are any."""
+    return [key] if hot is None else [key, "_blk"]
+
+
+def neighbours(df: DataFrame, key: str, order: str, fields: list[str], hot: DataFrame | None) -> DataFrame:
     """Adds ``_prev`` and ``_next``: the row before and after in ``order`` of the same key, as structs of ``fields``.
 
-    ``df`` needs ``_blk`` of :func:`with_blocks`, and ``order`` must be unique in a key. Only the first and last rows of
-    hot blocks travel between blocks. Null keys are one key.
+    ``df`` needs ``_blk`` of :func:`with_blocks` with the same ``hot``, and ``order`` must be unique in a key. Only the first
+    and last rows of hot blocks travel between blocks. Null keys are one key.
     """
     row = F.struct(*[F.col(c) for c in fields])
+    wb = Window.partitionBy(*within(key, hot)).orderBy(order)
+    beside = {"_prev": F.lag("_row").over(wb), "_next": F.lead("_row").over(wb)}
+    if hot is None:
+        return df.withColumn("_row", row).withColumns(beside).drop("_row")
     ends = (
         df.where(F.col("_blk") >= 0)
         .groupBy(key, "_blk")
@@ -76,5 +82,4 @@ def neighbours(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFr
     halo = ends.select(key, "_blk", before.alias("_b"), after.alias("_a")).select(key, "_blk", F.explode(F.array("_b", "_a")).alias("_h")).where(F.col("_h.t").isNotNull())
     halo = halo.select(key, "_blk", F.col("_h.t").alias(order), F.col("_h.r").alias("_row"), F.lit(True).alias("_halo"))
     both = df.withColumns({"_row": row, "_halo": F.lit(False)}).unionByName(halo, allowMissingColumns=True)
-    wb = Window.partitionBy(key, "_blk").orderBy(order)
-    return both.withColumns({"_prev": F.lag("_row").over(wb), "_next": F.lead("_row").over(wb)}).where(~F.col("_halo")).drop("_row", "_halo")
+    return both.withColumns(beside).where(~F.col("_halo")).drop("_row", "_halo")

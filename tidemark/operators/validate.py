@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.schema import DType, FeatureField, FeatureSchema
 
 MAX_ID_BYTES = 256
+_TOO_LARGE = 2.0**128 - 2.0**103  # rounds to infinity in single precision
 _RANGE = {DType.INT32: (-(1 << 31), (1 << 31) - 1), DType.INT64: (-(1 << 63), (1 << 63) - 1), DType.UINT8: (0, 255)}
 
 
@@ -88,6 +93,44 @@ def checked(df: DataFrame, schema: FeatureSchema, carried: tuple[str, ...] = ())
     return df.select("entity_id", "event_time_ns", *[F.col(f"_v_{n}").alias(n) for n in schema.names], *rest, reason.alias("_reason"))
 
 
+def _fits(f: FeatureField, x: object) -> str | None:
+    """Why one element is none of the field's dtype, by the rules of ``checked``: ``type`` or ``overflow``; None when it is."""
+    if isinstance(x, bool) or not isinstance(x, (int, float, str, np.integer, np.floating)):
+        return "type"
+    try:
+        if f.dtype in _RANGE:
+            d = Decimal(x.strip() if isinstance(x, str) else x if isinstance(x, (int, float)) else x.item())
+            lo, hi = _RANGE[f.dtype]
+            return None if d.is_finite() and d == d.to_integral_value() and lo <= d <= hi else "type"
+        v = float(x)
+    except (ValueError, ArithmeticError):
+        return "type"
+    if f.dtype is DType.FLOAT32 and not f.shape and math.isfinite(v) and abs(v) >= _TOO_LARGE:
+        return "overflow"
+    return None
+
+
+def row_reason(schema: FeatureSchema, entity_id: object, values: dict) -> str | None:
+    """Why one row, given as values by field, does not fit; the reasons of ``checked``. None when it fits."""
+    if not isinstance(entity_id, str):
+        return "entity:null" if entity_id is None else "entity:type"
+    if not entity_id or len(entity_id.encode()) > MAX_ID_BYTES:
+        return "entity:too_long" if entity_id else "entity:empty"
+    for f in schema.fields:
+        x = values[f.name]
+        if x is None:
+            return f"missing:{f.name}"
+        flat = [x]
+        for n in f.shape:
+            if any(not isinstance(y, (list, tuple, np.ndarray)) or len(y) != n for y in flat):
+                return f"length:{f.name}"
+            flat = [z for y in flat for z in y]
+        bad = next((r for z in flat if (r := _fits(f, z))), None)
+        if bad:
+            return f"{bad}:{f.name}"
+    return None
+
+
 def split_valid(df: DataFrame, schema: FeatureSchema) -> tuple[DataFrame, DataFrame]:
     """Rows that fit, typed; and the others as JSON of how they came (``raw``), with ``_reason``."""
     both = checked(df, schema)

@@ -13,50 +13,59 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import DAY_NS, entity_key
 from tidemark.operators.dedup import kept_rows
-from tidemark.operators.skew import hot_keys, with_blocks
+from tidemark.operators.skew import HOT_ROWS, hot_keys, with_blocks, within
 
 _LEAST = -(1 << 63)
 
 
-def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq; queries: _e, _at, _q.
+def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq, _w (attributes); queries: _e, _at, _q.
 
-    Returns versions (_e, _blk, _no, _t, _ms, _seq) and queries (_e, _blk, _no, _at, _q). Hot entities are cut into
-    blocks of visibility; each block starts with a copy of the state that the blocks before it reached.
+    Returns versions (_e, _blk, _no, _t, _ms, _seq, _w), queries (_e, _blk, _no, _at, _q) and the columns by which they meet.
+    Entities with very many changes or queries are cut into blocks of visibility; each block starts with a copy of the state
+    that the blocks before it reached.
     """
-    hot = hot_keys(changes, "_e", "_at", hot_rows)
     rows = changes.withColumns({"_side": F.lit(0), "_q": F.lit(None).cast("bigint")}).unionByName(queries.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    hot = hot_keys(rows, "_e", "_at", hot_rows)
     rows = with_blocks(rows, "_e", "_at", hot).withColumn("_s", F.when(F.col("_side") == 0, F.struct("_t", "_ms", "_seq")))
-    reached = rows.where(F.col("_blk") >= 0).groupBy("_e", "_blk").agg(F.max("_s").alias("_s"))
-    before = F.max("_s").over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-    start = reached.select("_e", "_blk", before.alias("_s")).where(F.col("_s").isNotNull())
-    start = start.select("_e", "_blk", "_s", F.lit(_LEAST).cast("bigint").alias("_at"), F.lit(0).alias("_side"))
-    rows = rows.select("_e", "_blk", "_s", "_at", "_side", "_q").unionByName(start, allowMissingColumns=True)
-    w = Window.partitionBy("_e", "_blk").orderBy("_at", "_side", "_s")
+    rows = rows.select("_e", "_blk", "_s", "_w", "_at", "_side", "_q")
+    if hot is not None:
+        top = F.max(F.when(F.col("_side") == 0, F.struct("_s", "_w")))
+        reached = rows.where(F.col("_blk") >= 0).groupBy("_e", "_blk").agg(top.alias("_x"))
+        before = F.max("_x").over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+        start = reached.select("_e", "_blk", before.alias("_x")).where(F.col("_x").isNotNull())
+        start = start.select("_e", "_blk", "_x._s", "_x._w", F.lit(_LEAST).cast("bigint").alias("_at"), F.lit(0).alias("_side"))
+        rows = rows.unionByName(start, allowMissingColumns=True)
+    w = Window.partitionBy(*within("_e", hot)).orderBy("_at", "_side", "_s")
     best = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_best", best)
     rose = (F.col("_side") == 0) & (F.col("_best").isNull() | (F.col("_s") > F.col("_best")))
     rows = rows.withColumn("_rose", rose)
     rows = rows.withColumn("_no", F.sum(F.col("_rose").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    vers = rows.where(F.col("_rose")).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq")
-    return vers, rows.where(F.col("_side") == 1).select("_e", "_blk", "_no", "_at", "_q")
+    vers = rows.where(F.col("_rose")).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq", "_w")
+    return vers, rows.where((F.col("_side") == 1) & (F.col("_no") > 0)).select("_e", "_blk", "_no", "_at", "_q"), [*within("_e", hot), "_no"]
 
 
-def known_at(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int = 7 * DAY_NS, hot_rows: int = 100_000) -> DataFrame:
+def known_at(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int = 7 * DAY_NS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each query that has an answer, with the kept row that held and had arrived at its ``as_of_time``.
 
     Columns: query_id, entity_id, as_of_time, event_time_ns, msg_id_ms, msg_id_seq and ``fields`` of the log. The answer is
     the candidate with the greatest (event_time_ns, msg_id_ms, msg_id_seq) of those with
     as_of_time - lookback <= event_time_ns <= as_of_time that had arrived by then. Queries without entity or time have
-    none. ``query_id`` must be unique; repeated pairs of entity and time are answered each.
+    none. ``query_id`` must be unique; repeated pairs of entity and time are answered each. The attributes travel with the
+    changes, so that the log is read and shuffled once; only rows that start a version reach the join, which is on entity and
+    number alone.
     """
+    asked = queries.select(entity_key("entity_id").alias("_e"), F.col("as_of_time").alias("_at"), F.col("query_id").alias("_q")).where(F.col("_e").isNotNull() & F.col("_at").isNotNull())
     kept = kept_rows(log, ["event_time_ns", *fields]).where(F.col("event_time_ns").isNotNull() & F.col("entity_id").isNotNull())
     arrived = F.coalesce(F.try_multiply("msg_id_ms", F.lit(1_000_000)), F.when(F.col("msg_id_ms") < 0, F.lit(_LEAST)))
-    changes = kept.select(F.col("entity_id").alias("_e"), F.greatest("event_time_ns", arrived).alias("_at"), F.col("event_time_ns").alias("_t"), F.col("msg_id_ms").alias("_ms"), F.col("msg_id_seq").alias("_seq"), arrived.alias("_arr")).where(F.col("_arr").isNotNull()).drop("_arr")
-    asked = queries.select(entity_key("entity_id").alias("_e"), F.col("as_of_time").alias("_at"), F.col("query_id").alias("_q")).where(F.col("_e").isNotNull() & F.col("_at").isNotNull())
-    vers, qs = numbered(changes, asked, hot_rows)
-    met = qs.join(vers, ["_e", "_blk", "_no"]).where(F.try_subtract("_at", "_t") <= lookback_ns)
-    out = met.select(F.col("_q").alias("query_id"), F.col("_e").alias("entity_id"), F.col("_at").alias("as_of_time"), F.col("_t").alias("event_time_ns"), F.col("_ms").alias("msg_id_ms"), F.col("_seq").alias("msg_id_seq"))
-    if not fields:
-        return out
-    return out.join(kept.select("entity_id", "msg_id_ms", "msg_id_seq", *fields), ["entity_id", "msg_id_ms", "msg_id_seq"]).select("query_id", "entity_id", "as_of_time", "event_time_ns", "msg_id_ms", "msg_id_seq", *fields)
+    wide = F.struct(*fields) if fields else F.lit(None).cast("int")
+    changes = kept.where(arrived.isNotNull()).select(
+        F.col("entity_id").alias("_e"), F.greatest("event_time_ns", arrived).alias("_at"), F.col("event_time_ns").alias("_t"), F.col("msg_id_ms").alias("_ms"), F.col("msg_id_seq").alias("_seq"), wide.alias("_w")
+    )
+    vers, qs, on = numbered(changes, asked, hot_rows)
+    met = qs.join(vers.drop(*({"_blk"} - {*on})), on).where(F.try_subtract("_at", "_t") <= lookback_ns)
+    return met.select(
+        F.col("_q").alias("query_id"), F.col("_e").alias("entity_id"), F.col("_at").alias("as_of_time"), F.col("_t").alias("event_time_ns"), F.col("_ms").alias("msg_id_ms"), F.col("_seq").alias("msg_id_seq"),
+        *[F.col(f"_w.{c}").alias(c) for c in fields],
+    )

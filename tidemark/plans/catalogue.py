@@ -46,11 +46,20 @@ def _pit(days: int):
     return run
 
 
-def pit_range_join(spark: SparkSession, d: str) -> DataFrame:
-    out = ops.as_of_range_join(views(spark, d), spine(spark, d), ["value"], 7 * DAY_NS, "qid")
+def pit_query_order(spark: SparkSession, d: str) -> DataFrame:
+    """The rows in the order of the queries; ``pos`` is the place of each."""
+    out = ops.as_of_join(views(spark, d), spine(spark, d), ["value"], 7 * DAY_NS, order="qid")
     return out.select("qid", F.col("msg_id_ms").alias("event_id"), "value")
 
 
+def pit_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Many fields: found by narrow keys, met afterwards."""
+    wide = views(spark, d).select("*", *[(F.col("value") * i).alias(f"v{i}") for i in range(2, 22)])
+    fields = ["value", *[f"v{i}" for i in range(2, 22)]]
+    out = ops.as_of_join(wide, spine(spark, d), fields, 7 * DAY_NS)
+    return out.select("qid", F.col("msg_id_ms").alias("event_id"), "value", "v2", "v21")
+
+
 def pit_ties(spark: SparkSession, d: str) -> DataFrame:
     """Ties on the day are broken by the line's ids; queries: every order's date for the suppliers of the next key."""
     q = _t(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 100 + 1).cast("string").alias("entity_id"), ns_of("o_orderdate").alias("as_of_time"))
@@ -289,7 +298,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        pit_range_join, pit_ties, pit_duplicate_queries, pit_extra_columns, pit_unknown_entity, log_dedup_msg_id, log_dedup_natural_key, latest_features, latest_ties,
+        pit_query_order, pit_wide, pit_ties, pit_duplicate_queries, pit_extra_columns, pit_unknown_entity, log_dedup_msg_id, log_dedup_natural_key, latest_features, latest_ties,
         latest_as_of_snapshot, latest_lookback, distinct_entities, window_scan, day_bucket_counts, asof_minmax_window, online_last_arrival, late_skew, upsert_merge,
         upsert_new_vs_update_counts, batch_assemble, batch_found_mask, batch_semi, batch_anti, entity_lookup, assemble_declaration_order, assemble_embedding, assemble_flat_2d,
         cast_float32, widen_types, zero_fill_new_field, upgrade_translate, hydrate_snapshot, validate_good, validate_reasons, shard_counts, value_percentiles, id_crc, msg_id_parse,
@@ -321,7 +330,8 @@ SQL = {
     "pit_inclusive_7d": _pit_sql(7),
     "pit_lookback_1d": _pit_sql(1),
     "pit_30d": _pit_sql(30),
-    "pit_range_join": _pit_sql(7),
+    "pit_query_order": _pit_sql(7),
+    "pit_wide": _pit_sql(7, cols="qid, event_id, value, value * 2 v2, value * 21 v21"),
     "pit_ties": f"""with {_LN}, b as (select *, row_number() over (partition by entity_id, t order by l_orderkey desc, l_linenumber desc, l_partkey desc) rn from ln), u as (select * from b where rn = 1),
 q as (select o_orderkey qid, cast(o_custkey % 100 + 1 as varchar) entity_id, epoch_us(o_orderdate) * 1000 t from orders),
 m as (select q.qid, q.t, u.t ut, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice from q asof left join u on q.entity_id = u.entity_id and q.t >= u.t)
