@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_NS = 86_400_000_000_000
 DAY_MS = 86_400_000
@@ -45,3 +49,26 @@ def sorted_columns(df, columns: list[str]):
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df.select(*columns)
+
+
+def msg_id_parts(c: Column | str) -> tuple[Column, Column]:
+    """The two numbers of a message id written as ``ms-seq``; one that is not so written is an error when it is met."""
+    c = _col(c)
+    bad = F.raise_error(F.concat(F.lit("not a message id: "), c))
+    ok = c.isNull() | c.rlike(r"^[0-9]{1,18}-[0-9]{1,9}$")
+    part = lambda i, t: F.when(ok, F.split_part(c, F.lit("-"), F.lit(i))).otherwise(bad).cast(t)
+    return part(1, "bigint"), part(2, "int")
+
+
+def safe_name(c: Column | str) -> Column:
+    """A name with every character but ASCII letters, digits and ``_`` replaced by ``_``."""
+    return F.regexp_replace(_col(c), "[^A-Za-z0-9_]", "_")
+
+
+def _blake2b(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)).astype("Int64")
+
+
+def stable_id(c: Column | str) -> Column:
+    """A 64-bit id of a string that other systems can compute: BLAKE2b of 8 bytes over UTF-8, little endian, as a signed number."""
+    return F.pandas_udf(_blake2b, T.LongType())(_col(c))

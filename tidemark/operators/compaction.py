@@ -171,6 +171,24 @@ class CompactionTable:
         return len(gone)
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """The data files under a folder in the columns of ``plan_merges``; rows are counted from the footers, in parallel."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").option("recursiveFileLookup", "true").load(root)
+
+    def counted(batches):
+        for pdf in batches:
+            rows = []
+            for x in pdf["path"]:
+                fs, name = pafs.FileSystem.from_uri(x)
+                with fs.open_input_file(name) as f:
+                    rows.append(pq.ParquetFile(f).metadata.num_rows)
+            yield pdf.assign(n_rows=rows)
+
+    got = files.select("path", F.col("length").alias("n_bytes"), F.unix_millis("modificationTime").alias("listed_ms")).mapInPandas(counted, "path string, n_bytes bigint, listed_ms bigint, n_rows int")
+    path = F.regexp_extract("path", r"(event_date=[^/]*/[^/]*)$", 1)
+    return got.select(path.alias("file_path"), "n_rows", "n_bytes", "listed_ms", F.lit(None).cast("bigint").alias("replaced_by"), F.xxhash64("path").alias("file_no"), F.lit(0).cast("bigint").alias("listing_no"))
+
+
 def compacted(log: DataFrame, listings: DataFrame, **options) -> DataFrame:
     """The rows of ``log`` with the output that each goes to: every message of every entity once.
 

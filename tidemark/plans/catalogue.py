@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import DAY_NS, day_bucket, ns_of
+from tidemark.functions import DAY_NS, day_bucket, msg_id_parts, ns_of, safe_name, stable_id
+from tidemark.lifecycle import hydrate, upgrade_schema
 from tidemark.operators import features as ops
 from tidemark.operators.validate import checked, split_valid
 from tidemark.schema import DType, FeatureField, FeatureSchema
+from tidemark.session import shared_folder
+from tidemark.sources import FeatureLog, OnlineTable
+from tidemark.streaming.consumer import Consumer
 
 LINE_IDS = ("l_orderkey", "l_linenumber", "l_partkey")
 
@@ -271,7 +277,10 @@ def validate_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shard_counts(spark: SparkSession, d: str) -> DataFrame:
-    return ops.shard(events_log(spark, d), 16).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Every row has one of 16 shards, and no entity has two."""
+    s = ops.shard(events_log(spark, d), 16)
+    per = s.groupBy("entity_id").agg(F.count_distinct("shard").alias("k"), F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("n").alias("n_rows"), F.count_if(F.col("k") != 1).alias("n_split"), F.count_if(~F.col("lo").between(0, 15) | ~F.col("hi").between(0, 15)).alias("n_outside"))
 
 
 def value_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -280,15 +289,88 @@ def value_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def id_crc(spark: SparkSession, d: str) -> DataFrame:
-    """Name sanitising and byte lengths of ids."""
+    """Name sanitising, byte lengths and checksums of ids."""
     c = _t(spark, d, "customer")
-    return c.select("c_custkey", F.regexp_replace("c_name", "[^A-Za-z0-9_]", "_").alias("safe_name"), F.octet_length("c_name").cast("bigint").alias("n_bytes"))
+    return c.select("c_custkey", safe_name("c_name").alias("safe_name"), F.octet_length("c_name").cast("bigint").alias("n_bytes"), F.crc32("c_name").alias("crc"))
+
+
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that other systems can compute from the names."""
+    return _t(spark, d, "customer").select("c_custkey", stable_id("c_name").alias("id"))
 
 
 def msg_id_parse(spark: SparkSession, d: str) -> DataFrame:
     """Message ids written as ms-seq, parsed again."""
     e = events_log(spark, d).select(F.concat_ws("-", "msg_id_ms", "msg_id_seq").alias("id"))
-    return e.select("id", F.split_part("id", F.lit("-"), F.lit(1)).cast("bigint").alias("ms"), F.split_part("id", F.lit("-"), F.lit(2)).cast("int").alias("seq"))
+    ms, seq = msg_id_parts("id")
+    return e.select("id", ms.alias("ms"), seq.alias("seq"))
+
+
+VALUE = FeatureSchema("Value", 1, [FeatureField("value", DType.FLOAT64)])
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _value_log(spark: SparkSession, rows: DataFrame) -> FeatureLog:
+    log = FeatureLog(spark, _folder(spark, "log"))
+    log.append(rows.drop("event_type"), VALUE)
+    return log
+
+
+def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended to a feature log and read again."""
+    return _value_log(spark, events_log(spark, d)).scan(VALUE).select("entity_id", "event_time_ns", "value", "msg_id_ms", "event_date")
+
+
+def row_counts_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per directory of a feature log."""
+    return _value_log(spark, events_log(spark, d)).day_counts(VALUE)
+
+
+def log_point_in_time(spark: SparkSession, d: str) -> DataFrame:
+    """Views in a feature log, read as of the purchases."""
+    out = _value_log(spark, views(spark, d)).read_point_in_time(VALUE, spine(spark, d), 7)
+    return out.select("qid", F.col("msg_id_ms").alias("event_id"), "value")
+
+
+def hydrate_table(spark: SparkSession, d: str) -> DataFrame:
+    """A current-value table built from the log, read as vectors."""
+    log = events_log(spark, d)
+    at = log.agg(F.max("event_time_ns")).first()[0]
+    online = OnlineTable(spark, _folder(spark, "online"), VALUE)
+    hydrate(VALUE, _value_log(spark, log), online, as_of_time_ns=at, lookback_days=10_000)
+    return ops.assemble(online.read(), VALUE).select("entity_id", F.get("vector", F.lit(0)).cast("double").alias("x"))
+
+
+def online_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A table built from one half of the events, with the other half merged in."""
+    current, batch = _halves(spark, d)
+    t = OnlineTable(spark, _folder(spark, "online"), VALUE)
+    t.create(current)
+    t.upsert(batch)
+    return t.read().select("entity_id", "msg_id_ms", "value")
+
+
+def upgrade_table(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table rewritten under a newer schema."""
+    base = _folder(spark, "online")
+    OnlineTable(spark, base, ACCOUNT, msg_id=False).create(accounts(spark, d))
+    new = OnlineTable(spark, base, WIDE, msg_id=False)
+    upgrade_schema(ACCOUNT, WIDE, new)
+    return new.read().select("entity_id", "nation", "balance", "key", F.col("score").cast("double").alias("score"), F.size("hist").alias("n"))
+
+
+def stream_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Events as messages of the write-ahead stream, applied by the consumer."""
+    base = _folder(spark, "stream")
+    e = events_log(spark, d)
+    e.select(F.lit("Value").alias("schema"), "entity_id", "event_time_ns", F.to_json(F.struct("value")).alias("payload"), "msg_id_ms", "msg_id_seq").write.json(f"{base}/wal")
+    consumer = Consumer(spark, base, [VALUE])
+    consumer.drain()
+    return consumer.online["Value"].read().select("entity_id", "msg_id_ms", "value")
 
 
 QUERIES = {
@@ -301,7 +383,8 @@ QUERIES = {
         pit_query_order, pit_wide, pit_ties, pit_duplicate_queries, pit_extra_columns, pit_unknown_entity, log_dedup_msg_id, log_dedup_natural_key, latest_features, latest_ties,
         latest_as_of_snapshot, latest_lookback, distinct_entities, window_scan, day_bucket_counts, asof_minmax_window, online_last_arrival, late_skew, upsert_merge,
         upsert_new_vs_update_counts, batch_assemble, batch_found_mask, batch_semi, batch_anti, entity_lookup, assemble_declaration_order, assemble_embedding, assemble_flat_2d,
-        cast_float32, widen_types, zero_fill_new_field, upgrade_translate, hydrate_snapshot, validate_good, validate_reasons, shard_counts, value_percentiles, id_crc, msg_id_parse,
+        cast_float32, widen_types, zero_fill_new_field, upgrade_translate, hydrate_snapshot, validate_good, validate_reasons, shard_counts, value_percentiles, id_crc, stable_ids, msg_id_parse,
+        log_round_trip, row_counts_by_day, log_point_in_time, hydrate_table, online_upserts, upgrade_table, stream_apply,
     )
 }
 
@@ -370,6 +453,16 @@ select x.entity_id, x.l_orderkey, y.l_orderkey new_l_orderkey from r x join r y
     "validate_good": f"with {_RAW} select entity_id, msg_id_ms, msg_id_seq, cast(quantity as integer) quantity, cast(partkey as integer) partkey from res where reason = 'ok'",
     "validate_reasons": f"with {_RAW} select reason, count(*) n_rows from res group by 1",
     "value_percentiles": "select event_type, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.99), 6) p99, count(*) n_rows from events group by 1",
-    "id_crc": "select c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') safe_name, cast(strlen(c_name) as bigint) n_bytes from customer",
+    "id_crc": """select c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') safe_name, cast(strlen(c_name) as bigint) n_bytes,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c_name, ''), lambda x: cast(ord(x) as bigint))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))), 4294967295::bigint) crc from customer""",
+    "shard_counts": "select count(*) n_rows, 0::bigint n_split, 0::bigint n_outside from events",
+    "log_round_trip": f"with {_EV} select entity_id, t event_time_ns, value, event_id msg_id_ms, strftime(make_timestamp(t // 1000), '%Y-%m-%d') event_date from ev",
+    "row_counts_by_day": "select strftime(ts, '%Y-%m-%d') event_date, count(*) n_rows from events group by 1",
+    "log_point_in_time": _pit_sql(7),
+    "hydrate_table": f"with {_EV} select entity_id, {_F.format('value')} x from (select *, row_number() over (partition by entity_id order by t desc, event_id desc) rn from ev) where rn = 1",
+    "online_upserts": f"with {_EV} select entity_id, event_id msg_id_ms, value from (select *, row_number() over (partition by entity_id order by event_id desc) rn from ev) where rn = 1",
+    "upgrade_table": f"with {_ACC} select entity_id, cast(nation as bigint) nation, balance, key, 0.0::double score, 3 n from acc",
+    "stream_apply": f"with {_EV} select entity_id, event_id msg_id_ms, value from (select *, row_number() over (partition by entity_id order by event_id desc) rn from ev) where rn = 1",
     "msg_id_parse": "select event_id || '-0' id, event_id ms, 0 seq from events",
 }

@@ -134,17 +134,31 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The outputs of the plan: files, rows and bytes of each."""
+    """What the plan merges in each partition, and whether a chunk's outputs differ by more than its largest file."""
     p = compaction.plan_merges(table(spark, d, "log_files"))
-    return p.groupBy("part", "chunk_no", "group_no").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
+    g = p.groupBy("part", "chunk_no", "group_no").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"), F.max("n_bytes").alias("largest"))
+    c = g.groupBy("part", "chunk_no").agg(*[F.sum(x).alias(x) for x in ("n_files", "n_rows", "n_bytes")], (F.max("n_bytes") - F.min("n_bytes") > F.max("largest")).alias("uneven"))
+    return c.groupBy("part").agg(*[F.sum(x).alias(x) for x in ("n_files", "n_rows", "n_bytes")], F.max("uneven").alias("uneven"))
 
 
 def p7_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Every message once with the output that it goes to."""
-    return compaction.compacted(table(spark, d, "feature_log"), table(spark, d, "log_files")).select("delivery_no", "out_part", "out_chunk", "out_group")
+    """Every message once with the partition that its file is merged in."""
+    out = compaction.compacted(table(spark, d, "feature_log"), table(spark, d, "log_files"))
+    return out.select("delivery_no", "out_part", F.col("out_group").isNotNull().alias("merged"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p4_stream, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages)}
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    """The log stored in 16 files a day, merged and published: every row of it as readers see it afterwards."""
+    log, root = table(spark, d, "feature_log"), _folder(spark, "p7")
+    log.select("delivery_no", "entity_id", "event_date").repartition(64, "event_date", F.col("file_no") % 16).write.partitionBy("event_date").parquet(root)
+    files = compaction.list_files(spark, root)
+    t = compaction.CompactionTable(spark, root)
+    t.init(files.select("file_path"))
+    t.merge(compaction.plan_merges(files, small_bytes=64 << 20))
+    return t.read().select("delivery_no", "entity_id", F.col("event_date").cast("string").alias("event_date"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_watermarks, p2_found, p2_messages, p3_found, p3_ledger, p4_found, p4_totals, p4_dropped, p4_stream, p5_found, p5_features, p6_found, p6_table, p7_found, p7_groups, p7_messages, p7_table)}
 
 _E = "lower(trim(entity_id, ' ' || chr(9)))"
 _DAY_NO = "((event_time_ns - ((event_time_ns % 86400000000000) + 86400000000000) % 86400000000000) // 86400000000000)"
@@ -260,5 +274,10 @@ select r.record_id, r.schema_name, r.entity_id, r.event_time_ns, case when typed
   case when typed and dims = '' and dt in ('f32', 'f64') then case when isnan(cast(trim(v) as double)) then 'NaN' when isinf(cast(trim(v) as double)) then case when cast(trim(v) as double) > 0 then 'Infinity' else '-Infinity' end when dt = 'f32' then printf('%.8e', cast(cast(trim(v) as float) as double)) else printf('%.8e', cast(trim(v) as double)) end end number,
   case when typed and dims <> '' then cast(len(regexp_extract_all(v, '-?[0-9.eE+-]+|NaN')) as integer) end n_elements
 from drift_records r left join y using (record_id)""",
+    "p7_groups": f"""with {_SMALL}, m as (select * from small where part <> '' qualify count(*) over (partition by part) > 1)
+select part, cast(count(*) as bigint) n_files, cast(sum(n_rows) as bigint) n_rows, cast(sum(n_bytes) as bigint) n_bytes, false uneven from m group by 1""",
+    "p7_messages": f"""with {_SMALL}, m as (select file_no, part from small where part <> '' qualify count(*) over (partition by part) > 1)
+select delivery_no, part out_part, part is not null merged from (select delivery_no, file_no, {_IDENT} copy from feature_log) l left join m using (file_no) where copy = 1""",
+    "p7_table": "select delivery_no, entity_id, event_date from feature_log",
     "p7_found": f"with {_SMALL} select file_no from small where part <> '' qualify count(*) over (partition by part) > 1",
 }

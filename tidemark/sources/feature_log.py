@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.errors import ConflictError
 from tidemark.functions import DAY_NS, day_bucket
 from tidemark.operators import features
+from tidemark.operators.compaction import list_files
 from tidemark.operators.validate import split_valid
 from tidemark.schema import FeatureSchema
 from tidemark.storage import CommitLog, Folder
@@ -193,22 +194,5 @@ class FeatureLog:
         return self.scan(schema).groupBy("event_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def listing(self, schema: FeatureSchema) -> DataFrame:
-        """The data files in the columns of ``compaction.plan_merges``; rows are counted from the footers, in parallel."""
-        root = self.path(schema)
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").option("recursiveFileLookup", "true").load(root)
-
-        def counted(batches):
-            import pyarrow.fs as pafs
-            import pyarrow.parquet as pq
-
-            for pdf in batches:
-                rows = []
-                for x in pdf["path"]:
-                    fs, name = pafs.FileSystem.from_uri(x)
-                    with fs.open_input_file(name) as f:
-                        rows.append(pq.ParquetFile(f).metadata.num_rows)
-                yield pdf.assign(n_rows=rows)
-
-        got = files.select("path", F.col("length").alias("n_bytes"), F.unix_millis("modificationTime").alias("listed_ms")).mapInPandas(counted, "path string, n_bytes bigint, listed_ms bigint, n_rows int")
-        path = F.regexp_extract("path", r"(event_date=[^/]*/[^/]*)$", 1)
-        return got.select(path.alias("file_path"), "n_rows", "n_bytes", "listed_ms", F.lit(None).cast("bigint").alias("replaced_by"), F.xxhash64("path").alias("file_no"), F.lit(0).cast("bigint").alias("listing_no"))
+        """The data files in the columns of ``compaction.plan_merges``."""
+        return list_files(self.spark, self.path(schema))
