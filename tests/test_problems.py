@@ -318,6 +318,15 @@ def test_known_at_matches_brute_force_with_and_without_hot_keys(spark, xs, qs):
     assert versions.known_at(log(spark, data), q, ["clicks"], look).count() == len(want)
 
 
+def test_known_at_with_nulls_and_ties(spark):
+    data = [msg(1, "a", 5, t=None), msg(2, "a", 6, t=0), msg(3, "A ", 5, t=9), msg(4, "b", None, None, t=0), msg(5, "a", 6, seq=1, t=0, clicks=7), msg(6, None, 1, t=0)]
+    q = spark.createDataFrame([(1, "a", 10**7, 0, 0), (2, "a", 5 * 10**6, 0, 0), (3, "b", 10**9, 0, 0), (4, None, 10**9, 0, 0)], QUERIES).withColumn("_e", F.lit(1)).withColumn("clicks", F.lit(1))
+    for hot in (100_000, 1):
+        got = versions.known_at(log(spark, data), q, ["clicks"], hot_rows=hot)
+        assert rows(got.select("query_id", "msg_id_ms", "msg_id_seq", "clicks")) == [(1, 6, 1, 7)]
+    assert versions.known_at(log(spark, []), q, []).count() == 0 and versions.known_at(log(spark, data), q.limit(0), []).count() == 0
+
+
 # --- 6 ---
 FIELDS = "schema_name string, schema_version int, file_seq int, field_pos int, field_name string, dtype string, shape string"
 UPGRADES = "upgrade_no bigint, schema_name string, old_version int, new_version int, file_seq int, dry_run boolean, entity_count int, row_size_bytes_old int, row_size_bytes_new int"

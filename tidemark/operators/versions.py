@@ -12,37 +12,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import DAY_NS, entity_key
-from tidemark.operators.dedup import kept_rows
+from tidemark.operators.dedup import has_id
 from tidemark.operators.skew import HOT_ROWS, hot_keys, with_blocks, within
 
 _LEAST = -(1 << 63)
 
 
-def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq, _w (attributes); queries: _e, _at, _q.
+def _once(changes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Changes and queries in one shuffle by entity; of the copies of a message the kept row remains."""
+    both = changes.withColumn("_side", F.lit(0)).unionByName(queries.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    best = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_w", "_at"))
+    one = both.repartition("_e").groupBy("_e", "_side", "_ms", "_seq", "_q").agg(best.alias("_k"))
+    s = F.when(F.col("_side") == 0, F.struct("_k._t", "_ms", "_seq")).alias("_s")
+    return one.where((F.col("_side") == 1) | F.col("_k._t").isNotNull()).select("_e", F.lit(-1).alias("_blk"), s, "_k._w", "_k._at", "_side", "_q")
 
-    Returns versions (_e, _blk, _no, _t, _ms, _seq, _w), queries (_e, _blk, _no, _at, _q) and the columns by which they meet.
-    Entities with very many changes or queries are cut into blocks of visibility; each block starts with a copy of the state
-    that the blocks before it reached.
-    """
-    rows = changes.withColumns({"_side": F.lit(0), "_q": F.lit(None).cast("bigint")}).unionByName(queries.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    hot = hot_keys(rows, "_e", "_at", hot_rows)
+
+def _in_blocks(changes: DataFrame, queries: DataFrame, hot: DataFrame) -> DataFrame:
+    """The same where entities are hot: copies are taken out by message, and hot entities are cut into blocks of visibility,
+    each of which starts with a copy of the state that the blocks before it reached."""
+    best = F.min(F.struct(F.col("_d").isNull().alias("_n"), "_d", "_t", "_w", "_at"))
+    kept = changes.groupBy("_ms", "_seq", "_e").agg(best.alias("_k")).select("_e", "_ms", "_seq", "_k._t", "_k._w", "_k._at").where(F.col("_t").isNotNull())
+    rows = kept.withColumn("_side", F.lit(0)).unionByName(queries.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     rows = with_blocks(rows, "_e", "_at", hot).withColumn("_s", F.when(F.col("_side") == 0, F.struct("_t", "_ms", "_seq")))
     rows = rows.select("_e", "_blk", "_s", "_w", "_at", "_side", "_q")
-    if hot is not None:
-        top = F.max(F.when(F.col("_side") == 0, F.struct("_s", "_w")))
-        reached = rows.where(F.col("_blk") >= 0).groupBy("_e", "_blk").agg(top.alias("_x"))
-        before = F.max("_x").over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-        start = reached.select("_e", "_blk", before.alias("_x")).where(F.col("_x").isNotNull())
-        start = start.select("_e", "_blk", "_x._s", "_x._w", F.lit(_LEAST).cast("bigint").alias("_at"), F.lit(0).alias("_side"))
-        rows = rows.unionByName(start, allowMissingColumns=True)
+    top = F.max(F.when(F.col("_side") == 0, F.struct("_s", "_w")))
+    reached = rows.where(F.col("_blk") >= 0).groupBy("_e", "_blk").agg(top.alias("_x"))
+    before = F.max("_x").over(Window.partitionBy("_e").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+    start = reached.select("_e", "_blk", before.alias("_x")).where(F.col("_x").isNotNull())
+    start = start.select("_e", "_blk", "_x._s", "_x._w", F.lit(_LEAST).cast("bigint").alias("_at"), F.lit(0).alias("_side"))
+    return rows.unionByName(start, allowMissingColumns=True)
+
+
+def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq, _d (delivery), _w (attributes); queries: _e, _at, _q.
+
+    Returns versions that some query has (_e, _blk, _no, _t, _ms, _seq, _w), queries (_e, _blk, _no, _at, _q) and the columns
+    by which they meet. Entities with very many changes or queries are split.
+    """
+    hot = hot_keys(changes.select("_e", "_at").unionByName(queries.select("_e", "_at")), "_e", "_at", hot_rows)
+    rows = _once(changes, queries) if hot is None else _in_blocks(changes, queries, hot)
     w = Window.partitionBy(*within("_e", hot)).orderBy("_at", "_side", "_s")
     best = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_best", best)
     rose = (F.col("_side") == 0) & (F.col("_best").isNull() | (F.col("_s") > F.col("_best")))
-    rows = rows.withColumn("_rose", rose)
+    rows = rows.withColumn("_best", best).withColumn("_rose", rose)
     rows = rows.withColumn("_no", F.sum(F.col("_rose").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    vers = rows.where(F.col("_rose")).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq", "_w")
+    # without the changes that start no version, a version has queries when the row after it is one
+    rows = rows.where(F.col("_rose") | (F.col("_side") == 1)).withColumn("_asked", F.lead("_side").over(w) == 1)
+    vers = rows.where(F.col("_rose") & F.col("_asked")).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq", "_w")
     return vers, rows.where((F.col("_side") == 1) & (F.col("_no") > 0)).select("_e", "_blk", "_no", "_at", "_q"), [*within("_e", hot), "_no"]
 
 
@@ -53,16 +69,16 @@ def known_at(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns:
     the candidate with the greatest (event_time_ns, msg_id_ms, msg_id_seq) of those with
     as_of_time - lookback <= event_time_ns <= as_of_time that had arrived by then. Queries without entity or time have
     none. ``query_id`` must be unique; repeated pairs of entity and time are answered each. The attributes travel with the
-    changes, so that the log is read and shuffled once; only rows that start a version reach the join, which is on entity and
-    number alone.
+    changes, so that the log is shuffled once; only versions that a query has reach the join, which is on entity and number
+    alone.
     """
     asked = queries.select(entity_key("entity_id").alias("_e"), F.col("as_of_time").alias("_at"), F.col("query_id").alias("_q")).where(F.col("_e").isNotNull() & F.col("_at").isNotNull())
-    kept = kept_rows(log, ["event_time_ns", *fields]).where(F.col("event_time_ns").isNotNull() & F.col("entity_id").isNotNull())
     arrived = F.coalesce(F.try_multiply("msg_id_ms", F.lit(1_000_000)), F.when(F.col("msg_id_ms") < 0, F.lit(_LEAST)))
     wide = F.struct(*fields) if fields else F.lit(None).cast("int")
-    changes = kept.where(arrived.isNotNull()).select(
-        F.col("entity_id").alias("_e"), F.greatest("event_time_ns", arrived).alias("_at"), F.col("event_time_ns").alias("_t"), F.col("msg_id_ms").alias("_ms"), F.col("msg_id_seq").alias("_seq"), wide.alias("_w")
-    )
+    changes = log.where(has_id()).select(
+        entity_key("entity_id").alias("_e"), F.greatest("event_time_ns", arrived).alias("_at"), F.col("event_time_ns").alias("_t"), F.col("msg_id_ms").alias("_ms"), F.col("msg_id_seq").alias("_seq"),
+        F.col("delivery_no").alias("_d"), wide.alias("_w"), arrived.isNotNull().alias("_ok"),
+    ).where(F.col("_e").isNotNull() & F.col("_ok")).drop("_ok")
     vers, qs, on = numbered(changes, asked, hot_rows)
     met = qs.join(vers.drop(*({"_blk"} - {*on})), on).where(F.try_subtract("_at", "_t") <= lookback_ns)
     return met.select(
