@@ -32,21 +32,24 @@ def done_ranges(runs: DataFrame) -> DataFrame:
     return runs.where(F.col("status").isin("committed", "failed") & below & F.col("seen_batch_no").isNotNull()).select("shard", "lo_ms", "lo_seq", "done_ms", "done_seq", "seen_batch_no").distinct()
 
 
-BASE_MS = 1000
+#: Cells of a level that a range lies in at most; a longer one goes to the next level, whose cells are so many times as wide.
+SPAN = 64
 
 
-def _leveled(ranges: DataFrame) -> DataFrame:
-    """Each range in the cells of its own level: _shard, _level, _cell, and the range.
+def _leveled(ranges: DataFrame) -> tuple[DataFrame, int]:
+    """Each range in the cells of message time of its own level, and the width of cells of level 0.
 
-    Cells of level k are ``BASE_MS << k`` wide, and a range is put where they are at least as wide as it is long, so it
-    lies in two or three cells at most however long it is.
+    Columns: _shard, _level, _cell, range. Level 0 has about as many cells as a shard has ranges, so that a row meets few of
+    them; a range lies in about ``SPAN`` cells at most however long it is.
     """
-    long = F.greatest((F.col("done_ms") - F.col("lo_ms")).cast("double") / BASE_MS, F.lit(1.0))
-    level = F.ceil(F.log2(long)).cast("int")
-    width = F.call_function("shiftleft", F.lit(BASE_MS).cast("bigint"), level)
+    n, shards, lo, hi = ranges.agg(F.count(F.lit(1)), F.count_distinct("shard"), F.min("lo_ms"), F.max("done_ms")).first()
+    base = max(1000, (hi - lo) // max(1, n // max(1, shards))) if n else 1000
+    long = F.greatest((F.col("done_ms") - F.col("lo_ms")).cast("double") / base, F.lit(1.0))
+    level = F.greatest(F.ceil(F.log2(long) / (SPAN.bit_length() - 1)), F.lit(1)).cast("int") - 1
+    width = F.lit(base).cast("double") * F.pow(F.lit(float(SPAN)), level)
     cells = F.sequence(F.floor(F.col("lo_ms") / width), F.floor(F.col("done_ms") / width))
     each = F.struct("lo_ms", "lo_seq", "done_ms", "done_seq", "seen_batch_no").alias("range")
-    return ranges.select(F.col("shard").alias("_shard"), level.alias("_level"), each, F.explode(cells).alias("_cell"))
+    return ranges.select(F.col("shard").alias("_shard"), level.alias("_level"), each, F.explode(cells).alias("_cell")), base
 
 
 def _covers(r: Column) -> Column:
@@ -58,18 +61,18 @@ def _covers(r: Column) -> Column:
 def open_messages(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Messages with an id of which no copy has been done: ``msg_id_ms, msg_id_seq, entity_id`` (the entity).
 
-    The log passes by the bounds of the earlier runs once (a row meets one short list of ranges for each length that they
-    have) and is then reduced to one row per message; copies collapse before the shuffle. The ranges are broadcast only
+    The log passes by the bounds of the earlier runs once (a row meets one short list of ranges for each level of their
+    lengths) and is then reduced to one row per message; copies collapse before the shuffle. The ranges are broadcast only
     when they are counted to be few, else both sides are shuffled by shard and cell. Rows with a null shard or ``batch_no``
     count as not done; a null entity is one entity; no runs at all leave every message open.
     """
-    ranges = _leveled(done_ranges(runs))
-    levels = {r["_level"]: r["n"] for r in ranges.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64
+    ranges, base = _leveled(done_ranges(runs))
+    levels = {r["_level"]: r["n"] for r in ranges.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ten
     few = sum(levels.values()) <= BROADCAST_RANGES
     met = log.where(has_id()).select("msg_id_ms", "msg_id_seq", entity_key("entity_id").alias("entity_id"), "shard", "batch_no", F.lit(False).alias("_done"))
     for k in sorted(levels):
         side = ranges.where(F.col("_level") == k).groupBy("_shard", "_cell").agg(F.collect_list("range").alias("_ranges"))
-        here = (F.col("shard") == F.col("_shard")) & (F.floor(F.col("msg_id_ms") / (BASE_MS << k)) == F.col("_cell"))
+        here = (F.col("shard") == F.col("_shard")) & (F.floor(F.col("msg_id_ms") / (float(base) * float(SPAN) ** k)) == F.col("_cell"))
         done = F.col("_done") | F.coalesce(F.exists("_ranges", _covers), F.lit(False))
         met = met.join(F.broadcast(side) if few else side, here, "left").withColumn("_done", done).drop("_shard", "_cell", "_ranges")
     per = met.groupBy("msg_id_ms", "msg_id_seq", "entity_id").agg(F.max("_done").alias("_done"))
