@@ -393,7 +393,7 @@ RECORDS = "record_id bigint, schema_name string, file_seq int, entity_id string,
 def test_values_under_earlier_names_reach_the_typed_field(spark):
     f = [
         ("S", 1, 1, 0, "a", "i32", ""), ("S", 1, 1, 1, "v", "f32", "[2]"), ("S", 1, 1, 2, "gone", "u8", ""),
-        ("S", 2, 4, 0, "b", "3", None), ("S", 2, 4, 1, "v", "f32", "[2]"), ("S", 2, 4, 3, "a", "f64", ""),  # a was renamed, another a came
+        ("S", 2, 4, 0, "b", "3", None), ("S", 2, 4, 1, "v", "f32", "[2]"), ("S", 2, 4, 3, "a", "f64", ""),  # a is in both files, so it was retyped and b added
         ("S", 3, 9, 0, "c", "i64", ""), ("S", 3, 9, 1, "w", "f32", "(2)"), ("S", 3, 9, 2, "gone", "u8", ""), ("S", 3, 9, 3, "a", "f64", ""),
         ("S", 2, 6, 0, "b", "i64", None), ("S", 2, 6, 1, "v", "f32", "[2]"), ("S", 2, 6, 3, "a", "f64", ""),
     ]
@@ -405,11 +405,11 @@ def test_values_under_earlier_names_reach_the_typed_field(spark):
     t = drift.unified(spark.createDataFrame(recs, RECORDS), drift.latest_target(fields), drift.final_names(fields))
     got = {r["record_id"]: (r["features"], r["_rescued"]) for r in t.collect()}
     assert got == {
-        1: ({"c": "7", "w": "[1,2]", "gone": "3"}, '{"odd":"4"}'), 2: ({"c": "8", "a": "0.5"}, None), 3: ({"c": "9", "w": "[3,4]"}, '{"b":"1"}'),
-        4: ({"c": "7"}, '{"c":"6"}'), 5: ({"c": "6"}, '{"a":"1.5"}'), 6: ({}, '{"a":"1"}'), 7: ({}, None), 8: ({"a": "2"}, None),
+        1: ({"a": "7", "w": "[1,2]", "gone": "3"}, '{"odd":"4"}'), 2: ({"c": "8", "a": "0.5"}, None), 3: ({"c": "9", "w": "[3,4]"}, '{"b":"1"}'),
+        4: ({"a": "7", "c": "6"}, None), 5: ({"a": "1.5", "c": "6"}, None), 6: ({}, '{"a":"1"}'), 7: ({}, None), 8: ({"a": "2"}, None),
     }
     long = rows(drift.table_long(t, drift.latest_target(fields)).select("record_id", "field_name", "whole", "vector", "text", "rescued"))
-    assert [x for x in long if x[0] in (4, 7)] == [(4, "c", 7, None, None, False), (4, "c", None, None, "6", True), (7, None, None, None, None, None)]
+    assert [x for x in long if x[0] in (3, 4, 7) and x[1] != "w"] == [(3, "b", None, None, "1", True), (3, "c", 9, None, None, False), (4, "a", None, None, None, False), (4, "c", 6, None, None, False), (7, None, None, None, None, None)]
     assert (3, "w", None, [3.0, 4.0], None, False) in long
 
 
