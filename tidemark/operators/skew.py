@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Of N rows, a key that is not among the MAX_HOT most frequent has fewer than N / MAX_HOT rows. This bounds what is broadcast.
 MAX_HOT = 10_000
-#: Keys with fewer rows are not split: one task orders so many narrow rows in seconds.
-HOT_ROWS = 1_000_000
+#: Keys with fewer rows are not split: one task orders so many narrow rows within a second or two.
+HOT_ROWS = 200_000
 SEGMENTS, SUB_BLOCKS = 32, 32
 CUTS = "_hot {}, _cuts array<bigint>"
 

@@ -8,6 +8,8 @@ equi-join on entity and number.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +45,8 @@ def _in_blocks(changes: DataFrame, queries: DataFrame, hot: DataFrame) -> DataFr
     return rows.unionByName(start, allowMissingColumns=True)
 
 
-def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq, _d (delivery), _w (attributes); queries: _e, _at, _q.
-
-    Returns versions that some query has (_e, _blk, _no, _t, _ms, _seq, _w), queries (_e, _blk, _no, _at, _q) and the columns
-    by which they meet. Entities with very many changes or queries are split.
-    """
-    hot = hot_keys(changes.select("_e", "_at").unionByName(queries.select("_e", "_at")), "_e", "_at", hot_rows)
-    rows = _once(changes, queries) if hot is None else _in_blocks(changes, queries, hot)
+def _counted(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Queries, and changes that start a version and have one, with ``_no``, the count of versions so far."""
     w = Window.partitionBy(*within("_e", hot)).orderBy("_at", "_side", "_s")
     best = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rose = (F.col("_side") == 0) & (F.col("_best").isNull() | (F.col("_s") > F.col("_best")))
@@ -58,8 +54,25 @@ def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[Dat
     rows = rows.withColumn("_no", F.sum(F.col("_rose").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # without the changes that start no version, a version has queries when the row after it is one
     rows = rows.where(F.col("_rose") | (F.col("_side") == 1)).withColumn("_asked", F.lead("_side").over(w) == 1)
-    vers = rows.where(F.col("_rose") & F.col("_asked")).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq", "_w")
-    return vers, rows.where((F.col("_side") == 1) & (F.col("_no") > 0)).select("_e", "_blk", "_no", "_at", "_q"), [*within("_e", hot), "_no"]
+    return rows.where((F.col("_rose") & F.col("_asked")) | ((F.col("_side") == 1) & (F.col("_no") > 0)))
+
+
+def numbered(changes: DataFrame, queries: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Version numbers. changes: _e, _at (visible from), _t, _ms, _seq, _d (delivery), _w (attributes); queries: _e, _at, _q.
+
+    Returns versions that some query has (_e, _blk, _no, _t, _ms, _seq, _w) and queries (_e, _blk, _no, _at, _q), which meet by
+    _e, _blk and _no. Only entities with very many changes or queries are split; the others take the short way.
+    """
+    hot = hot_keys(changes.select("_e", "_at").unionByName(queries.select("_e", "_at")), "_e", "_at", hot_rows)
+    if hot is None:
+        parts = [_counted(_once(changes, queries), None)]
+    else:
+        names = F.broadcast(hot.select(F.col("_hot").alias("_e")))
+        side = lambda how: (changes.join(names, "_e", how), queries.join(names, "_e", how))
+        parts = [_counted(_once(*side("left_anti")), None), _counted(_in_blocks(*side("left_semi"), hot), hot)]
+    vers = [p.where(F.col("_side") == 0).select("_e", "_blk", "_no", "_s._t", "_s._ms", "_s._seq", "_w") for p in parts]
+    qs = [p.where(F.col("_side") == 1).select("_e", "_blk", "_no", "_at", "_q") for p in parts]
+    return reduce(DataFrame.unionByName, vers), reduce(DataFrame.unionByName, qs)
 
 
 def known_at(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns: int = 7 * DAY_NS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -79,8 +92,8 @@ def known_at(log: DataFrame, queries: DataFrame, fields: list[str], lookback_ns:
         entity_key("entity_id").alias("_e"), F.greatest("event_time_ns", arrived).alias("_at"), F.col("event_time_ns").alias("_t"), F.col("msg_id_ms").alias("_ms"), F.col("msg_id_seq").alias("_seq"),
         F.col("delivery_no").alias("_d"), wide.alias("_w"), arrived.isNotNull().alias("_ok"),
     ).where(F.col("_e").isNotNull() & F.col("_ok")).drop("_ok")
-    vers, qs, on = numbered(changes, asked, hot_rows)
-    met = qs.join(vers.drop(*({"_blk"} - {*on})), on).where(F.try_subtract("_at", "_t") <= lookback_ns)
+    vers, qs = numbered(changes, asked, hot_rows)
+    met = qs.join(vers, ["_e", "_blk", "_no"]).where(F.try_subtract("_at", "_t") <= lookback_ns)
     return met.select(
         F.col("_q").alias("query_id"), F.col("_e").alias("entity_id"), F.col("_at").alias("as_of_time"), F.col("_t").alias("event_time_ns"), F.col("_ms").alias("msg_id_ms"), F.col("_seq").alias("msg_id_seq"),
         *[F.col(f"_w.{c}").alias(c) for c in fields],
