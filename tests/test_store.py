@@ -186,6 +186,27 @@ def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
     assert t.swing(stale, "x") == 0 and t.upsert(frame(spark, [])) == (0, 0) and t.read().count() == 200
 
 
+def test_a_table_has_one_row_per_entity(spark, tmp_path):
+    with pytest.raises(ValueError, match="several rows"):
+        OnlineTable(spark, str(tmp_path), XY).create(frame(spark, [("a", 1, 1, 1, 1, 0), ("a", 2, 2, 2, 2, 0)]))
+
+
+def test_message_ids_names_and_stable_ids(spark):
+    import hashlib
+
+    from tidemark.functions import msg_id_parts, safe_name, stable_id
+
+    df = spark.createDataFrame([("12-3",), (None,)], "id string")
+    assert [tuple(r) for r in df.select(*msg_id_parts("id")).collect()] == [(12, 3), (None, None)]
+    for bad in ("12", "a-1", "1-2-3", ""):
+        with pytest.raises(Exception, match="not a message id"):
+            spark.createDataFrame([(bad,)], "id string").select(*msg_id_parts("id")).collect()
+    names = ["a b", "é", "", None]
+    got = [tuple(r) for r in spark.createDataFrame([(n,) for n in names], "n string").select(safe_name("n"), stable_id("n")).collect()]
+    want = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+    assert got == [("a_b", want("a b")), ("_", want("é")), ("", want("")), (None, None)]
+
+
 def test_divergent_files_are_an_error(spark, tmp_path):
     log, more = FeatureLog(spark, str(tmp_path)), FeatureSchema("XY", 2, [*XY.fields, FeatureField("z", DType.INT32)])
     log.append(frame(spark, [("A", 1, 1, 1, 1, 0)]), XY)

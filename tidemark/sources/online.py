@@ -103,6 +103,9 @@ class OnlineTable:
     def create(self, rows: DataFrame | None = None, capacity: int | None = None, set_current: bool = True) -> str:
         rows = self.spark.createDataFrame([], self.schema.log_type(self.msg_id)) if rows is None else rows
         old = self.current_version()
+        twice = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("entity_id").first()
+        if twice is not None:
+            raise ValueError(f"entity {twice[0]!r} has several rows; a table has one row per entity")
         version, _ = self.write_version(rows, capacity)
         if set_current and self.swing(old, version) != 1:
             self.drop_version(version)
